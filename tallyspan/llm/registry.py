@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, secrets
 
-MODULES = (mixing, exact_dedup)
+MODULES = (secrets, mixing, exact_dedup)
 
 
 def queries() -> dict:
