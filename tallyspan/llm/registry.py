@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets
+from . import exact_dedup, mixing, near_dedup, secrets
 
-MODULES = (secrets, mixing, exact_dedup)
+MODULES = (secrets, mixing, exact_dedup, near_dedup)
 
 
 def queries() -> dict:
