@@ -43,9 +43,9 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text the range of its words."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text the range of its words; ``space`` says which bytes part them."""
+    solid = ~space[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[bounds] = True
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
