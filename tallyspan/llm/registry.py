@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, secrets
+from . import exact_dedup, mixing, near_dedup, packing, quality, secrets, warc
 
-MODULES = (secrets, quality, mixing, exact_dedup, packing, near_dedup)
+MODULES = (secrets, warc, quality, mixing, exact_dedup, packing, near_dedup)
 
 
 def queries() -> dict:
