@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, neighbours, packing, quality, secrets, warc
+from . import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, quality, secrets, warc
 
-MODULES = (secrets, neighbours, warc, quality, mixing, exact_dedup, packing, near_dedup)
+MODULES = (secrets, licenses, neighbours, warc, quality, mixing, exact_dedup, packing, near_dedup)
 
 
 def queries() -> dict:
