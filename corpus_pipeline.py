@@ -1,13 +1,57 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality selection, exact and near deduplication, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last
+return the columns of ``documents``. ``run`` writes every stage's rows as Parquet to the shared
+folder and hands the reread table on, so that a lost executor costs a stage's tasks and no more.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyspan.llm import exact_dedup, mixing, near_dedup, packing, quality
+from tallyspan.llm.common import load, staged
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the well-labelled ones selects."""
+    return quality.select_documents(docs, load(spark, sf_dir, "labels"))
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the one with the smallest doc_id."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for."""
+    return mixing.mix(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_deduplication", exact_deduplication),
+    ("near_deduplication", near_deduplication),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
+
+#: SQL can express neither the classifier nor the packing: the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
