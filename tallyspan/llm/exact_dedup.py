@@ -16,8 +16,17 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh_path, load, staged
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a partition's store is closed when its task has committed, as no other batch waits for it.
+#: All stores of an executor share one bounded cache, and their write buffers are small, however many there are.
+ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+STATE_CONF = {
+    f"{ROCKS}.boundedMemoryUsage": "true",
+    f"{ROCKS}.maxMemoryUsageMB": "128",
+    f"{ROCKS}.writeBufferSizeMB": "4",
+    f"{ROCKS}.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def body(text: Column) -> Column:
@@ -31,12 +40,14 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def disk_backed_state(spark: SparkSession):
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def land(docs: DataFrame, path: str, digest: Callable[[Column], Column]) -> DataFrame:
