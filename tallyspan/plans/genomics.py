@@ -248,7 +248,7 @@ def smoothing_query(name: str, kernel: str, width: int, centred: bool = False) -
     query(f"{DENSE},{smooth_sql(kernel, width, 'dense', 'sample', 'x', 'v')} {place}", "series")(run)
 
 
-for _name, _kernel, _width in (("smooth_hanning", "hanning", 11), ("smooth_flat", "flat", 11), ("smooth_hamming", "hamming", 15), ("smooth_bartlett", "bartlett", 9), ("smooth_blackman", "blackman", 21)):
+for _name, _kernel, _width in (("smooth_hanning", "hanning", 11), ("smooth_flat", "flat", 11), ("smooth_hamming", "hamming", 7), ("smooth_bartlett", "bartlett", 9), ("smooth_blackman", "blackman", 13)):
     smoothing_query(_name, _kernel, _width)
 smoothing_query("smooth_centered", "hanning", 11, centred=True)
 
