@@ -50,7 +50,7 @@ def profile_types(profile: DataFrame, control: int | str, reach: int = 400, widt
 
     The background's own raw profiles stay. Smoothed profiles are ``width - 1`` longer and centred on 0.
     """
-    raw = profile.where(F.col("x").between(-reach, reach)).select("sample", "x", "average")
+    raw = profile.where(F.col("x").between(-reach, reach)).select("sample", "x", "average").persist()  # a few rows for each sample, read six times
     norm = over_background(raw, control)
     at = F.col("x") + reach
 
