@@ -27,7 +27,7 @@ HASHES = BANDS * ROWS
 #: deviations below what 0.75 gives.
 SCREEN = 74
 THRESHOLD = 75
-U_BLOCK, M_BLOCK = 256, 2048
+U_BLOCK, M_BLOCK = 256, 512
 
 _draw = np.random.default_rng(1)
 A = _draw.integers(1, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -57,8 +57,9 @@ def sketch_batches(batches):
 
 def set_batches(batches):
     for batch in batches:
-        found = [x.view(np.int64) for x in shingles(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
+        found = list(shingles(batch.column("text")))
+        short = [np.unique(x >> np.uint64(32)).astype("<u4").tobytes() for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(short, pa.binary())], ["id", "set", "short"])
 
 
 def band_batches(batches):
@@ -70,6 +71,7 @@ def band_batches(batches):
         for r in range(ROWS):
             key = (key ^ sig[:, :, r]) * np.uint64(0xC2B2AE3D27D4EB4F)
             key = key ^ (key >> np.uint64(31))
+        key = (key & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)  # a bucket's key ends in its band
         ids = np.repeat(batch.column("rep").to_numpy(), BANDS)
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], ["bucket", "rep"])
 
@@ -85,25 +87,30 @@ def screened(frames):
             yield f.loc[agreeing(f["sig_a"], f["sig_b"]) >= SCREEN, ["a", "b"]]
 
 
-def cross_pairs(best_only: bool):
-    """Pairs of a block of a bucket that lie in different components and pass the screen."""
+def cross_links(f: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block of a bucket between different components; every pair in its first common band.
 
-    def of(f: pd.DataFrame) -> pd.DataFrame:
-        us, ms = f[f["minor"]], f[~f["minor"]]
-        out = []
-        if len(us) and len(ms):
-            sig = np.frombuffer(b"".join(ms["signature"]), "<u4").reshape(-1, HASHES)
-            rep, comp = ms["rep"].to_numpy(), ms["comp"].to_numpy()
-            for u, c, s in zip(us["rep"], us["comp"], us["signature"]):
-                same = (sig == np.frombuffer(s, "<u4")).sum(axis=1)
-                hit = np.flatnonzero((same >= SCREEN) & (comp != c))
-                if best_only and len(hit):  # the nearest of each other component
-                    hit = hit[np.lexsort((rep[hit], -same[hit], comp[hit]))]
-                    hit = hit[np.unique(comp[hit], return_index=True)[1]]
-                out += [(min(u, rep[i]), max(u, rep[i]), same[i]) for i in hit]
-        return pd.DataFrame(out, columns=["a", "b", "weight"], dtype="int64")
-
-    return of
+    Signatures screen a pair, sets of 32-bit shingle hashes (two of slack) decide: what isn't a link
+    leaves no row.
+    """
+    us, ms = f[f["minor"]], f[~f["minor"]]
+    out = []
+    if len(us) and len(ms):
+        band = int(f["bucket"].iloc[0]) & (BANDS - 1)
+        sig = np.frombuffer(b"".join(ms["signature"]), "<u4").reshape(-1, HASHES)
+        rep, comp, main = ms["rep"].to_numpy(), ms["comp"].to_numpy(), ms["is_main"].to_numpy()
+        sets = [np.frombuffer(x, "<u4") for x in ms["short"]]
+        for u, c, s, short in zip(us["rep"], us["comp"], us["signature"], us["short"]):
+            equal = sig == np.frombuffer(s, "<u4")
+            hit = (equal.sum(axis=1) >= SCREEN) & (comp != c) & (main | (rep < u))
+            at = np.flatnonzero(hit)
+            at = at[equal[at].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+            own = np.frombuffer(short, "<u4")
+            for i in at:
+                shared = len(np.intersect1d(own, sets[i], assume_unique=True)) + 2
+                if 100 * shared >= THRESHOLD * (len(own) + len(sets[i]) - shared):
+                    out.append((min(u, rep[i]), max(u, rep[i])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 class Linker:
@@ -163,37 +170,38 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = staged(bands.join(buckets, "bucket").select("bucket", "a", "n", "rep"), "near-shared")
     stars = shared.where("rep <> a").groupBy("a", F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
     wanted = staged(shared.select(F.col("rep").alias("doc_id")).distinct(), "near-wanted")
-    sets = staged(docs.join(wanted, "doc_id").mapInArrow(set_batches, "id long, set array<bigint>"), "near-sets")
+    sets = staged(docs.join(wanted, "doc_id").mapInArrow(set_batches, "id long, set array<bigint>, short binary"), "near-sets")
 
     linker = Linker(spark, signatures, sets)
     linker.links = same_id
     linker.work_off(staged(stars, "near-stars"))
-    for best_only in (True, False):
-        pairs = staged(rest_pairs(linker, shared.where("n > 2"), signatures, best_only), "near-rest")
-        if pairs.isEmpty():
-            break
-        linker.work_off(pairs)
+    rest = staged(rest_pairs(linker, shared.where("n > 2"), signatures, sets), "near-rest")
+    if not rest.isEmpty():
+        linker.add(linker.confirm(rest))
     reps = classes.select("set_key", "rep")
     return sketches, linker.component_of(reps, "rep", "component")
 
 
-def rest_pairs(linker: Linker, shared: DataFrame, signatures: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b, weight): pairs that share a bucket but no component and pass the screen.
+def rest_pairs(linker: Linker, shared: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between classes that share a bucket but no component so far.
 
-    In each bucket, all but its largest component are held against the whole bucket, in blocks.
+    In each bucket, all but its largest component are held against the whole bucket, in blocks of
+    bounded size. Blocks compare, and only links come out.
     """
     comp = staged(linker.component_of(shared.select("bucket", "rep"), "rep", "comp"), "near-comp")
     mixed = comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     sizes = comp.join(mixed, "bucket").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("minors"))
-    rows = comp.join(staged(largest, "near-mixed"), "bucket")
+    rows = staged(comp.join(staged(largest, "near-mixed"), "bucket"), "near-mixed-rows")
     u_blocks, m_blocks = F.ceil(F.col("minors") / U_BLOCK), F.ceil(F.col("members") / M_BLOCK)
     spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-    minor = rows.where("comp <> main").select("bucket", "rep", "comp", F.lit(True).alias("minor"), (spread % u_blocks).alias("ub"), F.explode(F.sequence(F.lit(0).cast("long"), m_blocks - 1)).alias("mb"))
-    every = rows.select("bucket", "rep", "comp", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), u_blocks - 1)).alias("ub"), (spread % m_blocks).alias("mb"))
-    blocks = minor.unionByName(every).join(signatures.select("rep", "signature"), "rep")
-    found = blocks.groupBy("bucket", "ub", "mb").applyInPandas(cross_pairs(best_only), "a long, b long, weight long")
-    return found.groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    is_main = (F.col("comp") == F.col("main")).alias("is_main")
+    minor = rows.where("comp <> main").select("bucket", "rep", "comp", is_main, F.lit(True).alias("minor"), (spread % u_blocks).alias("ub"), F.explode(F.sequence(F.lit(0).cast("long"), m_blocks - 1)).alias("mb"))
+    every = rows.select("bucket", "rep", "comp", is_main, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), u_blocks - 1)).alias("ub"), (spread % m_blocks).alias("mb"))
+    known = signatures.select("rep", "signature").join(rows.select("rep").distinct(), "rep").join(sets.select(F.col("id").alias("rep"), "short"), "rep")
+    known = staged(known.dropDuplicates(["rep", "signature"]), "near-known")
+    found = minor.unionByName(every).join(known, "rep").groupBy("bucket", "ub", "mb").applyInPandas(cross_links, "a long, b long")
+    return found.distinct()
 
 
 def decide(docs: DataFrame) -> DataFrame:
