@@ -14,7 +14,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: Texts are long: Arrow batches of Spark's default number of rows would take much of an executor's memory.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SPARKS_OWN, OURS = "10000", "1000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless its owner has set a size."""
+    if spark.conf.get(BATCH_ROWS, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH_ROWS, OURS)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -32,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    bound_batches(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -45,7 +58,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again (a round's table once the next is written)."""
+    spark, path = df.sparkSession, df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+    if path is None:
+        return
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

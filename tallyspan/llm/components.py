@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def least_neighbour(links: DataFrame) -> DataFrame:
@@ -41,7 +41,11 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = fingerprint(links)
     while before[0]:
-        links = staged(small_star(staged(large_star(links), "large-star")), "small-star")
+        large = staged(large_star(links), "large-star")
+        small = staged(small_star(large), "small-star")
+        for done in (links, large):
+            discard(done)
+        links = small
         now = fingerprint(links)
         if now == before:
             break

@@ -32,11 +32,18 @@ GROUP = 20_000
 PIECES = "doc_id long, start long, length long, crc long, doc_tokens long, chunks array<long>"
 
 
+def parts_of(batches, rows: int):
+    """Batches of so many rows at most: what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def piece_batches(path: str):
     def of(batches):
         tokenizer = word_tokenizer(path)
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts_of(batches, 512):
             rows: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for doc, raw in zip(ids, tokenizer.encode(batch.column("text").to_pylist())):

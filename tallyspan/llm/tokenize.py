@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 #: Latin text up to here composes to itself and lower-cases character by character.
 LAST = 0x17F
 #: Words whose ids a worker remembers at most; then it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 def default_path() -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time; a longer text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 SPACE = np.zeros(256, bool)
@@ -41,6 +41,7 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
         yield at, to, data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
+    pa.default_memory_pool().release_unused()  # workers live on and share an executor's memory
 
 
 def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
