@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import CHROMOSOMES, FACTOR_COLOURS, FALLBACK_COLOUR, TECHNIQUES
+from .fixed import CHROMOSOMES, FACTOR_COLOURS, FALLBACK_COLOUR
 
 
 def kept_chromosome(chrom: Column) -> Column:
@@ -57,8 +57,9 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
-def technique_name(technique: Column, ip: Column) -> Column:
-    named = reduce(lambda c, kv: c.when(technique == kv[0], kv[1]), TECHNIQUES.items(), F.when(F.lit(False), ""))
+def technique_name(technique: Column, ip: Column, names: dict[str, str]) -> Column:
+    """Display name of a technique code by ``names``; any other is ATAC-seq, or ChIP-tagmentation if it has a factor."""
+    named = reduce(lambda c, kv: c.when(technique == kv[0], kv[1]), names.items(), F.when(F.lit(False), ""))
     return named.when(ip.isNull() | (ip == "nan"), "ATAC-seq").otherwise("ChIP-tagmentation")
 
 

@@ -1,4 +1,4 @@
-"""Fixed values of the domain: chromosomes, factor colours, the motif matrix, technique names."""
+"""Fixed values of the domain: chromosomes, factor colours, the motif matrix."""
 
 #: Chromosomes that are analysed; the mitochondrial one, Y and contigs are not.
 CHROMOSOMES = tuple(f"chr{k}" for k in [*range(1, 23), "X"])
@@ -26,9 +26,6 @@ FACTOR_COLOURS = (
 )
 FALLBACK_COLOUR = "#00523b"
 
-#: Track names of techniques; ATAC on a factor is ChIP-tagmentation.
-TECHNIQUES = {"CM": "ChIPmentation", "CHIP": "ChIP-seq"}
-
 #: The CTCF motif: weights of A, C, G, T at 21 positions.
 MOTIF = {
     "A": (

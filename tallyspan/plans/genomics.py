@@ -464,6 +464,7 @@ def sample_name(spark, d):
     return named_sheet(spark, d).select("id", "name", X.name_part(F.col("name"), 3).alias("factor"), X.name_part(F.col("name"), -1).alias("last"))
 
 
+SHOWN = {"CM": "tagmented ChIP", "CHIP": "ChIP-seq"}
 COLOUR_SQL = "CASE " + " ".join(f"WHEN contains(upper(name), '{k}') THEN '{v}'" for k, v in FACTOR_COLOURS) + f" ELSE '{FALLBACK_COLOUR}' END"
 RGB_SQL = "concat_ws(',', " + ", ".join(f"CAST(CAST('0x' || substring(colour, {2 + 2 * k}, 2) AS INT) AS VARCHAR)" for k in range(3)) + ")"
 
@@ -472,13 +473,13 @@ RGB_SQL = "concat_ws(',', " + ", ".join(f"CAST(CAST('0x' || substring(colour, {2
     f"""{NAMED}, c AS (SELECT *, {COLOUR_SQL} AS colour FROM named)
 SELECT id, colour, {RGB_SQL} AS rgb, CASE WHEN contains(name, 'CM') OR contains(name, 'ATAC') THEN '-' ELSE '--' END AS style,
        CASE WHEN contains(name, '100K') THEN '100K' WHEN contains(name, '10M') THEN '10M' WHEN contains(name, '500K') THEN '500K' END AS cells,
-       CASE technique WHEN 'CM' THEN 'ChIPmentation' WHEN 'CHIP' THEN 'ChIP-seq' ELSE CASE WHEN ip IS NULL THEN 'ATAC-seq' ELSE 'ChIP-tagmentation' END END AS shown
+       CASE technique WHEN 'CM' THEN 'tagmented ChIP' WHEN 'CHIP' THEN 'ChIP-seq' ELSE CASE WHEN ip IS NULL THEN 'ATAC-seq' ELSE 'ChIP-tagmentation' END END AS shown
 FROM c""",
     "sheet",
 )
 def factor_colour(spark, d):
     s = named_sheet(spark, d).withColumn("colour", X.factor_colour(F.col("name")))
-    return s.select("id", "colour", X.rgb(F.col("colour")).alias("rgb"), X.line_style(F.col("name")).alias("style"), X.cell_label(F.col("name")).alias("cells"), X.technique_name(F.col("technique"), F.col("ip")).alias("shown"))
+    return s.select("id", "colour", X.rgb(F.col("colour")).alias("rgb"), X.line_style(F.col("name")).alias("style"), X.cell_label(F.col("name")).alias("cells"), X.technique_name(F.col("technique"), F.col("ip"), SHOWN).alias("shown"))
 
 
 @query("SELECT id, ip, number_cells, technique FROM sheet WHERE regexp_matches(ip, 'CTCF|GATA1|PU1|REST') AND treatment IS NULL AND ip <> 'IGG' AND ip <> 'INPUT'", "sheet")
