@@ -98,8 +98,8 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha
     hits = groups.where("group_size > 1").select("digest", "keep_id")
     texts = docs.select("doc_id", digest(sha256(F.col("text"))).alias("digest"), body(F.col("text")).alias("body"))
     members = staged(texts.join(hits, "digest"), "exact-hits")
-    stay = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("stay_body"))
-    # staged before it is made distinct: Spark can then split the join where one group is large
+    stay = staged(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("stay_body")), "exact-stay")
+    # both sides staged, and the result before it is made distinct: Spark can then split the join where one group is large
     differ = staged(members.join(stay, "digest").where("body <> stay_body").select("digest"), "exact-collisions").distinct()
 
     one = F.col("copy") == 1
