@@ -244,7 +244,8 @@ def scan_batches(model: Model):
 
 def fit(docs: DataFrame) -> Model:
     """Train with paragraphs of MOST_DOCUMENTS documents (first by hash of id) as background."""
-    some = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCUMENTS)
+    chosen = docs.where("text is not null").select(F.col("doc_id").alias("chosen_id")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(MOST_DOCUMENTS)
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))  # MOST_DOCUMENTS ids
     lines = some.select(F.explode(F.split("text", "\n")).alias("p")).orderBy(F.xxhash64("p"), "p").limit(MOST_PARAGRAPHS).collect()
     known = [" ".join(tokens(t)) for ts in TEMPLATES.values() for t in ts]
     background = [r["p"] for r in lines]
