@@ -77,6 +77,7 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
         "This software is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ),

@@ -54,3 +54,11 @@ def test_nulls_empty_repeats(spark, model):
     got = licenses.find_licences(docs(spark, [(None, line), (1, None), (2, ""), (3, line), (3, line), (4, "\n\n" + line + "\n" + line)]), model).collect()
     assert sorted(str((r["doc_id"], r["paragraph"])) for r in got) == sorted(map(str, [(None, 0), (3, 0), (3, 0), (4, 2), (4, 3)]))
     assert licenses.find_licences(docs(spark, [])).count() == 0
+
+
+def test_all_rights_reserved(spark):
+    """Also where the background holds the notice, as in the test tables."""
+    rows = [(k, p + ("\nAll rights reserved." if k % 5 == 0 else "")) for k, p in enumerate(PROSE)]
+    got = licenses.find_licences(docs(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 200, 5))
+    assert {(r["family"], r["template"], r["paragraph"], r["similarity"]) for r in got} == {("proprietary", "All rights reserved.", 1, 1)}
