@@ -200,13 +200,47 @@ def run_hashes(strings: list[list[str]]) -> np.ndarray:
     return np.unique(np.array(out, np.uint64))
 
 
+def judged(model: Model, said: str) -> tuple[str, float, str, float] | None:
+    """Family, probability, template and similarity of a paragraph that is predicted and confirmed."""
+    ws = tokens(said)
+    if len(ws) < 3:
+        return None
+    family, p = model.predict(ws)
+    if family == UNKNOWN:
+        return None
+    template, share = model.confirm(family, ws)
+    return (family, p, template, share) if share >= SIMILARITY else None
+
+
+def best_run(model: Model, lines: list[str]) -> tuple[int, int, tuple] | None:
+    """First and last line, and verdict, of the run with the largest similarity that starts at the first line or, if
+    leading lines add nothing, below it; of equal ones the shortest."""
+    best = None
+    for last in range(1, len(lines)):
+        verdict = judged(model, "\n".join(lines[: last + 1]))
+        if verdict and (best is None or verdict[3] > best[2][3]):
+            best = (0, last, verdict)
+    if best is None:
+        return None
+    first, last, verdict = best
+    while first < last:
+        less = judged(model, "\n".join(lines[first + 1 : last + 1]))
+        if less is None or less[3] < verdict[3]:
+            break
+        first, verdict = first + 1, less
+    return first, last, verdict
+
+
 def scan_batches(model: Model):
-    """Paragraphs with a run of three template words, classified and confirmed.
+    """Lines with a run of three template words, and runs of adjacent lines from these on, classified and confirmed.
 
-    No other paragraph could be confirmed: a template's shingles are runs of three words and more.
+    No other paragraph could be confirmed: a template's shingles are runs of three words and more. A run is as
+    long as a template that starts in its first line can reach, and ends at a line without words or one that holds
+    a whole template by itself.
     """
     every = [tokens(t) for ts in TEMPLATES.values() for t in ts]
     triples = run_hashes([ws[i : i + 3] for ws in every for i in range(len(ws) - 2)])
+    most = max(map(len, every))
     schema = ["doc_id", "paragraph", "start", "end", "family", "probability", "template", "similarity"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.float64())
 
@@ -220,23 +254,47 @@ def scan_batches(model: Model):
                 runs = sequence_hash(hashes(FOLD[data], starts, ends), 3)
                 known = triples[np.minimum(np.searchsorted(triples, runs), len(triples) - 1)] == runs
                 breaks = np.flatnonzero(data == NEWLINE)
-                edges = np.union1d(breaks, bounds)  # a paragraph lies between two neighbours
-                for e in np.unique(np.searchsorted(edges, starts[np.flatnonzero(known)], "right")).tolist():
-                    a = int(edges[e - 1])
-                    z = int(edges[e]) if e < len(edges) else len(data)
-                    a += data[a] == NEWLINE
-                    text = int(np.searchsorted(bounds, a, "right")) - 1
+                edges = np.union1d(breaks, bounds)  # a line lies between two neighbours
+
+                def line(e):
+                    a, z = int(edges[e - 1]), int(edges[e]) if e < len(edges) else len(data)
+                    return a + int(data[a] == NEWLINE), z
+
+                def said(e):
+                    a, z = line(e)
+                    return data[a:z].tobytes().decode("utf-8", "replace")
+
+                def text_of(e):
+                    return int(np.searchsorted(bounds, edges[e - 1], "right")) - 1
+
+                def report(e, last, verdict):
+                    a, z = line(e)[0], line(last)[1]
+                    text = text_of(e)
                     begin = int(bounds[text])
-                    said = data[a:z].tobytes().decode("utf-8", "replace")
-                    ws = tokens(said)
-                    family, p = model.predict(ws)
-                    if family == UNKNOWN:
+                    start = len(data[begin:a].tobytes().decode("utf-8", "replace"))
+                    number = int(np.count_nonzero(data[begin:a] == NEWLINE))
+                    rows.append((ids[first + text], number, start, start + len(data[a:z].tobytes().decode("utf-8", "replace")), *verdict))
+
+                hits = np.unique(np.searchsorted(edges, starts[np.flatnonzero(known)], "right")).tolist()
+                alone = {e: v for e in hits if (v := judged(model, said(e)))}
+                taken = 0
+                for e in hits:
+                    if e <= taken:
                         continue
-                    template, share = model.confirm(family, ws)
-                    if share >= SIMILARITY:
-                        start = len(data[begin:a].tobytes().decode("utf-8", "replace"))
-                        number = int(np.count_nonzero(data[begin:a] == NEWLINE))
-                        rows.append((ids[first + text], number, start, start + len(said), family, p, template, share))
+                    own = alone.get(e)
+                    found = None
+                    if own is None or own[3] < 1:
+                        lines, after, k = [said(e)], 0, e + 1
+                        while after < most and k < len(edges) and (k not in alone or alone[k][3] < 1) and text_of(k) == text_of(e) and (ws := tokens(said(k))):
+                            lines.append(said(k))
+                            after += len(ws)
+                            k += 1
+                        found = best_run(model, lines)
+                    if found and (own is None or found[2][3] > own[3]):
+                        report(e + found[0], e + found[1], found[2])
+                        taken = e + found[1]
+                    elif own:
+                        report(e, e, own)
             columns = zip(*rows) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema)
 
@@ -257,7 +315,8 @@ def fit(docs: DataFrame) -> Model:
 def find_licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per confirmed licence paragraph: doc_id, paragraph, start, end, family, probability, template, similarity.
 
-    Paragraphs are lines, counted from 0; start and end are code points, end exclusive. A null or empty
+    Paragraphs are lines, or runs of adjacent lines that hold a notice together; ``paragraph`` is the first line,
+    counted from 0; start and end are code points, end exclusive. A null or empty
     text has none; a null doc_id is carried along; rows that repeat are scanned each on its own; other columns are
     ignored; no rows, no paragraphs. Of equal scores the first family in the list wins.
     """

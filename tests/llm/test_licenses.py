@@ -1,4 +1,6 @@
 import random
+import textwrap
+from collections import defaultdict
 
 import pytest
 from helpers import docs, prose
@@ -62,3 +64,29 @@ def test_all_rights_reserved(spark):
     got = licenses.find_licences(docs(spark, rows)).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(0, 200, 5))
     assert {(r["family"], r["template"], r["paragraph"], r["similarity"]) for r in got} == {("proprietary", "All rights reserved.", 1, 1)}
+
+
+@pytest.mark.parametrize("width, mark", [(72, ""), (40, " * "), (60, "# ")])
+def test_wrapped_notices(spark, model, width, mark):
+    """Templates of more than one line, between prose and blank lines, with what the span and the paragraph have to be."""
+    rows, want = [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            lines = textwrap.wrap(t, width)
+            if len(lines) < 2:
+                continue
+            k = len(rows)
+            notice = "\n".join(mark + x for x in lines)
+            rows.append((k, f"é {PROSE[k % 90]}\n\n{notice}\n\n{PROSE[3]}"))
+            want[k] = (family, notice)
+    rows += [(500, rows[0][1].split("\n\n")[1].split("\n")[0]), (501, "Permission is hereby granted, free of\n\n\ncharge, to any person obtaining a copy")]
+    found = licenses.find_licences(docs(spark, rows), model).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r["doc_id"]].append(r)
+    text = dict(rows)
+    whole = 0
+    for k, (family, notice) in want.items():
+        assert by[k] and {r["family"] for r in by[k]} == {family}, notice
+        whole += any(text[k][r["start"] : r["end"]] == notice and r["paragraph"] == 2 and r["similarity"] == 1 for r in by[k])
+    assert whole >= 0.6 * len(want) and 501 not in by
