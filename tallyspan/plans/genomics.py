@@ -572,6 +572,12 @@ def cdt_matrix(spark, d):
     return wide_matrix(ranked.select("name", "x", "n", "total"), -10, 10)
 
 
+@query(f"{BOTH} SELECT sample, name AS X, name AS NAME, 1 AS GWEIGHT, CAST(sum(n) AS BIGINT) AS total, " + ", ".join(f'CAST(coalesce(sum(n) FILTER (x = {x}), 0) AS BIGINT) AS "X{x}"' for x in range(-400, 400)) + " FROM both_strands WHERE x BETWEEN -400 AND 399 GROUP BY sample, name", "reads", "windows")
+def cdt_matrices(spark, d):
+    """The whole matrix of every sample; ``cdt_matrix`` is an excerpt of one."""
+    return wide_matrix(C.ranked_matrix(C.cut_counts(*reads_and_windows(spark, d))), -400, 399, "sample")
+
+
 # --- footprints --------------------------------------------------------------------------------
 
 

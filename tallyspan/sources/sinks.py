@@ -12,15 +12,15 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.csv(path, header=True, sep=sep)
 
 
-def wide_matrix(counts: DataFrame, first: int, last: int) -> DataFrame:
-    """X, NAME, GWEIGHT and one column per position: a row per window, missing positions 0.
+def wide_matrix(counts: DataFrame, first: int, last: int, *by: str) -> DataFrame:
+    """X, NAME, GWEIGHT and one column per position: a row per window (of each ``by``), missing positions 0.
 
-    ``counts`` has (name, x, n, total). The columns are given, so the pivot needs no pass of its own.
+    ``counts`` has (name, x, n, total) and the columns ``by``. The columns are given, so the pivot needs no pass of its own.
     """
     columns = list(range(first, last + 1))
-    wide = counts.groupBy("name", "total").pivot("x", columns).agg(F.first("n"))
+    wide = counts.groupBy(*by, "name", "total").pivot("x", columns).agg(F.first("n"))
     filled = [F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(f"X{x}") for x in columns]
-    return wide.select(F.col("name").alias("X"), F.col("name").alias("NAME"), F.lit(1).alias("GWEIGHT"), *filled, "total")
+    return wide.select(*by, F.col("name").alias("X"), F.col("name").alias("NAME"), F.lit(1).alias("GWEIGHT"), *filled, "total")
 
 
 def write_cdt(counts: DataFrame, path: str, first: int = -400, last: int = 399) -> None:

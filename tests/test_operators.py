@@ -184,3 +184,12 @@ def test_sources_and_sinks(spark, tmp_path):
     for _ in range(2):
         assert sinks.memoised(spark, str(tmp_path / "memo"), make, ["name"]).count() == 3
     assert len(calls) == 1
+
+
+def test_matrix_of_every_sample(spark):
+    """Every position and every sample: a row's positions add up to its total."""
+    from tallyspan.plans import genomics
+
+    got = genomics.QUERIES["cdt_matrices"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r["sample"] for r in got}) == 7
+    assert all(sum(r[f"X{x}"] for x in range(-400, 400)) == r["total"] for r in got)
