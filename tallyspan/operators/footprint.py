@@ -30,10 +30,10 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - shift
 
 
-def nb_log(total: Column, mean: float, size: float) -> Column:
+def nb_log(total: Column, mean: Column, size: Column) -> Column:
     """Log probability of a total under a negative binomial, without the term that all states share."""
-    m, r = max(mean, 1e-6), size
-    return log_gamma(total + F.lit(r)) - log_gamma(F.lit(r)) + F.lit(r * log(r / (r + m))) + total * F.lit(log(m / (r + m)))
+    m, r = F.greatest(mean, F.lit(1e-6)), size
+    return log_gamma(total + r) - log_gamma(r) + r * F.log(r / (r + m)) + total * F.log(m / (r + m))
 
 
 def moments(mean: float, square: float) -> tuple[float, float]:
@@ -45,51 +45,74 @@ def moments(mean: float, square: float) -> tuple[float, float]:
 def footprint_posteriors(counts: DataFrame, sites: DataFrame, width: int, rounds: int = 15) -> DataFrame:
     """(name, posterior) for sites (name, score) from counts (name, x, n); sites without cuts have total 0.
 
-    Starts from totals: sites above the mean count as bound. Names are unique; empty in, empty out.
+    Counts with a column ``sample`` give (sample, name, posterior): each sample has a model of its own, and every
+    sample all sites; a round is one job for all. Starts from totals: sites above the mean count as bound.
+    Names are unique; empty in, empty out.
     """
-    totals = counts.groupBy("name").agg(F.sum("n").alias("t"))
-    base = sites.select("name", F.col("score").cast("double").alias("score")).join(totals, "name", "left").select("name", "score", F.coalesce("t", F.lit(0)).cast("double").alias("t")).persist()
-    cuts = counts.select("name", "x", F.col("n").cast("double").alias("n")).persist()
-    first = base.agg(F.avg("t"), F.avg("score"), F.stddev_pop("score"), F.count(F.lit(1))).first()
-    mean_t, mean_s, sd_s = first[0] or 0.0, first[1] or 0.0, first[2] or 1.0
-    scaled = base.select("name", "t", ((F.col("score") - mean_s) / (sd_s or 1.0)).alias("z"))
-    posterior = scaled.withColumn("p", F.when(F.col("t") > mean_t, 0.9).otherwise(0.1))
-    at = Parameters()
-    for _ in range(rounds if first[3] else 0):
+    by_sample = "sample" in counts.columns
+    if not by_sample:
+        counts = counts.withColumn("sample", F.lit(0))
+    cuts = counts.select("sample", "name", "x", F.col("n").cast("double").alias("n")).persist()
+    totals = cuts.groupBy("sample", "name").agg(F.sum("n").alias("t"))
+    every = cuts.select("sample").distinct() if by_sample else cuts.sparkSession.range(1).select(F.lit(0).alias("sample"))
+    base = sites.select("name", F.col("score").cast("double").alias("score")).crossJoin(F.broadcast(every))  # one row per sample
+    base = base.join(totals, ["sample", "name"], "left").select("sample", "name", "score", F.coalesce("t", F.lit(0.0)).alias("t")).persist()
+    first = base.groupBy("sample").agg(F.avg("t").alias("mean_t"), F.avg("score").alias("mean_s"), F.stddev_pop("score").alias("sd_s"))
+    z = (F.col("score") - F.coalesce("mean_s", F.lit(0.0))) / F.when(F.col("sd_s") > 0, F.col("sd_s")).otherwise(1.0)
+    started = base.join(F.broadcast(first), "sample").select("sample", "name", "t", z.alias("z"), F.when(F.col("t") > F.col("mean_t"), 0.9).otherwise(0.1).alias("p")).persist()
+    scaled, posterior = started.drop("p"), started
+    at = {r["sample"]: Parameters() for r in first.select("sample").collect()}  # one row per sample
+    for _ in range(rounds if at else 0):
         at = maximised(at, posterior, cuts, width)
         posterior = expected(at, scaled, cuts, width)
-    return posterior.select("name", F.col("p").alias("posterior"))
+    return posterior.select(*["sample"] * by_sample, "name", F.col("p").alias("posterior"))
 
 
-def maximised(at: Parameters, posterior: DataFrame, cuts: DataFrame, width: int) -> Parameters:
+def parameters(at: dict, like: DataFrame) -> DataFrame:
+    """One row of parameters per sample, to be broadcast."""
+    kind = like.schema["sample"].dataType.simpleString()
+    rows = [(s, a.b0, a.b1, *map(float, a.bound), *map(float, a.unbound)) for s, a in at.items()]
+    return F.broadcast(like.sparkSession.createDataFrame(rows, f"sample {kind}, b0 double, b1 double, m1 double, r1 double, m0 double, r0 double"))
+
+
+def maximised(at: dict, posterior: DataFrame, cuts: DataFrame, width: int) -> dict:
     p, q, t, z = F.col("p"), 1 - F.col("p"), F.col("t"), F.col("z")
-    prior = 1 / (1 + F.exp(-(F.lit(at.b0) + F.lit(at.b1) * z)))
+    prior = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * z)))
     v = prior * (1 - prior)
-    g = posterior.agg(
-        *[F.sum(e) for e in (p, q, p * t, q * t, p * t * t, q * t * t, p - prior, (p - prior) * z, v, v * z, v * z * z)]
-    ).first()
-    g = [float(x or 0) for x in g]
+    sums = [F.sum(e).alias(f"g{k}") for k, e in enumerate((p, q, p * t, q * t, p * t * t, q * t * t, p - prior, (p - prior) * z, v, v * z, v * z * z))]
+    found = posterior.join(parameters(at, posterior), "sample").groupBy("sample").agg(*sums).collect()  # one row per sample
+    rows = cuts.join(posterior.select("sample", "name", "p"), ["sample", "name"]).groupBy("sample", "x").agg(F.sum(F.col("n") * F.col("p")).alias("w")).collect()  # one row per sample and position
+    shapes: dict = {s: {} for s in at}
+    for r in rows:
+        shapes[r["sample"]][r["x"]] = r["w"]
+    return {r["sample"]: stepped(at[r["sample"]], [float(x or 0) for x in r[1:]], shapes[r["sample"]], width) for r in found}
+
+
+def stepped(at: Parameters, g: list[float], shape: dict, width: int) -> Parameters:
     # one ridged Newton step for the prior
     h00, h01, h11 = g[8] + 1e-3, g[9], g[10] + 1e-3
     det = h00 * h11 - h01 * h01
     b0, b1 = at.b0 + (h11 * g[6] - h01 * g[7]) / det, at.b1 + (h00 * g[7] - h01 * g[6]) / det
-    rows = cuts.join(posterior.select("name", "p"), "name").groupBy("x").agg(F.sum(F.col("n") * F.col("p")).alias("w")).collect()  # one row per position
-    total = sum(r["w"] for r in rows) + width * 0.5
-    profile = {r["x"]: (r["w"] + 0.5) / total for r in rows}
+    total = sum(shape.values()) + width * 0.5
+    profile = {x: (w + 0.5) / total for x, w in shape.items()}
     weight = lambda a, b: a / b if b > 0 else 0.0
     return Parameters(
         max(min(b0, 20.0), -20.0), max(min(b1, 20.0), -20.0), moments(weight(g[2], g[0]), weight(g[4], g[0])), moments(weight(g[3], g[1]), weight(g[5], g[1])), {-(10**9): 0.5 / total, **profile}
     )
 
 
-def expected(at: Parameters, scaled: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
-    gain = scaled.sparkSession.createDataFrame([(x, log(v) + log(width)) for x, v in at.profile.items()], "x long, gain double")  # one row per position
-    shape = cuts.join(F.broadcast(gain), "x").groupBy("name").agg(F.sum(F.col("n") * F.col("gain")).alias("shape"))
-    odds = F.lit(at.b0) + F.lit(at.b1) * F.col("z") + nb_log(F.col("t"), *at.bound) - nb_log(F.col("t"), *at.unbound) + F.coalesce("shape", F.lit(0.0))
-    return scaled.join(shape, "name", "left").select("name", "t", "z", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))))).alias("p"))
+def expected(at: dict, scaled: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
+    kind = scaled.schema["sample"].dataType.simpleString()
+    rows = [(s, x, log(v) + log(width)) for s, a in at.items() for x, v in a.profile.items()]
+    gain = scaled.sparkSession.createDataFrame(rows, f"sample {kind}, x long, gain double")  # one row per sample and position
+    shape = cuts.join(F.broadcast(gain), ["sample", "x"]).groupBy("sample", "name").agg(F.sum(F.col("n") * F.col("gain")).alias("shape"))
+    c = F.col
+    odds = c("b0") + c("b1") * c("z") + nb_log(c("t"), c("m1"), c("r1")) - nb_log(c("t"), c("m0"), c("r0")) + F.coalesce("shape", F.lit(0.0))
+    joined = scaled.join(parameters(at, scaled), "sample").join(shape, ["sample", "name"], "left")
+    return joined.select("sample", "name", "t", "z", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))))).alias("p"))
 
 
 def posterior_summary(posteriors: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n): sites by tenths of their posterior."""
+    """(bin, n), of each sample if there are samples: sites by tenths of their posterior."""
     place = F.least(F.floor(F.col("posterior") * bins), F.lit(bins - 1)).cast("int")
-    return posteriors.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return posteriors.groupBy(*[c for c in posteriors.columns if c == "sample"], place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

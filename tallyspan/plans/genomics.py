@@ -583,7 +583,7 @@ def cdt_matrices(spark, d):
 
 def posteriors(spark, d):
     reads, windows = reads_and_windows(spark, d)
-    counts = C.collapse_strands(C.cut_counts(reads, windows)).where((F.col("sample") == 1) & F.col("x").between(-200, 199)).select("name", "x", "n")
+    counts = C.collapse_strands(C.cut_counts(reads, windows)).where(F.col("x").between(-200, 199)).select("sample", "name", "x", "n")
     sites = view(spark, d, "sites").join(C.usable_windows(windows).select("name"), "name")
     return footprint.footprint_posteriors(counts, sites, 400)
 

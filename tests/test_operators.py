@@ -193,3 +193,19 @@ def test_matrix_of_every_sample(spark):
     got = genomics.QUERIES["cdt_matrices"](spark, "/root/testdata/sf0.001").collect()
     assert len({r["sample"] for r in got}) == 7
     assert all(sum(r[f"X{x}"] for x in range(-400, 400)) == r["total"] for r in got)
+
+
+def test_footprints_of_every_sample(spark):
+    """A sample's posteriors are those of a run with its counts alone."""
+    rng = np.random.default_rng(8)
+    rows = [(s, f"s{k}", int(x), 1 + int(x) % 2) for s in ("a", "b") for k in range(30) for x in rng.choice(20, 9 if (k < 10) == (s == "a") else 2, replace=False)]
+    sites = spark.createDataFrame([(f"s{k}", float(rng.normal(k < 10))) for k in range(32)], "name string, score double")
+    counts = spark.createDataFrame(rows, "sample string, name string, x long, n long")
+    both = footprint.footprint_posteriors(counts, sites, 20, rounds=2)
+    got = {(r["sample"], r["name"]): r["posterior"] for r in both.collect()}
+    assert len(got) == 64
+    for s in "ab":
+        for r in footprint.footprint_posteriors(counts.where(f"sample = '{s}'").drop("sample"), sites, 20, rounds=2).collect():
+            assert got[s, r["name"]] == pytest.approx(r["posterior"], abs=1e-9)
+    summary = footprint.posterior_summary(both).groupBy("sample").sum("n").collect()
+    assert {r["sample"]: r["sum(n)"] for r in summary} == {"a": 32, "b": 32}
