@@ -23,9 +23,9 @@ from .tokens import shingles
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-#: At 0.75 a pair misses all 32 bands five times in a million; 74 equal minima of 128 lie 4.4 standard
-#: deviations below what 0.75 gives.
-SCREEN = 74
+#: At 0.75 a pair misses all 32 bands five times in a million, and has fewer than 68 equal minima of 128 three times
+#: in a hundred million.
+SCREEN = 68
 THRESHOLD = 75
 U_BLOCK, M_BLOCK = 256, 512
 

@@ -79,3 +79,10 @@ def test_components_of_chains_stars_and_loops(spark):
     nodes = {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: c for n, c in roots(links, nodes).items()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_screen_loses_little_beside_the_bands():
+    from math import comb
+
+    below = sum(comb(near_dedup.HASHES, k) * 0.75**k * 0.25 ** (near_dedup.HASHES - k) for k in range(near_dedup.SCREEN))
+    assert below < 0.01 * (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS
