@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from time import sleep
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +35,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) is a temporary folder made.
+    Where that setting is absent (tests) a temporary folder is made if all of Spark is this process. On a cluster that
+    is an error: each executor would write to a disk of its own, and later reads would miss rows.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -58,14 +63,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and the file system that it is on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = file_system(spark, path)
+    return system.exists(target)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again (a round's table once the next is written)."""
-    spark, path = df.sparkSession, df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-    if path is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files = df.inputFiles()
+    if files:
+        target, system = file_system(df.sparkSession, files[0].rsplit("/", 1)[0])
+        system.delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now.
+
+    It does so once the driver's collector finds that no plan needs them, which on an idle driver can take half an hour.
+    """
+    for _ in range(2):  # what the first finds holds on to what the second finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        sleep(0.3)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -76,6 +101,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whole, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def column_name(df: DataFrame, base: str) -> str:
     """A name for a helper column that clashes with none of ``df``, whatever the case."""
     taken = {c.lower() for c in df.columns}
