@@ -1,20 +1,22 @@
 """Exact deduplication by a stateful stream.
 
-Arrivals (digest, stable id, content locator) are landed in the shared folder and read as a stream.
-A streaming aggregation keyed by digest keeps, in RocksDB state without expiry, the id that stays,
-its locator and the size of the group. On hits the full bytes are compared with those of the row
-that stays, so that a colliding digest can't merge different texts.
+Arrivals land in the shared folder, a batch at a time: digest, stable id, content locator and the bytes that the
+locator addresses. The landing folder is read as a stream. A streaming aggregation keyed by digest keeps, in RocksDB
+state without expiry, the id that stays, its locator and the size of the group. On hits the full bytes are compared with
+those that the state's locator leads to, of whatever call they are, so that a colliding digest can't merge
+different texts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh_path, load, staged
+from .common import ascii_lower, column_name, discard, exists, fresh_path, load, quoted, staged
 
 #: State on disk; a partition's store is closed when its task has committed, as no other batch waits for it.
 #: All stores of an executor share one bounded cache, and their write buffers are small, however many there are.
@@ -27,6 +29,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+LANDED = "doc_id long, body string, sha string, digest string, locator string"
+ARRIVED = "doc_id long, digest string, locator string"
 
 
 def body(text: Column) -> Column:
@@ -50,96 +54,103 @@ def disk_backed_state(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def land(docs: DataFrame, path: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Append the arrivals to the landing folder: one row per (doc_id, text) with its number of copies."""
-    sha = sha256(F.col("text"))
-    seen = docs.select("doc_id", sha.alias("sha"), F.input_file_name().alias("locator"))
-    rows = seen.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("copies"), F.min("locator").alias("locator"))
-    rows.withColumn("digest", digest(F.col("sha"))).write.mode("append").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+def land(docs: DataFrame, folder: str, digest: Callable[[Column], Column], batch: str) -> DataFrame:
+    """Land the arrivals as a batch, unless it has landed before; all that has landed so far.
+
+    A row's locator is its batch and its number there. What a failed call has left of a batch is replaced.
+    """
+    spark, path = docs.sparkSession, f"{folder}/batch={batch}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows = docs.select("doc_id", body(F.col("text")).alias("body")).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
+        located = rows.select("*", digest(F.col("sha")).alias("digest"), F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string")).alias("locator"))
+        located.write.mode("overwrite").parquet(path)
+    return spark.read.schema(LANDED).parquet(folder).drop("batch")
 
 
-def run_stream(spark: SparkSession, landing: str, schema, state: str, out: str) -> DataFrame:
+def run_stream(spark: SparkSession, landing: str, state: str, out: str) -> DataFrame:
     """Digest groups (digest, keep_id, locator, group_size) once the stream has taken all that has landed.
 
     ``state`` holds the stream's checkpoint: a later call with the same folders goes on from there.
     """
-    arrivals = spark.readStream.schema(schema).parquet(landing)
-    groups = arrivals.groupBy("digest").agg(
-        F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.sum("copies").alias("group_size")
-    )
+    arrivals = spark.readStream.schema(ARRIVED).parquet(f"{landing}/batch=*")
+    groups = arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(f"{out}/update={number}")  # a batch that is run again replaces itself
 
     with disk_backed_state(spark):
         query = groups.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
-    updates = spark.read.schema("digest string, keep_id long, locator string, group_size long, batch int").parquet(out)
-    newest = F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("g")
-    return updates.groupBy("digest").agg(newest).select("digest", "g.*")
+    updates = spark.read.schema("digest string, stays struct<doc_id:bigint,locator:string>, group_size long, update int").parquet(out)
+    newest = updates.groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "update").alias("g"))
+    return newest.select("digest", F.col("g.stays.doc_id").alias("keep_id"), F.col("g.stays.locator").alias("keep_locator"), F.col("g.group_size").alias("group_size"))
 
 
-def decide(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha, work: str | None = None) -> DataFrame:
+def collisions(landed: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of digests that several rows have, with their bytes; and the digests whose rows aren't all equal to the one that stays."""
+    hits = groups.where("group_size > 1").select("digest", "keep_locator")
+    members = staged(landed.select("doc_id", "body", "digest", "locator").join(hits, "digest"), "exact-hits")
+    stay = staged(members.where("locator = keep_locator").select("digest", F.col("body").alias("stay_body")), "exact-stay")
+    # both sides staged, and the result before it is made distinct: Spark can then split the join where one group is large
+    differ = staged(members.join(stay, "digest").where("body <> stay_body").select("digest"), "exact-collisions")
+    discard(stay)
+    return members, differ
+
+
+def decide(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha, work: str | None = None, batch: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator.
 
     Equal are texts that are identical after lower-casing A-Z; null counts as empty. The row with the
     largest doc_id stays; of rows that repeat id and text one stays. Null ids come last: they
     stay only where a group has no other (keep_id is null then). Empty in, empty out; other columns
-    are ignored. ``digest`` makes the state's key of a SHA-256; ``work`` is a folder that holds the
-    state between calls (then ``docs`` are new arrivals, and the decisions are those over all).
+    are ignored. ``digest`` makes the state's key of a SHA-256.
+
+    ``work`` is a folder that holds state and contents between calls: ``docs`` are new arrivals then, and the rows and
+    decisions are those of all calls. ``batch`` names the arrivals: a call that is repeated with the same name, after a
+    failure or not, lands them once.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     work = work or fresh_path(spark, "exact-dedup")
-    landed = land(docs, f"{work}/landed", digest)
-    groups = staged(run_stream(spark, f"{work}/landed", landed.schema, f"{work}/state", f"{work}/updates"), "exact-groups")
-
-    hits = groups.where("group_size > 1").select("digest", "keep_id")
-    texts = docs.select("doc_id", digest(sha256(F.col("text"))).alias("digest"), body(F.col("text")).alias("body"))
-    members = staged(texts.join(hits, "digest"), "exact-hits")
-    stay = staged(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("stay_body")), "exact-stay")
-    # both sides staged, and the result before it is made distinct: Spark can then split the join where one group is large
-    differ = staged(members.join(stay, "digest").where("body <> stay_body").select("digest"), "exact-collisions").distinct()
-
-    one = F.col("copy") == 1
-    landed = landed.join(groups.select("digest", "keep_id", "group_size"), "digest")
-    decided = landed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(
-        "doc_id", "keep_id", "group_size", (one & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("sha").alias("text_sha256"), "digest", "locator"
-    )
-    if not differ.isEmpty():  # a digest with several texts: group those by their bytes
-        mixed = members.join(differ, "digest", "left_semi").groupBy("digest", "body", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
-        by_bytes = mixed.groupBy("digest", "body").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-        again = mixed.join(by_bytes, ["digest", "body"]).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-        decided = decided.join(differ, "digest", "left_anti").unionByName(
-            again.select(
-                "doc_id", "keep_id", "group_size", (one & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "digest", F.lit("").alias("locator")
-            )
-        )
-    return decided.drop("digest")
+    landed = land(docs, f"{work}/landed", digest, batch or uuid.uuid4().hex)
+    groups = staged(run_stream(spark, f"{work}/landed", f"{work}/state", f"{work}/updates"), "exact-groups")
+    members, differ = collisions(landed, groups)
+
+    decided = landed.drop("body").join(groups, "digest")
+    if differ.isEmpty():
+        discard(members)
+    else:  # a digest with several texts: group those by their bytes
+        differ = differ.distinct()
+        mixed = staged(members.drop("keep_locator").join(differ, "digest", "left_semi"), "exact-mixed")
+        by_bytes = mixed.groupBy("digest", "body").agg(F.max(F.struct("doc_id", "locator")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
+        again = mixed.join(by_bytes, ["digest", "body"])
+        again = again.select("digest", "doc_id", F.sha2(F.col("body").cast("binary"), 256).alias("sha"), "locator", F.col("stays.doc_id").alias("keep_id"), F.col("stays.locator").alias("keep_locator"), "group_size")
+        decided = decided.join(differ, "digest", "left_anti").unionByName(again)
+    return decided.select("doc_id", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"), F.col("sha").alias("text_sha256"), "locator")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``decide`` drops; same columns."""
+    """``docs`` without the rows that ``decide`` drops; same columns.
+
+    Null texts count as empty, null ids stay only where a group has no other; of rows that repeat id and text one
+    stays, whichever if they differ elsewhere. Empty in, empty out.
+    """
     decided = staged(decide(docs), "exact-decided")
     gone = staged(decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("rows")).where("not any_kept or rows > 1"), "exact-gone")
-    sha = sha256(docs["text"])
-
-    def named(part: DataFrame) -> DataFrame:
-        return part.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"))
+    discard(decided)
+    gone_id, gone_sha = column_name(docs, "gone_id"), column_name(docs, "gone_sha")
+    sha = sha256(F.col("text"))
 
     def of(part: DataFrame):
-        part = named(part)
-        return part, docs["doc_id"].eqNullSafe(part["gone_id"]) & (sha == part["gone_sha"])
+        part = part.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
+        return part, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (sha == F.col(gone_sha))
 
-    other, match = of(gone)
-    left = docs.join(other, match, "left_anti")
+    left = docs.join(*of(gone), "left_anti")
     repeated = gone.where("any_kept")
     if not repeated.isEmpty():  # rows with equal id and text: one of each stays
-        other, match = of(repeated)
         names = docs.columns
-        first = docs.join(other, match, "left_semi").select(F.struct(*[docs[c] for c in names]).alias("r"), F.sha2(body(F.col("text")).cast("binary"), 256).alias("s"))
-        left = left.unionByName(first.groupBy(F.col("r.doc_id").alias("k"), "s").agg(F.first("r").alias("r")).select(*[F.col("r").getField(c).alias(c) for c in names]))
+        first = docs.join(*of(repeated), "left_semi").select(F.struct(*[F.col(quoted(c)) for c in names]).alias("r"), F.col("doc_id").alias("k"), sha.alias("s"))
+        left = left.unionByName(first.groupBy("k", "s").agg(F.first("r").alias("r")).select(*[F.col("r").getField(c).alias(c) for c in names]))
     return left
 
 
