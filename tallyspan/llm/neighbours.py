@@ -6,27 +6,30 @@ pigeonhole principle a code within Hamming radius R of a query agrees with it in
 to R // 8 flips, so probing those keys retrieves every such code; its vector is then ranked by exact
 distance. R is the least radius that holds the wanted share of true neighbours in the sample.
 
-All vectors are indexed, in blocks of bounded size; the stated queries meet all blocks in
-chunks of bounded size, so neither side is gathered whole and no candidate pairs are shuffled.
+All vectors are indexed, in blocks of bounded size, where they lie. The stated queries are sent to them in chunks of
+bounded size; a partition keeps each query's nearest and returns those: neither vectors nor candidates are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, staged
+from .common import discard, load, staged
 
 BITS, PARTS = 64, 8
 PART_BITS = BITS // PARTS
 #: Vectors that the rotation and the radius are learned on, at most; all are indexed.
-SAMPLE = 16_384
+SAMPLE, SAMPLE_BYTES = 16_384, 64 << 20
 SAMPLE_QUERIES = 256
 #: Share of true neighbours that the radius has to hold in the sample.
 RECALL = 0.97
-BLOCK, CHUNK = 16_384, 4_096
+#: Bytes of the vectors in a block, and of a chunk of queries.
+BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 16 << 20
 K = 10
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << PART_BITS)], np.uint8)
 #: Substring keys by their Hamming distance from a key.
@@ -99,30 +102,58 @@ class Block:
         return at[POPCOUNT[self.codes[at] ^ code].sum(axis=1) <= radius]
 
 
-def search_block(codes: Codes, k: int):
-    """Each query's k nearest in a block; where the radius holds fewer, it grows until it holds k or all."""
-
-    def of(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(vectors) and len(queries):
-            x, ids = np.stack(vectors["vector"]), vectors["id"].to_numpy()
-            block = Block(codes.parts(x))
-            q = np.stack(queries["vector"])
-            for qid, v, code in zip(queries["id"].to_numpy(), q, codes.parts(q)):
-                radius = codes.radius
-                while True:
-                    at = block.within(code, radius)
-                    at = at[ids[at] != qid]
-                    if len(at) >= k or radius >= BITS:
-                        break
-                    radius = min(BITS, radius + PARTS)
-                d = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
-                if len(at) > k:
-                    most = np.partition(d, k - 1)[k - 1]
-                    at, d = at[d <= most], d[d <= most]
-                order = np.lexsort((ids[at], d))[:k]
-                out += [(qid, i, s) for i, s in zip(ids[at[order]], d[order])]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+class Nearest:
+    """Running k nearest of each query, nearest first, ties to the smaller id."""
+
+    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.codes, self.ids, self.vectors, self.k = codes, ids, vectors, k
+        self.probes = codes.parts(vectors)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+    def search(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Take in a block: where the radius holds fewer than k of it, the radius grows until it holds k or all."""
+        block = Block(self.codes.parts(x))
+        for q, (qid, v, code) in enumerate(zip(self.ids, self.vectors, self.probes)):
+            radius = self.codes.radius
+            while True:
+                at = block.within(code, radius)
+                at = at[ids[at] != qid]
+                if len(at) >= self.k or radius >= BITS:
+                    break
+                radius = min(BITS, radius + PARTS)
+            d = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+            near, so_far = self.found[q]
+            near, so_far = np.concatenate([near, ids[at]]), np.concatenate([so_far, d])
+            if len(near) > self.k:
+                most = np.partition(so_far, self.k - 1)[self.k - 1]
+                near, so_far = near[so_far <= most], so_far[so_far <= most]
+            order = np.lexsort((near, so_far))[: self.k]
+            self.found[q] = near[order], so_far[order]
+
+    def rows(self) -> pd.DataFrame:
+        sizes = [len(near) for near, _ in self.found]
+        return pd.DataFrame({"query_id": np.repeat(self.ids, sizes), "vec_id": np.concatenate([n for n, _ in self.found]), "score": np.concatenate([d for _, d in self.found])})
+
+
+def searcher(asked, codes: Codes, k: int, size: int):
+    """Over a partition's vectors, block by block: the k nearest of each query in it. ``asked`` is a broadcast (ids, vectors)."""
+    most = max(1, BLOCK_BYTES // (8 * size))
+
+    def of(frames):
+        ids, vectors = asked.value
+        nearest_of = Nearest(codes, ids, vectors, k)
+        held, rows = [], 0
+        for f in frames:
+            for at in range(0, len(f), most):
+                part = f.iloc[at : at + most]
+                held.append((part["id"].to_numpy(), np.stack(part["vector"])))
+                rows += len(part)
+                if rows >= most:
+                    nearest_of.search(*(np.concatenate(x) for x in zip(*held)))
+                    held, rows = [], 0
+        if rows:
+            nearest_of.search(*(np.concatenate(x) for x in zip(*held)))
+        yield nearest_of.rows()
 
     return of
 
@@ -132,8 +163,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_colum
 
     Nearest first, ties to the smaller id. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do null ids; nor do vectors of a length other than the commonest. Rows that
-    repeat a query's id aren't its neighbours, and rows that repeat an id are each a candidate. Where there are
-    fewer than k candidates, all are returned; without vectors nothing is.
+    repeat a query's id aren't its neighbours and ask once (with the least of their vectors); rows that repeat
+    an id are each a candidate. Where there are fewer than k candidates, all are returned; without vectors nothing is.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -141,18 +172,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_colum
     lengths = good.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
     if lengths is None:
         return spark.createDataFrame([], schema)
-    good = good.where(F.size("vector") == lengths["size"])
-    asked = staged(usable(queries, id_column, vector_column).where(F.size("vector") == lengths["size"]), "ann-queries")
-    taken = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    size = lengths["size"]
+    good = good.where(F.size("vector") == size)
+    asked = usable(queries, id_column, vector_column).where(F.size("vector") == size).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = staged(asked, "ann-queries")
+    taken = good.orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size)))).select("vector").collect()
     codes = Codes(np.array([r["vector"] for r in taken]), k)
 
-    blocks, chunks = -(-lengths["n"] // BLOCK), max(1, -(-asked.count() // CHUNK))
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = good.select("id", "vector", deal(blocks, 1).alias("block"), every(chunks).alias("chunk"))
-    right = asked.select("id", "vector", every(blocks).alias("block"), deal(chunks, 2).alias("chunk"))
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(search_block(codes, k), "query_id long, vec_id long, score double")
+    # vectors stay where they lie: a chunk of queries of bounded size is sent to all of them, and only the found come back
+    chunks = max(1, -(-asked.count() * 8 * size // CHUNK_BYTES))
+    parts = []
+    for chunk in range(chunks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).orderBy("id").collect()  # CHUNK_BYTES, about
+        if rows:
+            sent = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows])))
+            parts.append(staged(good.mapInPandas(searcher(sent, codes, k, size), "query_id long, vec_id long, score double"), "ann-found"))
+            sent.destroy()
+    if not parts:
+        return spark.createDataFrame([], schema)
+    discard(asked)
     nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = reduce(DataFrame.unionByName, parts)
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -20,8 +20,8 @@ def brute(data, q, k=10):
 
 
 def test_recall_scores_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 300)
-    monkeypatch.setattr(neighbours, "CHUNK", 4)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 300 * 24 * 8)
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 4 * 24 * 8)
     rng = np.random.default_rng(1)
     data = rows(rng.normal(size=(1500, 24)))
     df = spark.createDataFrame(data, SCHEMA)
@@ -64,3 +64,15 @@ def test_probing_is_complete():
         near = codes[7] ^ np.array([1, 3, 0, 0, 7, 0, 255, 0], np.uint8)
         want = np.flatnonzero(neighbours.POPCOUNT[codes ^ near].sum(axis=1) <= radius)
         assert block.within(near, radius).tolist() == want.tolist()
+
+
+def test_repeated_rows(spark):
+    """A query that comes twice is answered once; rows that repeat another id are each a candidate."""
+    x = np.random.default_rng(4).normal(size=(30, 6))
+    df = spark.createDataFrame([*rows(x), *rows(x[:1]), *rows(x[5:6], 5)], SCHEMA)
+    got = neighbours.nearest(df, df.where("vec_id = 0"), "vec_id", "embedding").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 11)) and 0 not in {r["vec_id"] for r in got}
+    data = [*rows(x), *rows(x[5:6], 5)]
+    d = np.sqrt(((np.array([r[1] for r in data]) - np.array(data[0][1])) ** 2).sum(axis=1))
+    want = sorted((s, data[i][0]) for i, s in enumerate(d) if i)[:10]
+    assert [r["vec_id"] for r in got] == [i for _, i in want]
