@@ -26,18 +26,23 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "The MIT License (MIT)",
         "SPDX-License-Identifier: MIT",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+        "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3 or later.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details.",
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
@@ -54,10 +59,34 @@ TEMPLATES = {
     "bsd": (
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc-by": (
@@ -86,6 +115,8 @@ UNKNOWN = "unknown"
 #: Documents whose paragraphs teach the class ``unknown``, at most; by hash of their id.
 MOST_DOCUMENTS = 500
 MOST_PARAGRAPHS = 3_000
+#: Characters of a line that teaches that class, at most: it bounds what the driver is sent. All lines are scanned.
+MOST_CHARACTERS = 2_000
 #: Words that a training copy of a template loses or swaps, at most this share.
 NOISE = 0.15
 COPIES = 24
@@ -187,7 +218,7 @@ def train(background: list[str], steps: int = 400) -> Model:
     wrong = softmax(z / temperature)[yh == len(classes) - 1, :-1].max(axis=1, initial=0)
     level = float(np.quantile(wrong, 1 - FALSE_RATE)) if len(wrong) else 0.5
     template_shingles = {f: [(t, shingle_set(tokens(t))) for t in ts] for f, ts in TEMPLATES.items()}
-    return Model(classes, vocabulary, w, b, temperature, min(max(level, 0.3), 0.9), template_shingles)
+    return Model(classes, vocabulary, w, b, temperature, level, template_shingles)
 
 
 def run_hashes(strings: list[list[str]]) -> np.ndarray:
@@ -305,7 +336,8 @@ def fit(docs: DataFrame) -> Model:
     """Train with paragraphs of MOST_DOCUMENTS documents (first by hash of id) as background."""
     chosen = docs.where("text is not null").select(F.col("doc_id").alias("chosen_id")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(MOST_DOCUMENTS)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))  # MOST_DOCUMENTS ids
-    lines = some.select(F.explode(F.split("text", "\n")).alias("p")).orderBy(F.xxhash64("p"), "p").limit(MOST_PARAGRAPHS).collect()
+    lines = some.select(F.explode(F.split("text", "\n")).alias("p")).where(F.length("p") <= MOST_CHARACTERS)
+    lines = lines.orderBy(F.xxhash64("p"), "p").limit(MOST_PARAGRAPHS).collect()
     known = [" ".join(tokens(t)) for ts in TEMPLATES.values() for t in ts]
     background = [r["p"] for r in lines]
     said = [" ".join(tokens(p)) for p in background]
@@ -315,10 +347,12 @@ def fit(docs: DataFrame) -> Model:
 def find_licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per confirmed licence paragraph: doc_id, paragraph, start, end, family, probability, template, similarity.
 
+    Texts are read whole, however long; columns of any other name, clashing or not, are left out of the result.
+
     Paragraphs are lines, or runs of adjacent lines that hold a notice together; ``paragraph`` is the first line,
     counted from 0; start and end are code points, end exclusive. A null or empty
-    text has none; a null doc_id is carried along; rows that repeat are scanned each on its own; other columns are
-    ignored; no rows, no paragraphs. Of equal scores the first family in the list wins.
+    text has none; a null doc_id is carried along; rows that repeat are scanned each on its own; no rows, no
+    paragraphs. Of equal scores the first family in the list wins.
     """
     model = model or fit(docs)
     schema = "doc_id long, paragraph long, start long, end long, family string, probability double, template string, similarity double"
