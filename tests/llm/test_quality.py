@@ -1,7 +1,12 @@
+import math
 import random
+import re
+import struct
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import docs, prose
 from pyspark.sql import functions as F
 
@@ -68,3 +73,80 @@ def test_weights_equal_counts_by_hand(spark):
         np.add.at(raw, found, 1)
         np.add.at(target, found[text == 0], 1)
     assert np.allclose(ratio, np.log(target + quality.PRIOR) - np.log(raw * 0.7 + quality.PRIOR))
+
+
+# --- a plain version, word by word in Python's own numbers ------------------------------------------
+
+WIDE = (1 << 64) - 1
+
+
+def mix(x):
+    for shift, factor in ((32, 0x9E3779B97F4A7C15), (29, 0xC2B2AE3D27D4EB4F)):
+        x = (x ^ (x >> shift)) * factor & WIDE
+    return x ^ (x >> 32)
+
+
+def word_hash(word):
+    out = mix(len(word))
+    for at in range(0, max(len(word), 1), 8):
+        out = mix((out + int.from_bytes(word[at : at + 8], "little") * 0xC2B2AE3D27D4EB4F) & WIDE)
+    return out
+
+
+def plain_buckets(text):
+    """Runs of letters, digits and bytes beyond ASCII, or of other signs, A-Z lower-cased; pairs of neighbours."""
+    data = (text or "").encode()
+    runs = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x09-\x0d\x20]+", data)
+    found = [word_hash(re.sub(rb"[A-Z]", lambda m: bytes([m[0][0] + 32]), w)) for w in runs]
+    pairs = [0x5851F42D4C957F2D if a == b else mix((a * 0x9E3779B97F4A7C15 + b) & WIDE) for a, b in zip(found, found[1:])]
+    return Counter(h % (1 << 15) for h in found + pairs)
+
+
+def xx(seed, *parts):
+    for p in parts:
+        seed = xxhash.xxh64(p, seed=seed).intdigest()
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def plain_selection(rows, labels):
+    quality_of = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            quality_of[d] = min(q, quality_of.get(d, q))
+    half = {d: signed(xx(42, b"half", struct.pack("<q", d))) % 2 for d in quality_of}
+    target_ids = {d for d, q in quality_of.items() if half[d] == 0 and q == 1}
+    counts = [(d, plain_buckets(t)) for d, t in rows]
+    raw, target = Counter(), Counter()
+    for d, c in counts:
+        raw.update(c)
+        if d in target_ids:
+            target.update(c)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log(target[b] + 10) - math.log(n * share + 10) for b, n in raw.items()}
+    weight = [(d, sum(n * ratio[b] for b, n in c.items())) for d, c in counts]
+    held = {d: min(w for e, w in weight if e == d) for d in quality_of if half[d] == 1 and any(e == d for e, _ in weight)}
+    values = sorted(set(held.values()))
+    levels = [values[0] - 1, *[(a + b) / 2 for a, b in zip(values, values[1:])], values[-1] + 1]
+    right = [sum((w >= level) == (quality_of[d] == 1) for d, w in held.items()) for level in levels]
+    best = [i for i, r in enumerate(right) if r == max(right)]
+    level = levels[best[len(best) // 2]]
+    spread = lambda d: signed(xx(42, struct.pack("<i", 11), str(d).encode())) % (1 << 52)
+    keys = sorted(((w - math.log(-math.log((spread(d) + 0.5) / (1 << 52))), d) for d, w in weight), reverse=True)
+    k = sum(w >= level for _, w in weight)
+    return {d for _, d in keys[:k]}, dict(weight)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_plain_version(spark, sf):
+    """The registered query, whole: counts, weights, level, k, noise and choice by other code."""
+    folder = f"/root/testdata/{sf}"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    want, weight = plain_selection(rows, labels)
+    got = {r["doc_id"]: r["log_weight"] for r in quality.op5_quality(spark, folder).collect()}
+    assert set(got) == want and 0 < len(want) < len(rows)
+    assert all(got[d] == pytest.approx(weight[d], abs=1e-6) for d in got)

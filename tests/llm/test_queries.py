@@ -47,3 +47,36 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = docs.collect()
     assert sum(p["length"] for p in pieces) == sum(len(tokens[d]) for d, _ in after)
     assert all(p["ids_crc32"] == zlib.crc32(tokens[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces)
+
+
+ODD = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (4, "A b C"), (None, "a b c"), (None, None), (5, "word " * 30_000), (6, "é ü " * 40), (6, "other text of the id")]
+
+
+def odd_docs(spark, rows):
+    """Rows with nulls in every column, and extra columns whose names clash with the stages' own or hold a dot."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, Gone_Id string, log_weight string, size string, Near_Gone string, taken string"
+    return spark.createDataFrame([(d, t, None, None if k % 2 else "s", None, "x", None, "y", "z", "q", None) for k, (d, t) in enumerate(rows)], schema)
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_odd_rows(spark, tmp_path, number, rows):
+    name, stage = corpus_pipeline.STAGES[number]
+    d = odd_docs(spark, rows)
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(1, None, 0), (None, 1, None), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "in" / "labels.parquet"))
+    out = stage(spark, d, str(tmp_path / "in"))
+    out.write.parquet(str(tmp_path / name))
+    left = spark.read.parquet(str(tmp_path / name))
+    if number == 4:
+        whole = sum(p["length"] for p in left.collect())
+        assert whole >= len(rows)
+        return
+    assert left.columns == d.columns
+    ids = [r["doc_id"] for r in left.collect()]
+    if name == "quality_classifier":
+        assert len(ids) == len(rows)  # labels of one kind tell nothing apart: all stay
+    if name == "exact_deduplication":
+        assert sorted(map(str, ids)) == sorted(map(str, [2, 4, 5, 6, 6] if rows else []))
+    if name == "near_deduplication":
+        assert set(ids) == ({1, 2, 3, None, 5, 6} if rows else set())
