@@ -69,7 +69,7 @@ def rgb(hex_colour: Column) -> Column:
 
 
 def kernel(name: str, width: int) -> list[float]:
-    """Smoothing weights, scaled to sum 1."""
+    """Smoothing weights, scaled to sum 1; a width under 3 has one weight, which changes nothing."""
     from math import cos, pi
 
     turn = [2 * pi * t / (width - 1) for t in range(width)] if width > 1 else [0.0]
@@ -82,5 +82,7 @@ def kernel(name: str, width: int) -> list[float]:
     }
     if name not in forms:
         raise ValueError(f"unknown kernel {name!r}: one of {', '.join(forms)}")
+    if width < 3:
+        return [1.0]
     weights = [forms[name](t) for t in range(width)]
     return [w / sum(weights) for w in weights]

@@ -80,10 +80,22 @@ def pileup_profile(overlaps: DataFrame, width: int = WIDTH) -> DataFrame:
     """(sample, x, n): depth per position over all windows, from events per position."""
     both = overlaps.select("sample", F.explode(F.array(F.struct(F.col("lo").alias("p"), F.lit(1).alias("d")), F.struct(F.col("hi").alias("p"), F.lit(-1).alias("d")))).alias("e"))
     steps = both.groupBy("sample", "e.p").agg(F.sum("e.d").alias("d"))
-    grid = steps.select("sample").distinct().select("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("p"))
-    along = Window.partitionBy("sample").orderBy("p")
-    full = grid.join(steps, ["sample", "p"], "left")
-    return full.select("sample", (F.col("p") - width // 2).alias("x"), F.sum(F.coalesce("d", F.lit(0))).over(along).alias("n"))
+    depth = steps.select("sample", "p", F.sum("d").over(Window.partitionBy("sample").orderBy("p")).alias("n"))
+    full = gaps_filled(depth.where(F.col("p") < width), "p", 0, width - 1)
+    # between two steps the depth stays what it was; before the first it is 0
+    return full.select("sample", (F.col("at") - width // 2).alias("x"), F.when(F.col("at") < F.col("p"), 0).otherwise(F.col("n")).alias("n"))
+
+
+def gaps_filled(rows: DataFrame, place: str, first: int, last: int) -> DataFrame:
+    """``rows`` of each sample, repeated so that ``at`` takes every place from first to last once.
+
+    A row stands for its own place and those up to the next row, a sample's first row for those before it too. A sample has
+    at most a row per place, so the window's groups are bounded, and ``rows`` is read once.
+    """
+    along = Window.partitionBy("sample").orderBy(place)
+    start = F.when(F.row_number().over(along) == 1, F.lit(first).cast("long")).otherwise(F.col(place))
+    end = F.coalesce(F.lead(place).over(along) - 1, F.lit(last).cast("long"))
+    return rows.withColumns({"_start": start, "_end": end}).withColumn("at", F.explode(F.sequence("_start", "_end"))).drop("_start", "_end")
 
 
 def collapse_strands(counts: DataFrame) -> DataFrame:
@@ -99,11 +111,23 @@ def mean_profile(counts: DataFrame, windows: DataFrame, width: int = WIDTH) -> D
     sums = counts.groupBy("sample", "x").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("strand") == "+", F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("strand") == "-", F.col("n")).otherwise(0)).alias("m")
     )
-    grid = sums.select("sample").distinct().select("sample", F.explode(F.sequence(F.lit(-(width // 2)).cast("long"), F.lit(width - width // 2 - 1).cast("long"))).alias("x"))
+    full = gaps_filled(sums.where(F.col("x").between(-(width // 2), width - width // 2 - 1)), "x", -(width // 2), width - width // 2 - 1)
     total = usable_windows(windows, width).agg(F.count(F.lit(1)).alias("windows"))  # one row
-    full = grid.join(sums, ["sample", "x"], "left").join(F.broadcast(total))
-    share = lambda c, k: F.try_divide(F.coalesce(F.col(c), F.lit(0)).cast("double"), k * F.col("windows"))
-    return full.select("sample", "x", share("n", 2).alias("average"), share("p", 1).alias("positive"), share("m", 1).alias("negative"))
+    full = full.join(F.broadcast(total))
+    share = lambda c, k: F.try_divide(F.when(F.col("at") == F.col("x"), F.col(c)).otherwise(0).cast("double"), k * F.col("windows"))
+    return full.select("sample", F.col("at").alias("x"), share("n", 2).alias("average"), share("p", 1).alias("positive"), share("m", 1).alias("negative"))
+
+
+def row_zscores(counts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(sample, name, x, n, z): counts of positions that have some, standardised over their window; null where it is flat.
+
+    All other positions of a window have the same z, -mean / std of ``row_moments``.
+    """
+    both = collapse_strands(counts)
+    row = Window.partitionBy("sample", "name")  # at most a row per position
+    mean = F.sum("n").over(row) / F.lit(float(width))
+    std = F.sqrt(F.sum(F.col("n") * F.col("n")).over(row) / F.lit(float(width)) - mean * mean)
+    return both.select("sample", "name", "x", "n", mean.alias("_mean"), std.alias("_std")).select("sample", "name", "x", "n", F.try_divide(F.col("n") - F.col("_mean"), F.col("_std")).alias("z"))
 
 
 def row_moments(counts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -120,13 +144,15 @@ def background_normalised(counts: DataFrame, control: int | str, width: int = WI
     z is standardised over the control's window; windows whose control is flat are dropped. Positions without
     counts stay absent: they would be 0.
     """
-    both = collapse_strands(counts)
-    treated = both.where(F.col("sample") != control)
-    background = both.where(F.col("sample") == control).select("name", "x", F.col("n").alias("c"))
-    moments = row_moments(counts, width).where((F.col("sample") == control) & (F.col("std") > 0)).select("name", "mean", "std")
-    z = (F.coalesce(F.col("c"), F.lit(0)) - F.col("mean")) / F.col("std")
-    joined = treated.join(moments, "name").join(background, ["name", "x"], "left")
-    return joined.select("sample", "name", "x", (F.col("n") / F.exp(z)).alias("norm"))
+    # one exchange by window serves the sums and both window functions; a window has at most a row per sample and position
+    both = collapse_strands(counts.repartition("name"))
+    own = F.when(F.col("sample") == control, F.col("n"))
+    place, row = Window.partitionBy("name", "x"), Window.partitionBy("name")
+    seen = both.select("*", F.max(own).over(place).alias("_c"), F.sum(own).over(row).alias("_s"), F.sum(own * own).over(row).alias("_ss"))
+    mean = F.col("_s") / F.lit(float(width))
+    std = F.sqrt(F.col("_ss") / F.lit(float(width)) - mean * mean)
+    z = (F.coalesce(F.col("_c"), F.lit(0)) - mean) / std
+    return seen.where((F.col("sample") != control) & (std > 0)).select("sample", "name", "x", (F.col("n") / F.exp(z)).alias("norm"))
 
 
 def ranked_matrix(counts: DataFrame, first: int = -400, last: int = 399) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A site is bound with prior logistic(b0 + b1 score). Its total of cuts is negative binomial with parameters of its
 state; given the total, positions are multinomial, with a profile of their own when bound and uniform when not.
-Expectation-maximisation runs as Spark jobs over sites and their cuts; the driver sees parameters only.
+Expectation-maximisation runs as Spark jobs over sites and their cuts: a site's cuts are gathered once, as an array of
+at most ``width`` entries, and a round is one job that scores every site and sums what the next parameters need. The
+driver sees parameters and those sums only.
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import durable
+
+#: The likelihood has to rise by this share for another round.
+RISE = 1e-6
+
 
 @dataclass
 class Parameters:
@@ -20,7 +27,7 @@ class Parameters:
     b1: float = 0.0
     bound: tuple[float, float] = (1.0, 1.0)  # mean, size
     unbound: tuple[float, float] = (1.0, 1.0)
-    profile: dict[int, float] = field(default_factory=dict)
+    profile: dict[int, float] = field(default_factory=dict)  # position: log of its share over the uniform one
 
 
 def log_gamma(x: Column) -> Column:
@@ -42,77 +49,134 @@ def moments(mean: float, square: float) -> tuple[float, float]:
     return max(mean, 1e-6), min(max(size, 1e-2), 1e3)
 
 
-def footprint_posteriors(counts: DataFrame, sites: DataFrame, width: int, rounds: int = 15) -> DataFrame:
+def site_table(counts: DataFrame, sites: DataFrame) -> DataFrame:
+    """(sample, name, t, z, cuts, p): every site of every sample with its total, standardised score, cuts by position, and a first guess.
+
+    Sites above the mean total count as bound. A site has at most one cut entry per position of its window.
+    """
+    cut = F.struct("x", F.col("n").cast("double").alias("n"))
+    gathered = counts.groupBy("sample", "name").agg(F.sum(F.col("n").cast("double")).alias("t"), F.sort_array(F.collect_list(cut)).alias("cuts"))
+    scores = sites.select("name", F.col("score").cast("double").alias("score"))
+    spread = scores.agg(F.avg("score").alias("mean_s"), F.stddev_pop("score").alias("sd_s"), F.count(F.lit(1)).alias("n_sites"))  # one row
+    totals = counts.join(scores.select("name"), "name", "left_semi").groupBy("sample").agg(F.sum(F.col("n").cast("double")).alias("sum_t"))  # one row per sample
+    every = counts.select("sample").distinct().join(totals, "sample", "left")
+    base = scores.crossJoin(F.broadcast(every)).join(F.broadcast(spread)).join(gathered, ["sample", "name"], "left")
+    t = F.coalesce("t", F.lit(0.0))
+    z = (F.col("score") - F.coalesce("mean_s", F.lit(0.0))) / F.when(F.col("sd_s") > 0, F.col("sd_s")).otherwise(1.0)
+    first = F.when(t > F.coalesce("sum_t", F.lit(0.0)) / F.col("n_sites"), 0.9).otherwise(0.1)
+    return base.select("sample", "name", t.alias("t"), z.alias("z"), F.coalesce("cuts", F.array().cast("array<struct<x:bigint,n:double>>")).alias("cuts"), first.alias("p"))
+
+
+def footprint_posteriors(counts: DataFrame, sites: DataFrame, width: int, rounds: int = 30) -> DataFrame:
     """(name, posterior) for sites (name, score) from counts (name, x, n); sites without cuts have total 0.
 
     Counts with a column ``sample`` give (sample, name, posterior): each sample has a model of its own, and every
-    sample all sites; a round is one job for all. Starts from totals: sites above the mean count as bound.
-    Names are unique; empty in, empty out.
+    sample all sites; a round is one job for all. Rounds end when the likelihood stops rising, ``rounds`` at most.
+    Names are unique; without counts or sites there are no rows, or none but the sites' if there is no sample.
     """
     by_sample = "sample" in counts.columns
     if not by_sample:
-        counts = counts.withColumn("sample", F.lit(0))
-    cuts = counts.select("sample", "name", "x", F.col("n").cast("double").alias("n")).persist()
-    totals = cuts.groupBy("sample", "name").agg(F.sum("n").alias("t"))
-    every = cuts.select("sample").distinct() if by_sample else cuts.sparkSession.range(1).select(F.lit(0).alias("sample"))
-    base = sites.select("name", F.col("score").cast("double").alias("score")).crossJoin(F.broadcast(every))  # one row per sample
-    base = base.join(totals, ["sample", "name"], "left").select("sample", "name", "score", F.coalesce("t", F.lit(0.0)).alias("t")).persist()
-    first = base.groupBy("sample").agg(F.avg("t").alias("mean_t"), F.avg("score").alias("mean_s"), F.stddev_pop("score").alias("sd_s"))
-    z = (F.col("score") - F.coalesce("mean_s", F.lit(0.0))) / F.when(F.col("sd_s") > 0, F.col("sd_s")).otherwise(1.0)
-    started = base.join(F.broadcast(first), "sample").select("sample", "name", "t", z.alias("z"), F.when(F.col("t") > F.col("mean_t"), 0.9).otherwise(0.1).alias("p")).persist()
-    scaled, posterior = started.drop("p"), started
-    at = {r["sample"]: Parameters() for r in first.select("sample").collect()}  # one row per sample
-    for _ in range(rounds if at else 0):
-        at = maximised(at, posterior, cuts, width)
-        posterior = expected(at, scaled, cuts, width)
-    return posterior.select(*["sample"] * by_sample, "name", F.col("p").alias("posterior"))
+        counts = counts.withColumn("sample", F.lit(0)).select("sample", "name", "x", "n")
+        if counts.isEmpty():
+            return sites.select("name", F.lit(0.1).alias("posterior"))
+    table = durable(site_table(counts.select("sample", "name", F.col("x").cast("long").alias("x"), "n"), sites))
+    sums = round_sums(table, "p")
+    at = maximised({s: Parameters() for s in sums}, sums, width)
+    likelihood = float("-inf")
+    for _ in range(rounds - 1):
+        sums = round_sums(expected(at, table), "p")
+        now = sum(g["likelihood"] for g, _ in sums.values())
+        if not now > likelihood + RISE * abs(now):
+            break
+        likelihood, at = now, maximised(at, sums, width)
+    scored = expected(at, table) if at else table
+    return scored.select(*["sample"] * by_sample, "name", F.col("p").alias("posterior"))
 
 
 def parameters(at: dict, like: DataFrame) -> DataFrame:
-    """One row of parameters per sample, to be broadcast."""
+    """One row of parameters per sample, to be broadcast: the log gains of the profile from position ``x0`` on are ``width`` numbers."""
     kind = like.schema["sample"].dataType.simpleString()
-    rows = [(s, a.b0, a.b1, *map(float, a.bound), *map(float, a.unbound)) for s, a in at.items()]
-    return F.broadcast(like.sparkSession.createDataFrame(rows, f"sample {kind}, b0 double, b1 double, m1 double, r1 double, m0 double, r0 double"))
+    rows = []
+    for s, a in at.items():
+        x0, x1 = min(a.profile, default=0), max(a.profile, default=0)
+        rows.append((s, a.b0, a.b1, *map(float, a.bound), *map(float, a.unbound), x0, [a.profile.get(x, 0.0) for x in range(x0, x1 + 1)]))
+    return F.broadcast(like.sparkSession.createDataFrame(rows, f"sample {kind}, b0 double, b1 double, m1 double, r1 double, m0 double, r0 double, x0 long, gain array<double>"))
+
+
+def expected(at: dict, table: DataFrame) -> DataFrame:
+    """``table`` with posteriors p and log likelihoods (up to a constant) under the parameters ``at``."""
+    c = F.col
+    shape = F.aggregate("cuts", F.lit(0.0), lambda total, e: total + e["n"] * F.coalesce(F.get(c("gain"), (e["x"] - c("x0")).cast("int")), F.lit(0.0)))
+    prior = c("b0") + c("b1") * c("z")
+    unbound = nb_log(c("t"), c("m0"), c("r0"))
+    odds = prior + nb_log(c("t"), c("m1"), c("r1")) - unbound + shape
+    cut = F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))
+    softplus = lambda y: F.greatest(y, F.lit(0.0)) + F.log1p(F.exp(-F.abs(y)))
+    joined = table.drop("p").join(parameters(at, table), "sample")
+    return joined.select("sample", "name", "t", "z", "cuts", "b0", "b1", (1 / (1 + F.exp(-cut))).alias("p"), (unbound - softplus(prior) + softplus(odds)).alias("likelihood"))
 
 
-def maximised(at: dict, posterior: DataFrame, cuts: DataFrame, width: int) -> dict:
-    p, q, t, z = F.col("p"), 1 - F.col("p"), F.col("t"), F.col("z")
-    prior = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * z)))
+SUMS = ("p", "q", "pt", "qt", "ptt", "qtt", "slope0", "slope1", "v", "vz", "vzz", "likelihood")
+
+
+def round_sums(scored: DataFrame, posterior: str) -> dict:
+    """For each sample the sums over its sites and the posterior-weighted cuts by position, from one aggregation.
+
+    A site comes apart into one row per cut and one, without position, for its own terms: width + 1 groups per sample.
+    """
+    given = lambda name: F.col(name) if name in scored.columns else F.lit(0.0)
+    p, t, z = F.col(posterior), F.col("t"), F.col("z")
+    q = 1 - p
+    prior = 1 / (1 + F.exp(-(given("b0") + given("b1") * z)))
     v = prior * (1 - prior)
-    sums = [F.sum(e).alias(f"g{k}") for k, e in enumerate((p, q, p * t, q * t, p * t * t, q * t * t, p - prior, (p - prior) * z, v, v * z, v * z * z))]
-    found = posterior.join(parameters(at, posterior), "sample").groupBy("sample").agg(*sums).collect()  # one row per sample
-    rows = cuts.join(posterior.select("sample", "name", "p"), ["sample", "name"]).groupBy("sample", "x").agg(F.sum(F.col("n") * F.col("p")).alias("w")).collect()  # one row per sample and position
-    shapes: dict = {s: {} for s in at}
-    for r in rows:
-        shapes[r["sample"]][r["x"]] = r["w"]
-    return {r["sample"]: stepped(at[r["sample"]], [float(x or 0) for x in r[1:]], shapes[r["sample"]], width) for r in found}
-
-
-def stepped(at: Parameters, g: list[float], shape: dict, width: int) -> Parameters:
-    # one ridged Newton step for the prior
-    h00, h01, h11 = g[8] + 1e-3, g[9], g[10] + 1e-3
+    terms = (p, q, p * t, q * t, p * t * t, q * t * t, p - prior, (p - prior) * z, v, v * z, v * z * z, given("likelihood"))
+    own = F.struct(F.lit(None).cast("long").alias("x"), F.lit(None).cast("double").alias("n"))
+    rows = scored.select("sample", p.alias("p"), *[e.alias(f"g{k}") for k, e in enumerate(terms)], F.explode(F.array_append("cuts", own)).alias("e"))
+    at_site = F.col("e.x").isNull()
+    found = rows.groupBy("sample", F.col("e.x").alias("x")).agg(F.sum(F.col("e.n") * F.col("p")).alias("w"), *[F.sum(F.when(at_site, F.col(f"g{k}"))).alias(f"g{k}") for k in range(len(terms))])
+    out: dict = {}
+    for r in found.collect():  # width + 1 rows per sample
+        own_sums, shape = out.setdefault(r["sample"], ({}, {}))
+        if r["x"] is None:
+            own_sums.update({name: float(r[f"g{k}"] or 0) for k, name in enumerate(SUMS)})
+        else:
+            shape[r["x"]] = r["w"]
+    return out
+
+
+def maximised(at: dict, sums: dict, width: int) -> dict:
+    return {s: stepped(at[s], g, shape, width) for s, (g, shape) in sums.items()}
+
+
+def stepped(at: Parameters, g: dict[str, float], shape: dict, width: int) -> Parameters:
+    """The next parameters of one sample: a ridged Newton step for the prior, moments for totals, smoothed shares for the profile."""
+    h00, h01, h11 = g["v"] + 1e-3, g["vz"], g["vzz"] + 1e-3
     det = h00 * h11 - h01 * h01
-    b0, b1 = at.b0 + (h11 * g[6] - h01 * g[7]) / det, at.b1 + (h00 * g[7] - h01 * g[6]) / det
+    b0, b1 = at.b0 + (h11 * g["slope0"] - h01 * g["slope1"]) / det, at.b1 + (h00 * g["slope1"] - h01 * g["slope0"]) / det
     total = sum(shape.values()) + width * 0.5
-    profile = {x: (w + 0.5) / total for x, w in shape.items()}
     weight = lambda a, b: a / b if b > 0 else 0.0
     return Parameters(
-        max(min(b0, 20.0), -20.0), max(min(b1, 20.0), -20.0), moments(weight(g[2], g[0]), weight(g[4], g[0])), moments(weight(g[3], g[1]), weight(g[5], g[1])), {-(10**9): 0.5 / total, **profile}
+        max(min(b0, 20.0), -20.0),
+        max(min(b1, 20.0), -20.0),
+        moments(weight(g["pt"], g["p"]), weight(g["ptt"], g["p"])),
+        moments(weight(g["qt"], g["q"]), weight(g["qtt"], g["q"])),
+        {x: log((w + 0.5) / total) + log(width) for x, w in shape.items()},
     )
 
 
-def expected(at: dict, scaled: DataFrame, cuts: DataFrame, width: int) -> DataFrame:
-    kind = scaled.schema["sample"].dataType.simpleString()
-    rows = [(s, x, log(v) + log(width)) for s, a in at.items() for x, v in a.profile.items()]
-    gain = scaled.sparkSession.createDataFrame(rows, f"sample {kind}, x long, gain double")  # one row per sample and position
-    shape = cuts.join(F.broadcast(gain), ["sample", "x"]).groupBy("sample", "name").agg(F.sum(F.col("n") * F.col("gain")).alias("shape"))
-    c = F.col
-    odds = c("b0") + c("b1") * c("z") + nb_log(c("t"), c("m1"), c("r1")) - nb_log(c("t"), c("m0"), c("r0")) + F.coalesce("shape", F.lit(0.0))
-    joined = scaled.join(parameters(at, scaled), "sample").join(shape, ["sample", "name"], "left")
-    return joined.select("sample", "name", "t", "z", (1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0))))).alias("p"))
-
-
 def posterior_summary(posteriors: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n), of each sample if there are samples: sites by tenths of their posterior."""
     place = F.least(F.floor(F.col("posterior") * bins), F.lit(bins - 1)).cast("int")
     return posteriors.groupBy(*[c for c in posteriors.columns if c == "sample"], place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_assay(posteriors: DataFrame, sheet: DataFrame) -> DataFrame:
+    """(ip, technique, sample, name, posterior): the posteriors of all samples in one table, with factor and assay from the sheet."""
+    return posteriors.join(sheet.select("sample", "ip", "technique"), "sample").select("ip", "technique", "sample", "name", "posterior")
+
+
+def posterior_percentiles(posteriors: DataFrame, keys: list[str], shares=(0.25, 0.5, 0.75)) -> DataFrame:
+    """keys, n, mean and percentiles p25, p50, p75 of posteriors at four digits (so a group keeps 10,001 values at most)."""
+    counted = posteriors.groupBy(*keys, F.round("posterior", 4).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    found = counted.groupBy(*keys).agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("v")) / F.sum("k")).alias("mean"), F.percentile("v", list(shares), F.col("k")).alias("_p"))
+    return found.select(*keys, "n", "mean", *[F.col("_p")[i].alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])

@@ -50,6 +50,13 @@ def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:
     return last.select(key, "_r.*")
 
 
+def first_match(df: DataFrame, condition: Column, keys: Sequence[str], *order: str) -> DataFrame:
+    """Of the rows of each ``keys`` that meet a condition, the first by ``order``."""
+    names = [c for c in df.columns if c not in keys]
+    first = df.where(condition).groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r"))
+    return first.select(*keys, *[F.col("_r").getField(n).alias(n) for n in names])
+
+
 def long_enough(df: DataFrame, start: str, end: str, least: int) -> DataFrame:
     return df.where(F.col(end) - F.col(start) >= least)
 

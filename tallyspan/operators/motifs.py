@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,25 +15,49 @@ def interval_sequences(intervals: DataFrame, reference: DataFrame, chunk: int) -
     """(name, seq): bases of each interval from chunks (chrom, chunk_start, seq) of ``chunk`` bases; reverse complement on minus.
 
     An interval meets the chunks it touches by equi-join, takes its part of each, and parts are put together in order.
+    Each interval is a row, whatever its name: equal rows give one; null where the reference lacks a base of it; empty ones
+    give an empty sequence.
     """
+    own = ["name", "chrom", "start", "end", "strand"]
     first, last = F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk)
-    wanted = intervals.select("name", "chrom", "start", "end", "strand", F.explode(F.sequence(first, last)).alias("_c")).withColumn("chunk_start", F.col("_c") * chunk)
-    met = wanted.join(reference, ["chrom", "chunk_start"])
+    touched = F.when(F.col("end") > F.col("start"), F.sequence(first, last))
+    wanted = intervals.select(*own, F.explode_outer(touched).alias("_c")).distinct().withColumn("chunk_start", F.col("_c") * chunk)
+    met = wanted.join(reference.select("chrom", "chunk_start", "seq"), ["chrom", "chunk_start"], "left")
     lo, hi = F.greatest("start", "chunk_start"), F.least("end", F.col("chunk_start") + chunk)
     part = F.substring("seq", (lo - F.col("chunk_start") + 1).cast("int"), (hi - lo).cast("int"))
-    parts = met.select("name", "strand", "_c", part.alias("part")).groupBy("name", "strand").agg(F.sort_array(F.collect_list(F.struct("_c", "part"))).alias("ps"))
+    # an interval's parts are as many as its bases need: the list is bounded by its length
+    parts = met.select(*own, "_c", part.alias("part")).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("_c", "part"))).alias("ps"))
     seq = F.array_join(F.transform("ps", lambda p: p["part"]), "")
-    return parts.select("name", F.when(F.col("strand") == "-", reverse_complement(seq)).otherwise(seq).alias("seq"))
+    whole = F.when(F.length(seq) == F.greatest(F.col("end") - F.col("start"), F.lit(0)), seq)
+    return parts.select("name", F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"))
 
 
-def pwm_scores(sequences: DataFrame, motif: dict = MOTIF) -> DataFrame:
-    """(name, place, score): sum of weights at every offset; null where a base has none, no rows for short sequences."""
+def score_batches(motif: dict):
+    """For batches (name, seq): the score of every offset, by one table look-up for each place of the motif over all sequences at once."""
     length = len(motif["A"])
-    weights = F.create_map(*[x for b, ws in motif.items() for x in (F.lit(b), F.array(*[F.lit(float(w)) for w in ws]))])
-    offsets = sequences.where(F.length("seq") >= length).select("name", "seq", weights.alias("_w"), F.explode(F.sequence(F.lit(0), F.length("seq") - length)).alias("place"))
-    part = F.substring("seq", F.col("place") + 1, F.lit(length))
-    at = lambda k: F.get(F.col("_w")[F.substring("_s", k + 1, 1)], F.lit(k))
-    score = at(0)
-    for k in range(1, length):
-        score = score + at(k)
-    return offsets.withColumn("_s", part).select("name", "place", score.alias("score"))
+    weights = np.full((length, 256), np.nan)
+    for base, ws in motif.items():
+        weights[:, ord(base)] = ws
+
+    def of(batches):
+        for batch in batches:
+            data = [(s or "").encode("ascii", "replace") for s in batch.column("seq").to_pylist()]
+            size = np.array([len(x) for x in data], np.int64)
+            n = np.maximum(size - length + 1, 0)
+            letters = np.frombuffer(b"".join(data), np.uint8)
+            row = np.repeat(np.arange(len(data)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            at = place + (np.cumsum(size) - size)[row]
+            score = np.zeros(len(row))
+            for k in range(length):
+                score += weights[k][letters[at + k]]
+            columns = [batch.column("name").take(pa.array(row)), pa.array(place, pa.int32()), pa.array(score, mask=np.isnan(score))]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "place", "score"])
+
+    return of
+
+
+def pwm_scores(sequences: DataFrame, motif: dict = MOTIF) -> DataFrame:
+    """(name, place, score): sum of weights at every offset; null where a base has none, no rows for short or null sequences."""
+    kind = sequences.schema["name"].dataType.simpleString()
+    return sequences.select("name", "seq").mapInArrow(score_batches(motif), f"name {kind}, place int, score double")

@@ -2,32 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import overlapping
 
-BINS = 1024
+#: Sketched percentiles are off by total / ACCURACY ranks at most; the bracket around a threshold is SLACK times as wide.
+ACCURACY, SLACK = 10_000, 4
+#: Bases of a cell: rows of one score are numbered cell by cell.
+CELL = 1 << 20
 
 
-def top_fraction(peaks: DataFrame, percent: int, score: str = "q") -> DataFrame:
-    """The floor(total * percent / 100) best peaks of each sample; ties by place, then id.
+def top_fractions(peaks: DataFrame, percents: Sequence[int], score: str = "q") -> DataFrame:
+    """``peaks`` in the best floor(total * percent / 100) of their sample, with ``percent``: a row for each that holds.
 
-    Scores fall into bins per sample; counts say which bin holds the last place. Better bins are kept without
-    sorting, and only the deciding bin is ranked, so that a sample with a third of all peaks is no single task.
+    Ties go by chromosome, start, end and id. Sketched percentiles bracket each threshold and exact counts say how many rows
+    of the bracket are needed (where a sketch should be off, the bracket is the whole sample). Better rows are kept
+    without sorting. In the bracket, counts of cells (score, chromosome, stretch) give each cell's first rank, so that rows are
+    sorted within cells only: neither a large sample nor one score that all its peaks share is a single task.
     """
-    bounds = peaks.groupBy("sample").agg(F.count(F.lit(1)).alias("_total"), F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    place = F.floor(F.try_divide((F.col(score) - F.col("_lo")) * F.lit(BINS), F.col("_hi") - F.col("_lo") + 1)).cast("int")
-    binned = peaks.join(bounds, "sample").withColumn("_bin", F.coalesce(place, F.lit(0)))
-    better = Window.partitionBy("sample").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.floor(F.col("_total") * percent / 100)
-    counts = binned.groupBy("sample", "_bin", "_total").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(better), F.lit(0)))
-    left = counts.select("sample", "_bin", "_n", (wanted - F.col("_ahead")).alias("_left")).where("_left > 0")
-    marked = binned.drop("_total", "_lo", "_hi").join(left, ["sample", "_bin"])
-    rank = F.row_number().over(Window.partitionBy("sample", "_bin").orderBy(F.desc(score), "chrom", "p_start", "p_end", "peak_id"))
-    whole = marked.where("_left >= _n")
-    cut = marked.where("_left < _n").withColumn("_rank", rank).where("_rank <= _left").drop("_rank")
-    return whole.unionByName(cut).drop("_bin", "_n", "_left")
+    shares = [min(max(1 - p / 100 + side * SLACK / ACCURACY, 0.0), 1.0) for p in percents for side in (-1, 1)]
+    bounds = peaks.groupBy("sample").agg(
+        F.count(F.lit(1)).alias("_total"), F.percentile_approx(score, F.array(*map(F.lit, shares)), F.lit(ACCURACY)).alias("_v"), F.min(score).alias("_least"), F.max(score).alias("_most")
+    )
+    value, below, above = F.col(score), lambda i: F.col("_v")[2 * i], lambda i: F.col("_v")[2 * i + 1]
+    counts = peaks.select("sample", score).join(bounds, "sample").groupBy("sample", "_total", "_v", "_least", "_most").agg(
+        *[F.count_if(value > above(i)).alias(f"_ahead{i}") for i in range(len(percents))], *[F.count_if(value >= below(i)).alias(f"_upto{i}") for i in range(len(percents))]
+    )
+    each = []
+    for i, p in enumerate(percents):
+        wanted = F.floor(F.col("_total") * p / 100)
+        held = (F.col(f"_ahead{i}") <= wanted) & (wanted <= F.col(f"_upto{i}"))
+        each.append(
+            F.struct(
+                F.lit(p).alias("percent"), F.when(held, below(i)).otherwise(F.col("_least")).alias("lo"), F.when(held, above(i)).otherwise(F.col("_most")).alias("hi"),
+                F.when(held, wanted - F.col(f"_ahead{i}")).otherwise(wanted).alias("need"),
+            )
+        )
+    limits = counts.select("sample", F.explode(F.array(*each)).alias("_t"))  # a row per sample and percent
+    names = peaks.columns
+    met = peaks.join(limits, "sample").where(value >= F.col("_t.lo"))
+    sure = met.where(value > F.col("_t.hi")).select(*names, "_t.percent")
+    maybe = met.where((value <= F.col("_t.hi")) & (F.col("_t.need") > 0)).select(*names, F.col("_t.percent").alias("percent"), F.col("_t.need").alias("_need"), F.floor(F.col("p_start") / CELL).alias("_stretch"))
+    cell = ["sample", "percent", score, "chrom", "_stretch"]
+    before = Window.partitionBy("sample", "percent").orderBy(F.desc(score), "chrom", "_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    cells = maybe.groupBy(*cell, "_need").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = maybe.drop("_need").join(cells.where("_first < _need"), cell)
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("p_start", "p_end", "peak_id"))
+    return sure.unionByName(ranked.withColumn("_rank", rank + F.col("_first")).where("_rank <= _need").select(*names, "percent"))
+
+
+def top_fraction(peaks: DataFrame, percent: int, score: str = "q") -> DataFrame:
+    """The best floor(total * percent / 100) peaks of each sample."""
+    return top_fractions(peaks, [percent], score).drop("percent")
 
 
 def sample_pairs(sheet: DataFrame) -> DataFrame:
@@ -50,26 +79,26 @@ def sample_pairs(sheet: DataFrame) -> DataFrame:
     return typed.select("type", "ip", F.col("s1").alias("a"), F.col("s2").alias("b"), "c1", "c2", "t1", "t2", "r1", "r2")
 
 
-def overlap_hits(peaks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, hits, top): of the top peaks of ``a``, how many overlap any peak of ``b``."""
-    top = top_fraction(peaks, percent).withColumnRenamed("sample", "a")
-    totals = top.groupBy("a").agg(F.count(F.lit(1)).alias("top"))
-    wanted = pairs.select("a", "b").distinct()
-    mine = top.join(wanted, "a").select("a", "b", "chrom", "peak_id", F.col("p_start").alias("a_start"), F.col("p_end").alias("a_end"))
+def overlap_hits(peaks: DataFrame, pairs: DataFrame, percents: Sequence[int]) -> DataFrame:
+    """(a, b, threshold, hits, top): of the top peaks of ``a``, how many overlap any peak of ``b``, for each threshold."""
+    top = top_fractions(peaks, percents).select(F.col("sample").alias("a"), "chrom", "peak_id", F.col("percent").alias("threshold"), F.col("p_start").alias("a_start"), F.col("p_end").alias("a_end"))
+    totals = top.groupBy("a", "threshold").agg(F.count(F.lit(1)).alias("top"))
+    wanted = pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array(*map(F.lit, percents))).alias("threshold"))
+    mine = top.join(wanted, ["a", "threshold"])
     theirs = peaks.select(F.col("sample").alias("b"), "chrom", F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
-    hit = overlapping(mine, theirs, ["a", "b", "chrom", "a_start", "a_end", "peak_id"], keys=["b"])
-    hits = hit.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
-    return wanted.join(totals, "a", "left").join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("top", F.lit(0)).alias("top"))
+    hit = overlapping(mine, theirs, ["a", "b", "threshold", "chrom", "a_start", "a_end", "peak_id"], keys=["b"])
+    hits = hit.groupBy("a", "b", "threshold").agg(F.count(F.lit(1)).alias("hits"))
+    joined = wanted.join(totals, ["a", "threshold"], "left").join(hits, ["a", "b", "threshold"], "left")
+    return joined.select("a", "b", "threshold", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("top", F.lit(0)).alias("top"))
 
 
-def overlap_fractions(peaks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with overlap: the mean of both directions' share of top peaks that overlap, 1 at most; and the threshold."""
+def overlap_fractions(peaks: DataFrame, pairs: DataFrame, percents: Sequence[int]) -> DataFrame:
+    """``pairs`` with overlap, for each threshold: the mean of both directions' share of top peaks that overlap, 1 at most."""
+    pairs = pairs.withColumn("_pair", F.struct(F.least("a", "b"), F.greatest("a", "b")))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    share = overlap_hits(peaks, both, percent).select("a", "b", F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("top")), F.lit(0.0)).alias("share"))
-    there = share.select("a", "b", F.col("share").alias("ab"))
-    back = share.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("share").alias("ba"))
-    overlap = F.least((F.col("ab") + F.col("ba")) / 2, F.lit(1.0))
-    return pairs.join(there, ["a", "b"]).join(back, ["a", "b"]).withColumn("overlap", overlap).withColumn("threshold", F.lit(percent)).drop("ab", "ba")
+    share = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("top")), F.lit(0.0))
+    mean = overlap_hits(peaks, both, percents).groupBy(F.struct(F.least("a", "b"), F.greatest("a", "b")).alias("_pair"), "threshold").agg(F.avg(share).alias("_mean"))
+    return pairs.join(mean, "_pair").withColumn("overlap", F.least("_mean", F.lit(1.0))).drop("_pair", "_mean")
 
 
 def without_small_replicates(overlaps: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import kernel
+from .checkpoints import durable
 
 
 def smooth(series: DataFrame, keys: Sequence[str], place: str, value: str, width: int = 11, window: str = "hanning", centred: bool = False) -> DataFrame:
@@ -50,7 +51,8 @@ def profile_types(profile: DataFrame, control: int | str, reach: int = 400, widt
 
     The background's own raw profiles stay. Smoothed profiles are ``width - 1`` longer and centred on 0.
     """
-    raw = profile.where(F.col("x").between(-reach, reach)).select("sample", "x", "average").persist()  # a few rows for each sample, read six times
+    raw = profile.where(F.col("x").between(-reach, reach)).select("sample", "x", "average")
+    raw = durable(raw)  # a few rows for each sample, read six times
     norm = over_background(raw, control)
     at = F.col("x") + reach
 

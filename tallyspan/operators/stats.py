@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def fragment_percentiles(histogram: DataFrame, shares=(0.2, 0.4, 0.6, 0.8)) -> D
 
 
 def t_tests(histogram: DataFrame, first: int = 1, last: int = 300) -> DataFrame:
-    """(sample1, sample2, t, df): pooled two-sample tests of lengths, from weighted moments; null where undefined."""
+    """(sample1, sample2, t, df, p): pooled two-sample tests of lengths, from weighted moments; null where undefined."""
     kept = histogram.where(F.col("length").between(first, last))
     l, n = F.col("length").cast("double"), F.col("n")
     m = kept.groupBy("sample").agg(F.sum("n").alias("k"), F.sum(n * l).alias("s"), F.sum(n * l * l).alias("q"))
@@ -76,7 +77,12 @@ def t_tests(histogram: DataFrame, first: int = 1, last: int = 300) -> DataFrame:
     df = F.col("k1") + F.col("k2") - 2
     pooled = F.try_divide(F.col("ss1") + F.col("ss2"), df)
     t = F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(pooled * (1 / F.col("k1") + 1 / F.col("k2"))))
-    return pairs.select("sample1", "sample2", t.alias("t"), df.alias("df"))
+    tested = pairs.select("sample1", "sample2", t.alias("t"), df.alias("df"))
+    return tested.withColumn("p", F.pandas_udf(p_values, "double")("t", "df"))  # a row per pair of samples
+
+
+def p_values(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or k <= 0 else two_sided_p(x, k) for x, k in zip(t, df)], dtype="float64")
 
 
 def two_sided_p(t: float, df: float) -> float:
@@ -90,23 +96,20 @@ def two_sided_p(t: float, df: float) -> float:
 
 
 def _beta(a: float, b: float, x: float) -> float:
+    """I_x(a, b): what stands before the continued fraction 1 + d1 / (1 + d2 / ...), over its value."""
+    if x <= 0:
+        return 0.0
     front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
-    c, d, total = 1.0, 0.0, 1.0
-    for i in range(400):
+    up, down, value = 1.0, 0.0, 1.0
+    for i in range(1, 2000):
         m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / max(1 + step * d, 1e-300) if i else 1.0
-        c = 1 + step / c if i else 1.0
-        if i:
-            total *= c * d
-        if i and abs(c * d - 1) < 1e-12:
+        d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) if i % 2 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        down = 1 / (1 + d * down or 1e-300)
+        up = 1 + d / up or 1e-300
+        value *= up * down
+        if abs(up * down - 1) < 1e-14:
             break
-    return front * total
+    return front / value
 
 
 def wide_histogram(histogram: DataFrame, samples: list) -> DataFrame:

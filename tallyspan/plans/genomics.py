@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions.fixed import CHROMOSOMES, FACTOR_COLOURS, FALLBACK_COLOUR, MOTIF
 from ..operators import coverage as C
-from ..operators import footprint, intervals, motifs, peaks, profiles, samples, stats
+from ..operators import checkpoints, footprint, intervals, motifs, peaks, profiles, samples, stats
+from ..sources import readers
 from ..sources.sinks import wide_matrix
 from ..sources.views import sequences, view, with_views
 
@@ -200,6 +202,16 @@ def row_zscore(spark, d):
     return rounded(C.row_moments(C.cut_counts(*reads_and_windows(spark, d))), "mean", digits=8).withColumn("std", F.round("std", 6))
 
 
+@query(
+    f"""{BOTH}, m AS (SELECT sample, name, sum(n) / 2000.0 AS mean, sqrt(sum(n * n) / 2000.0 - (sum(n) / 2000.0) * (sum(n) / 2000.0)) AS std FROM both_strands GROUP BY sample, name)
+SELECT b.sample, b.name, b.x, CAST(n AS BIGINT) AS n, round((n - mean) / std, 5) AS z FROM both_strands b JOIN m ON b.sample = m.sample AND b.name = m.name""",
+    "reads",
+    "windows",
+)
+def row_zscores(spark, d):
+    return rounded(C.row_zscores(C.cut_counts(*reads_and_windows(spark, d))), "z", digits=5)
+
+
 @query(
     f"""{PROFILE} SELECT t.sample, t.x, round(t.average / exp(c.average), 6) AS average FROM profile t JOIN profile c ON c.sample = {CONTROL} AND c.x = t.x
 WHERE t.sample <> {CONTROL} AND t.x BETWEEN -400 AND 400""",
@@ -318,7 +330,7 @@ OVERLAPS = f"{PAIRS}, {overlap_sql(5)}, {overlap_sql(25)}, all_over AS (SELECT *
 def all_overlaps(spark, d):
     p = view(spark, d, "called_peaks")
     pairs = peaks.sample_pairs(view(spark, d, "small_sheet"))
-    return peaks.overlap_fractions(p, pairs, 5).unionByName(peaks.overlap_fractions(p, pairs, 25))
+    return peaks.overlap_fractions(p, pairs, [5, 25])
 
 
 @query(
@@ -330,9 +342,34 @@ def peak_overlap_fraction(spark, d):
     return rounded(peaks.without_small_replicates(all_overlaps(spark, d)).select("type", "ip", "a", "b", "threshold", "overlap"), "overlap")
 
 
-@query(f"{OVERLAPS} SELECT type, ip, threshold, round(avg(overlap), 6) AS mean, count(*) AS n FROM all_over GROUP BY ALL", "called_peaks", "small_sheet")
+@query(f"{OVERLAPS} SELECT type, ip, threshold, round(avg(overlap), 6) AS mean, count(*) AS n, round(stddev_samp(overlap), 6) AS std FROM all_over GROUP BY ALL", "called_peaks", "small_sheet")
 def overlap_facets(spark, d):
-    return rounded(peaks.facet_summary(all_overlaps(spark, d)).drop("std"), "mean")
+    return rounded(peaks.facet_summary(all_overlaps(spark, d)), "mean", "std")
+
+
+@query(
+    """single AS (SELECT id AS sample, ip, number_cells, technique, bio_rep, cell_line, CASE WHEN count(*) OVER (PARTITION BY cell_line, number_cells, technique, ip, treatment, bio_rep, genome) = 1 THEN 0 ELSE tech_rep END AS tech_rep FROM sheet),
+typed AS (SELECT CASE WHEN x.number_cells = y.number_cells AND x.technique < y.technique AND x.bio_rep = 0 AND y.bio_rep = 0 THEN 'techniques'
+              WHEN x.technique = 'CM' AND y.technique = 'CM' AND x.number_cells < y.number_cells AND x.bio_rep = 0 AND y.bio_rep = 0 THEN 'cells'
+              WHEN x.technique = 'CM' AND y.technique = 'CM' AND x.number_cells = y.number_cells AND x.bio_rep = 1 AND y.bio_rep = 2 THEN 'replicates' END AS type,
+         x.ip, x.sample AS a, y.sample AS b FROM single x JOIN single y ON x.ip = y.ip WHERE x.ip NOT IN ('IGG', 'INPUT') AND x.tech_rep = 0 AND y.tech_rep = 0)
+SELECT type, ip, a, b FROM typed WHERE type IS NOT NULL""",
+    "sheet",
+)
+def sheet_pairings(spark, d):
+    """Pairs to compare over the whole sheet, once lone technical replicates count as merged."""
+    merged = samples.relabel_singletons(view(spark, d, "sheet")).withColumnRenamed("id", "sample")
+    return peaks.sample_pairs(merged).select("type", "ip", "a", "b")
+
+
+@query(
+    "SELECT technique, arg_min(id, (bio_rep, id)) AS id, arg_min(ip, (bio_rep, id)) AS ip FROM sheet WHERE number_cells = '10M' AND ip IS NOT NULL GROUP BY technique",
+    "sheet",
+)
+def first_sample(spark, d):
+    """The first sample of each technique that meets a condition."""
+    s = view(spark, d, "sheet").select("technique", "id", "ip", "number_cells", "bio_rep")
+    return intervals.first_match(s, (F.col("number_cells") == "10M") & F.col("ip").isNotNull(), ["technique"], "bio_rep", "id").select("technique", "id", "ip")
 
 
 @query(f"{OVERLAPS} SELECT a, b, round(max(overlap) FILTER (threshold = 5), 6) AS top5, round(max(overlap) FILTER (threshold = 25), 6) AS top25 FROM all_over GROUP BY a, b", "called_peaks", "small_sheet")
@@ -419,14 +456,18 @@ def fragment_percentiles(spark, d):
 
 @query(
     """e AS (SELECT sample, CAST(abs(tlen) AS DOUBLE) AS l FROM reads WHERE abs(tlen) BETWEEN 1 AND 300),
-m AS (SELECT sample, count(*) AS k, avg(l) AS mean, var_samp(l) AS v FROM e GROUP BY sample)
-SELECT a.sample AS sample1, b.sample AS sample2,
-       round((a.mean - b.mean) / sqrt(((a.k - 1) * a.v + (b.k - 1) * b.v) / (a.k + b.k - 2) * (1.0 / a.k + 1.0 / b.k)), 6) AS t, a.k + b.k - 2 AS df
-FROM m a JOIN m b ON a.sample < b.sample""",
+m AS (SELECT sample, count(*) AS k, avg(l) AS mean, var_samp(l) AS v FROM e GROUP BY sample),
+tests AS (SELECT a.sample AS sample1, b.sample AS sample2,
+       (a.mean - b.mean) / sqrt(((a.k - 1) * a.v + (b.k - 1) * b.v) / (a.k + b.k - 2) * (1.0 / a.k + 1.0 / b.k)) AS t, a.k + b.k - 2 AS df
+FROM m a JOIN m b ON a.sample < b.sample),
+points AS (SELECT *, atan(abs(t) / sqrt(df)) AS top, unnest(generate_series(0, 2000)) AS i FROM tests),
+area AS (SELECT sample1, sample2, t, df, sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(top * i / 2000), df - 1)) * any_value(top) / 6000 AS s FROM points GROUP BY ALL)
+SELECT sample1, sample2, round(t, 6) AS t, df, round(1 - 2 * s * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()), 6) AS p FROM area""",
     "reads",
 )
 def fragment_ttest(spark, d):
-    return rounded(stats.t_tests(view(spark, d, "fragment_histogram")), "t")
+    """The p-value's SQL integrates the density between -t and t by Simpson's rule, in the angle whose tangent is t / sqrt(df)."""
+    return rounded(stats.t_tests(view(spark, d, "fragment_histogram")), "t", "p")
 
 
 @query("SELECT length, " + ", ".join(f"max(n) FILTER (sample = {k}) AS s{k}" for k in range(1, 8)) + " FROM fragment_histogram GROUP BY length", "fragment_histogram")
@@ -578,14 +619,26 @@ def cdt_matrices(spark, d):
     return wide_matrix(C.ranked_matrix(C.cut_counts(*reads_and_windows(spark, d))), -400, 399, "sample")
 
 
+@query("SELECT sample, chrom, r_start, r_end, strand FROM reads WHERE chrom = 'chr3' AND r_start < 600000 AND r_end > 250000", "reads")
+def region_scan(spark, d):
+    """A region from a table that is laid out by chromosome and start: only its partition and row groups are read."""
+    path = checkpoints.fresh_folder(spark, "reads-by-chromosome")
+    reads = view(spark, d, "reads")
+    reads.repartition("chrom").sortWithinPartitions("chrom", "r_start").write.partitionBy("chrom").parquet(path)
+    return readers.read_region(spark, path, "chr3", 250_000, 600_000).select("sample", "chrom", "r_start", "r_end", "strand")
+
+
 # --- footprints --------------------------------------------------------------------------------
 
 
-def posteriors(spark, d):
+def footprint_input(spark, d):
     reads, windows = reads_and_windows(spark, d)
     counts = C.collapse_strands(C.cut_counts(reads, windows)).where(F.col("x").between(-200, 199)).select("sample", "name", "x", "n")
-    sites = view(spark, d, "sites").join(C.usable_windows(windows).select("name"), "name")
-    return footprint.footprint_posteriors(counts, sites, 400)
+    return counts, view(spark, d, "sites").join(C.usable_windows(windows).select("name"), "name")
+
+
+def posteriors(spark, d):
+    return footprint.footprint_posteriors(*footprint_input(spark, d), 400)
 
 
 @query()
@@ -596,3 +649,53 @@ def footprint_posterior(spark, d):
 @query()
 def posterior_summary(spark, d):
     return footprint.posterior_summary(posteriors(spark, d))
+
+
+@query()
+def posterior_percentiles(spark, d):
+    """Posteriors of all samples together with factor and assay, and their percentiles per factor and assay."""
+    together = footprint.by_assay(posteriors(spark, d), view(spark, d, "small_sheet"))
+    return rounded(footprint.posterior_percentiles(together, ["ip", "technique"]), "mean", "p25", "p50", "p75", digits=4)
+
+
+#: Given parameters, the same for all samples: a dip of the profile in the middle.
+GIVEN = footprint.Parameters(-0.5, 0.8, (6.0, 2.0), (2.0, 1.5), {x: math.log(0.4 if abs(x) < 10 else 1.5 if abs(x) < 40 else 0.96) for x in range(-200, 200)})
+SITES_SQL = f"""{BOTH},
+cuts AS (SELECT sample, name, x, CAST(n AS DOUBLE) AS n FROM both_strands WHERE x BETWEEN -200 AND 199),
+scored AS (SELECT s.name, CAST(score AS DOUBLE) AS score FROM sites s JOIN w ON w.name = s.name),
+every AS (SELECT DISTINCT sample FROM cuts),
+base AS (SELECT e.sample, s.name, (score - (SELECT avg(score) FROM scored)) / (SELECT stddev_pop(score) FROM scored) AS z, coalesce(t, 0) AS t, coalesce(shape, 0) AS shape
+         FROM scored s CROSS JOIN every e LEFT JOIN (SELECT sample, name, sum(n) AS t, sum(n * CASE WHEN abs(x) < 10 THEN ln(0.4) WHEN abs(x) < 40 THEN ln(1.5) ELSE ln(0.96) END) AS shape FROM cuts GROUP BY ALL) c
+         ON c.sample = e.sample AND c.name = s.name),
+odds AS (SELECT *, -0.5 + 0.8 * z + shape + (lgamma(t + 2) - lgamma(2) + 2 * ln(2 / 8.0) + t * ln(6 / 8.0)) - (lgamma(t + 1.5) - lgamma(1.5) + 1.5 * ln(1.5 / 3.5) + t * ln(2 / 3.5)) AS o FROM base),
+e_step AS (SELECT *, 1 / (1 + exp(-greatest(least(o, 500), -500))) AS p, 1 / (1 + exp(0.5 - 0.8 * z)) AS prior FROM odds)"""
+
+
+def given_step(spark, d):
+    table = footprint.site_table(*footprint_input(spark, d))
+    every = {r["sample"]: GIVEN for r in table.select("sample").distinct().collect()}  # one row per sample
+    return footprint.expected(every, table)
+
+
+@query(f"{SITES_SQL} SELECT sample, name, round(z, 5) AS z, CAST(t AS BIGINT) AS total, round(p, 5) AS posterior FROM e_step", "reads", "windows", "sites")
+def footprint_expectation(spark, d):
+    """One expectation step of every sample and site, from given parameters."""
+    return rounded(given_step(spark, d), "z", "p", digits=5).select("sample", "name", "z", F.col("t").cast("long").alias("total"), F.col("p").alias("posterior"))
+
+
+@query(
+    f"""{SITES_SQL}, bound AS (SELECT c.sample, x, sum(n * p) AS w FROM cuts c JOIN e_step e ON e.sample = c.sample AND e.name = c.name GROUP BY ALL)
+SELECT e.sample, round(sum(p), 4) AS bound, round(sum(p * t), 3) AS bound_cuts, round(sum(p * t * t), 2) AS bound_squares, round(sum(p - prior), 4) AS slope0, round(sum((p - prior) * z), 4) AS slope1,
+       round(coalesce(any_value(b.dip), 0), 3) AS dip
+FROM e_step e JOIN (SELECT sample, sum(w) FILTER (abs(x) < 10) AS dip FROM bound GROUP BY sample) b ON b.sample = e.sample GROUP BY e.sample""",
+    "reads",
+    "windows",
+    "sites",
+)
+def footprint_maximisation(spark, d):
+    """What the next parameters are made of: the sums over sites and bound cuts, from one expectation step."""
+    sums = footprint.round_sums(given_step(spark, d), "p")
+    rows = [(s, g["p"], g["pt"], g["ptt"], g["slope0"], g["slope1"], float(sum(w for x, w in shape.items() if abs(x) < 10))) for s, (g, shape) in sums.items()]
+    found = spark.createDataFrame(rows, "sample int, bound double, bound_cuts double, bound_squares double, slope0 double, slope1 double, dip double")
+    out = rounded(rounded(rounded(found, "bound", "slope0", "slope1", digits=4), "bound_cuts", "dip", digits=3), "bound_squares", digits=2)
+    return out

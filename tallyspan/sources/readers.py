@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import strand
 from . import schemas
 
 
@@ -21,10 +23,16 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: str) -> DataFra
 
 
 def read_peaks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Narrow or broad peaks by file name (broadPeak has no summit), or BED."""
-    first = path if isinstance(path, str) else path[0]
-    kind = schemas.BROAD_PEAK if "broadPeak" in first else schemas.NARROW_PEAK if "narrowPeak" in first else schemas.BED
-    return read_tsv(spark, path, kind)
+    """Narrow or broad peaks by file name (broadPeak has no summit), or BED; strands as +, - or . for none.
+
+    Files of one kind are one scan. A list of several kinds has the columns of all, null where a kind has none.
+    """
+    by_kind: dict[str, list[str]] = {}
+    for p in [path] if isinstance(path, str) else path:
+        name = p.rstrip("/").rsplit("/", 1)[-1]
+        by_kind.setdefault(schemas.BROAD_PEAK if "broadPeak" in name else schemas.NARROW_PEAK if "narrowPeak" in name else schemas.BED, []).append(p)
+    parts = [read_tsv(spark, ps, kind) for kind, ps in by_kind.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumn("strand", strand(F.col("strand")))
 
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:

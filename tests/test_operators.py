@@ -209,3 +209,104 @@ def test_footprints_of_every_sample(spark):
             assert got[s, r["name"]] == pytest.approx(r["posterior"], abs=1e-9)
     summary = footprint.posterior_summary(both).groupBy("sample").sum("n").collect()
     assert {r["sample"]: r["sum(n)"] for r in summary} == {"a": 32, "b": 32}
+
+
+@pytest.mark.parametrize("t, df, p", [(12.7062047, 1, 0.05), (4.30265273, 2, 0.05), (2.570581836, 5, 0.05), (2.042272456, 30, 0.05), (2.75, 30, 0.0100), (1.96, 10**6, 0.049996), (0.0, 7, 1.0)])
+def test_tabulated_p_values(t, df, p):
+    assert stats.two_sided_p(t, df) == pytest.approx(p, abs=2e-5) and stats.two_sided_p(-t, df) == pytest.approx(p, abs=2e-5)
+
+
+@pytest.mark.parametrize("name", ["flat", "hanning", "hamming", "bartlett", "blackman"])
+@pytest.mark.parametrize("width", [1, 2])
+def test_narrow_kernels_change_nothing(spark, name, width):
+    rows = spark.createDataFrame([("s", i, float(i)) for i in range(4)], "k string, p long, v double")
+    assert X.kernel(name, width) == [1.0]
+    assert [r["v"] for r in profiles.smooth(rows, ["k"], "p", "v", width, name).orderBy("p").collect()] == [0, 1, 2, 3]
+
+
+def by_hand(rows, percent):
+    want = set()
+    for s in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == s), key=lambda r: (-r[4], r[1], r[2], r[3], r[5]))
+        want |= {(s, r[5]) for r in mine[: len(mine) * percent // 100]}
+    return want
+
+
+@pytest.mark.parametrize("kind", ["outlier", "ties", "spread", "mixed"])
+def test_top_fractions_under_skew(spark, kind):
+    """One outlier, one score for all, and both thresholds in one plan."""
+    rng = random.Random(6)
+    q = {"outlier": lambda k: 10**15 if k == 7 else rng.randrange(50), "ties": lambda k: 9, "spread": lambda k: rng.randrange(10**9), "mixed": lambda k: rng.choice([1, 1, 1, rng.randrange(10**6)])}[kind]
+    rows = [(s, f"chr{rng.randrange(1, 4)}", rng.randrange(5_000_000), 0, q(k), k) for s, n in ((1, 3000), (2, 300), (3, 3)) for k in range(n)]
+    p = spark.createDataFrame(rows, "sample int, chrom string, p_start long, p_end long, q long, peak_id long")
+    got = peaks.top_fractions(p, [5, 25]).collect()
+    for percent in (5, 25):
+        assert {(r["sample"], r["peak_id"]) for r in got if r["percent"] == percent} == by_hand(rows, percent)
+    assert len(got) == len(by_hand(rows, 5)) + len(by_hand(rows, 25))
+    assert peaks.top_fraction(p.limit(0), 5).count() == 0
+
+
+def test_sequences_of_equal_names_and_gaps(spark):
+    reference = spark.createDataFrame([("c", 0, "AACC"), ("c", 4, "GGTT"), ("c", 12, "ACGT")], "chrom string, chunk_start long, seq string")
+    rows = [("a", "c", 0, 4, "+"), ("a", "c", 4, 8, "+"), ("minus", "c", 2, 6, "-"), ("gap", "c", 6, 14, "+"), ("none", "d", 0, 4, "+"), ("empty", "c", 3, 3, "+"), ("end", "c", 14, 18, "+")]
+    got = motifs.interval_sequences(spark.createDataFrame(rows, "name string, chrom string, start long, end long, strand string"), reference, 4).collect()
+    assert sorted((r["name"], r["seq"] or "") for r in got) == [("a", "AACC"), ("a", "GGTT"), ("empty", ""), ("end", ""), ("gap", ""), ("minus", "CCGG"), ("none", "")]
+    assert {r["name"] for r in got if r["seq"] is None} == {"gap", "none", "end"}
+
+
+def test_scores_equal_plain_sums(spark):
+    rng = random.Random(2)
+    rows = [(f"s{k}", "".join(rng.choice("ACGT" if k % 3 else "ACGTN") for _ in range(rng.randrange(0, 90)))) for k in range(40)] + [("null", None)]
+    got = {(r["name"], r["place"]): r["score"] for r in motifs.pwm_scores(spark.createDataFrame(rows, "name string, seq string")).collect()}
+    want = {}
+    for name, seq in rows:
+        for place in range(len(seq or "") - 20):
+            part = seq[place : place + 21]
+            want[name, place] = None if "N" in part else sum(motifs.MOTIF[b][k] for k, b in enumerate(part))
+    assert got.keys() == want.keys() and all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_peaks_of_several_kinds_and_strands(spark, tmp_path):
+    (tmp_path / "a.narrowPeak").write_text("chr1\t1\t5\tn\t9\t1\t1.5\t2\t3\t4\n")
+    (tmp_path / "b.broadPeak").write_text("chr1\t2\t5\tb\t9\t.\t1.5\t2\t3\n")
+    (tmp_path / "c.bed").write_text("chr2\t3\t5\tc\t0.5\t0\n")
+    got = {r["name"]: r for r in readers.read_peaks(spark, [str(tmp_path / n) for n in ("c.bed", "a.narrowPeak", "b.broadPeak")]).collect()}
+    assert {n: (r["strand"], r["summit"], r["q_value"]) for n, r in got.items()} == {"n": ("-", 4, 3.0), "b": (".", None, 3.0), "c": ("+", None, None)}
+
+
+def test_region_scan_prunes(spark, tmp_path):
+    rows = [(1, f"chr{1 + k % 3}", 100 * k, 100 * k + 150, "+", True, False, 5) for k in range(60)]
+    reads = spark.createDataFrame(rows, READS)
+    reads.write.partitionBy("chrom").parquet(str(tmp_path / "reads"))
+    found = readers.read_region(spark, str(tmp_path / "reads"), "chr2", 1000, 2050)
+    assert sorted(r["r_start"] for r in found.collect()) == [r[2] for r in rows if r[1] == "chr2" and r[2] < 2050 and r[3] > 1000]
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(chrom" in plan and "LessThan(r_start,2050)" in plan
+
+
+def test_csv_sink(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([(1, "a,b"), (2, None)], "x int, y string"), str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.schema("x int, y string").csv(str(tmp_path / "out"), header=True).collect()), key=str) == [(1, "a,b"), (2, None)]
+
+
+def test_first_match(spark):
+    df = spark.createDataFrame([("a", 3, True), ("a", 1, False), ("a", 2, True), ("b", 1, False)], "k string, n int, ok boolean")
+    assert [tuple(r) for r in intervals.first_match(df, F.col("ok"), ["k"], "n").collect()] == [("a", 2, True)]
+
+
+def test_axis_gaps(spark):
+    """Every place of the axis once, whichever of them have counts."""
+    counts = spark.createDataFrame([("s", "w", "+", -2, 3), ("s", "w", "-", 1, 4), ("t", "w", "+", 1, 1)], "sample string, name string, strand string, x long, n long")
+    windows = spark.createDataFrame([("w", "chr1", 0, 4, "+")], WINDOWS)
+    got = {(r["sample"], r["x"]): (r["average"], r["positive"], r["negative"]) for r in coverage.mean_profile(counts, windows, 4).collect()}
+    assert got == {("s", -2): (1.5, 3.0, 0.0), ("s", -1): (0, 0, 0), ("s", 0): (0, 0, 0), ("s", 1): (2.0, 0, 4.0), ("t", -2): (0, 0, 0), ("t", -1): (0, 0, 0), ("t", 0): (0, 0, 0), ("t", 1): (0.5, 1.0, 0)}
+    overlaps = spark.createDataFrame([("s", "w", "+", 1, 3), ("s", "w", "+", 2, 4)], "sample string, name string, strand string, lo long, hi long")
+    assert [r["n"] for r in coverage.pileup_profile(overlaps, 4).orderBy("x").collect()] == [0, 1, 2, 1]
+
+
+def test_footprint_percentiles(spark):
+    rows = [(1, f"p{k}", k / 100) for k in range(101)] + [(2, "x", 0.5)]
+    sheet = spark.createDataFrame([(1, "CTCF", "CM"), (2, "PU1", "CM"), (3, "IGG", "CM")], "sample int, ip string, technique string")
+    together = footprint.by_assay(spark.createDataFrame(rows, "sample int, name string, posterior double"), sheet)
+    got = {r["ip"]: r for r in footprint.posterior_percentiles(together, ["ip", "technique"]).collect()}
+    assert (got["CTCF"]["n"], got["CTCF"]["p25"], got["CTCF"]["p50"], got["PU1"]["p75"]) == (101, 0.25, 0.5, 0.5) and len(got) == 2
