@@ -10,6 +10,7 @@ by their rank within a length.
 from __future__ import annotations
 
 import zlib
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,20 @@ def cut_batches(batches):
 # --- the operator ------------------------------------------------------------------------------
 
 
+def in_groups_before(sums: DataFrame, value: str, groups: int) -> DataFrame:
+    """(units, grp, before): the sum of ``value`` over the groups of the same units that come before.
+
+    Prefix sums of blocks, then within blocks: a length that most pieces have is some sqrt(groups) rows in a task.
+    """
+    block = max(1, isqrt(groups))
+    blocked = sums.select("units", "grp", F.col(value).alias("value"), F.floor(F.col("grp") / block).alias("block"))
+    along = lambda keys, place: Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda keys, place: F.coalesce(F.sum("value").over(along(keys, place)), F.lit(0))
+    blocks = blocked.groupBy("units", "block").agg(F.sum("value").alias("value")).select("units", "block", so_far(["units"], "block").alias("blocks_before"))
+    inner = blocked.withColumn("inner", so_far(["units", "block"], "grp"))
+    return inner.join(blocks, ["units", "block"]).select("units", "grp", (F.col("inner") + F.col("blocks_before")).alias("before"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -204,8 +219,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     # rank of each piece within its length: groups by hash, and how many pieces lie in the groups before
     groups = max(256, sum(histogram.values()) // GROUP)
     grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "crc"), F.lit(groups)))
-    before = Window.partitionBy("units").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = grouped.groupBy("units", "grp").agg(F.count(F.lit(1)).alias("n")).select("units", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    ahead = in_groups_before(grouped.groupBy("units", "grp").agg(F.count(F.lit(1)).alias("n")), "n", groups).withColumnRenamed("before", "ahead")
 
     slots, taken, base = [], {}, 0
     for number, (parts, repeats) in enumerate(plan):
@@ -236,7 +250,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         firsts.append((r["units"], total))
         total += r["tokens"]
     first_table = spark.createDataFrame(firsts or [(0, 0)], "units int, first long")
-    starts = sums.select("units", "grp", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("group_first")).join(F.broadcast(first_table), "units")
+    starts = in_groups_before(sums, "tokens", groups).withColumnRenamed("before", "group_first").join(F.broadcast(first_table), "units")
     running = Window.partitionBy("units", "grp").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = left.withColumn("inner_first", F.coalesce(F.sum("length").over(running), F.lit(0))).join(staged(starts, "pack-starts"), ["units", "grp"])
     rows = placed.select("doc_id", "start", "length", "crc", "doc_tokens", "chunks", (F.col("first") + F.col("group_first") + F.col("inner_first")).alias("at"))
