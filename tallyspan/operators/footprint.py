@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .checkpoints import durable
 
 #: The likelihood has to rise by this share for another round.
-RISE = 1e-6
+RISE = 1e-4
 
 
 @dataclass
