@@ -74,12 +74,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target, system = file_system(spark, path)
+    system.delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again (a round's table once the next is written)."""
     files = df.inputFiles()
     if files:
-        target, system = file_system(df.sparkSession, files[0].rsplit("/", 1)[0])
-        system.delete(target, True)
+        delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def release(spark: SparkSession) -> None:

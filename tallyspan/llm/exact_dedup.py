@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column_name, discard, exists, fresh_path, load, quoted, staged
+from .common import ascii_lower, column_name, delete, discard, exists, fresh_path, load, quoted, release, staged
 
 #: State on disk; a partition's store is closed when its task has committed, as no other batch waits for it.
 #: All stores of an executor share one bounded cache, and their write buffers are small, however many there are.
@@ -63,7 +63,7 @@ def land(docs: DataFrame, folder: str, digest: Callable[[Column], Column], batch
     if not exists(spark, f"{path}/_SUCCESS"):
         rows = docs.select("doc_id", body(F.col("text")).alias("body")).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
         located = rows.select("*", digest(F.col("sha")).alias("digest"), F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string")).alias("locator"))
-        located.write.mode("overwrite").parquet(path)
+        located.write.mode("overwrite").parquet(path, compression="zstd")
     return spark.read.schema(LANDED).parquet(folder).drop("batch")
 
 
@@ -90,6 +90,7 @@ def collisions(landed: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFra
     """The rows of digests that several rows have, with their bytes; and the digests whose rows aren't all equal to the one that stays."""
     hits = groups.where("group_size > 1").select("digest", "keep_locator")
     members = staged(landed.select("doc_id", "body", "digest", "locator").join(hits, "digest"), "exact-hits")
+    release(landed.sparkSession)
     stay = staged(members.where("locator = keep_locator").select("digest", F.col("body").alias("stay_body")), "exact-stay")
     # both sides staged, and the result before it is made distinct: Spark can then split the join where one group is large
     differ = staged(members.join(stay, "digest").where("body <> stay_body").select("digest"), "exact-collisions")
@@ -114,6 +115,7 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha
     work = work or fresh_path(spark, "exact-dedup")
     landed = land(docs, f"{work}/landed", digest, batch or uuid.uuid4().hex)
     groups = staged(run_stream(spark, f"{work}/landed", f"{work}/state", f"{work}/updates"), "exact-groups")
+    release(spark)
     members, differ = collisions(landed, groups)
 
     decided = landed.drop("body").join(groups, "digest")
@@ -135,9 +137,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Null texts count as empty, null ids stay only where a group has no other; of rows that repeat id and text one
     stays, whichever if they differ elsewhere. Empty in, empty out.
     """
-    decided = staged(decide(docs), "exact-decided")
+    spark, work = docs.sparkSession, fresh_path(docs.sparkSession, "exact-dedup")
+    decided = staged(decide(docs, work=work), "exact-decided")
+    delete(spark, work)  # no later call goes on from this state
     gone = staged(decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("rows")).where("not any_kept or rows > 1"), "exact-gone")
     discard(decided)
+    release(spark)
     gone_id, gone_sha = column_name(docs, "gone_id"), column_name(docs, "gone_sha")
     sha = sha256(F.col("text"))
 

@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     place = (F.row_number().over(by_name) - 1) % len(weights)
     weighted = per_source.withColumn("w", F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]), (place + 1).cast("int")))
     everything = Window.partitionBy()
-    # size / weight in exact integers: all weights divide their product
+    # size / weight as size times the other weights: equal ones stay equal as doubles (whole numbers, up to 2^53)
     product = 1
     for w in weights:
         product *= int(w)
