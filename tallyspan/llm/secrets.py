@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column_name, load, staged
+from .common import ascii_lower, column_name, load, quoted, staged
 
 parser = re._parser  # the standard library's own regular-expression parser
 
@@ -213,7 +213,7 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     for order, rule in enumerate(rules):
         asked = F.array_contains(F.col(kinds), rule.kind) if rule.kind in indexed else text.rlike(rule.pattern)
         each.append(F.when(asked, matches(text, rule, order)).otherwise(none))
-    return probed.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*each)).alias(spans))
+    return probed.select(*[F.col(quoted(c)) for c in docs.columns], F.array_sort(F.concat(*each)).alias(spans))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

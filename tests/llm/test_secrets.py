@@ -67,3 +67,9 @@ def test_rules_without_trigrams_scan_fully():
     assert secrets.trigram_query("[0-9a-f]{32,}") == secrets.ANYTHING
     assert secrets.trigram_query("a?b?c?") == secrets.ANYTHING
     assert secrets.trigram_query(secrets.RULES[0].pattern) != secrets.ANYTHING
+
+
+def test_dotted_names(spark):
+    d = docs(spark, [(1, "token: abcdefgh1"), (2, None)]).selectExpr("*", "1 AS `a.b`")
+    found = secrets.find_secrets(d)
+    assert found.columns[:-1] == d.columns and [len(r["secret_spans"]) for r in found.orderBy("doc_id").collect()] == [1, 0]
