@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, near_dedup, neighbours, packing, passages, quality, secrets, warc
+from . import decontamination, exact_dedup, licenses, mixing, near_dedup, neighbours, packing, passages, quality, secrets, warc
 
-MODULES = (secrets, licenses, neighbours, warc, quality, mixing, exact_dedup, packing, passages, near_dedup)
+MODULES = (secrets, licenses, neighbours, warc, quality, mixing, exact_dedup, packing, passages, near_dedup, decontamination)
 
 
 def queries() -> dict:
