@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, exact_dedup, licenses, mixing, near_dedup, neighbours, packing, passages, quality, secrets, warc
+from . import alignment, collocations, decontamination, exact_dedup, licenses, mixing, near_dedup, neighbours, packing, passages, quality, secrets, warc
 
-MODULES = (secrets, licenses, neighbours, warc, quality, mixing, exact_dedup, packing, passages, near_dedup, alignment, decontamination)
+MODULES = (secrets, licenses, neighbours, warc, quality, mixing, exact_dedup, packing, passages, near_dedup, alignment, decontamination, collocations)
 
 
 def queries() -> dict:
