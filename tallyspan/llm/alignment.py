@@ -26,7 +26,11 @@ from .common import discard, load, staged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 #: Chunks that a worker remembers at most; then it starts anew. A longer chunk isn't remembered.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 19, 64
+#: Characters of new chunks that go through the tokenizers at a time.
+TOGETHER = 1 << 15
+#: Characters of texts whose chunks are looked up at a time; a longer text goes alone.
+TEXTS = 1 << 19
 #: Id pairs that are sent to all tasks at most (17 bytes each), the most frequent ones.
 SENT = 1 << 20
 #: Distinct pairs that a task gathers before it hands them on.
@@ -74,7 +78,7 @@ def refined(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.where(clean, ends, np.where(at >= 0, ends[np.maximum(at, 0)], 0) + from_there)
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Aligned:
     """A text's or a chunk's tokens: counts, the groups as text, and the linked pair that ends each group."""
 
@@ -142,39 +146,84 @@ class Aligner:
         return None if a is None or b is None else aligned(*a, *b)
 
     def learn(self, chunks: list[str]) -> None:
+        """Remember chunks. Most go through the tokenizers in a row, which is cut at their bounds; the others each alone."""
         if len(self.known) + len(chunks) > REMEMBERED:
             self.known.clear()
+        plain = [c for c in chunks if c[0] in SPACES and c[0] != "\r" and c[-1] not in SPACES and "▁" not in c]
+        while plain:
+            sizes = np.cumsum([len(c) for c in plain[:8192]])
+            n = max(1, int(np.searchsorted(sizes, TOGETHER)))
+            self.known.update(self.together(plain[:n]))
+            plain = plain[n:]
         for chunk in chunks:
-            self.known[chunk] = self.align(chunk, whole=False)
-
-    def parts(self, text: str | None) -> list[Aligned]:
-        """The text's chunks, or the text as one; none if it has no tokens."""
-        if not text:
-            return []
-        spaced = " " + text
-        if not self.by_chunks:
-            return [x] if (x := self.align(spaced)) else []
-        chunks, known = CHUNK.findall(spaced), self.known
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            self.learn([c for c in set(chunks) if len(c) <= LONGEST and c not in known])
-            found = [known[c] if c in known else self.align(c, whole=False) for c in chunks]
-        if None in found:
-            return [x] if (x := self.align(spaced)) else []
-        return found
+            if chunk not in self.known:
+                self.known[chunk] = self.align(chunk, whole=False)
+
+    def together(self, chunks: list[str]) -> dict[str, Aligned]:
+        """The chunks of a row that both tokenizers cut at its bounds."""
+        row = "".join([" a", *chunks])
+        a, b = self.tokens_a(row), self.tokens_b(row)
+        if a is None or b is None:
+            return {}
+        (ids_a, ends_a), (ids_b, ends_b) = a, b
+        at_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
+        ends = ends_a[at_a]
+        at_b = np.searchsorted(ends_b, ends)
+        pairs = (ids_a[at_a] << SHIFT | ids_b[at_b]).astype("<i8").tobytes()
+        groups = group_names(ids_a, ids_b, at_a, at_b)
+        bounds = np.cumsum([2, *[len(c.encode()) for c in chunks]])
+        last = np.minimum(np.searchsorted(ends, bounds), len(ends) - 1)  # the group that ends at each bound
+        cut, to_a, to_b, last = (ends[last] == bounds).tolist(), at_a[last].tolist(), at_b[last].tolist(), last.tolist()
+        return {
+            c: Aligned(to_a[k + 1] - to_a[k], to_b[k + 1] - to_b[k], ";".join(groups[last[k] + 1 : last[k + 1] + 1]), pairs[8 * (last[k] + 1) : 8 * (last[k + 1] + 1)])
+            for k, c in enumerate(chunks)
+            if cut[k] and cut[k + 1]
+        }
+
+    def parts(self, texts: list[str | None]) -> list[list[Aligned]]:
+        """Each text's chunks, or the text as one; none if it has no tokens. New chunks of all are learnt at once."""
+        known, split = self.known, [CHUNK.findall(" " + t) if t and self.by_chunks else [] for t in texts]
+        new = {c for chunks in split for c in chunks if c not in known and len(c) <= LONGEST}
+        if new:
+            self.learn(list(new))
+        out = []
+        for text, chunks in zip(texts, split):
+            try:
+                found = [known[c] for c in chunks]
+            except KeyError:  # long ones, and what a fresh start has lost
+                found = [known[c] if c in known else self.align(c, whole=False) for c in chunks]
+            if text and (not chunks or None in found):
+                found = [x] if (x := self.align(" " + text)) else []
+            out.append(found)
+        return out
+
+    def each(self, column: pa.Array):
+        """``parts`` of a column, some texts at a time."""
+        waiting, size = [], 0
+        for text in column:
+            waiting.append(text.as_py())
+            size += len(waiting[-1] or "")
+            if size > TEXTS:
+                yield from self.parts(waiting)
+                waiting, size = [], 0
+        yield from self.parts(waiting)
+
+
+def group_names(ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[str]:
+    """Groups as text, of tokens up to and with those at ``at_a`` and ``at_b``."""
+    names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+    groups, i, j = [], 0, 0
+    for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
+        groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
+        i, j = x, y
+    return groups
 
 
 def aligned(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> Aligned:
     """Groups between the byte offsets where tokens of both end, and the pair of tokens that end there."""
     at_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
     at_b = np.searchsorted(ends_b, ends_a[at_a])
-    names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    groups, i, j = [], 0, 0
-    for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-        groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
-        i, j = x, y
-    return Aligned(len(ids_a), len(ids_b), ";".join(groups), (ids_a[at_a] << SHIFT | ids_b[at_b]).astype("<i8").tobytes())
+    return Aligned(len(ids_a), len(ids_b), ";".join(group_names(ids_a, ids_b, at_a, at_b)), (ids_a[at_a] << SHIFT | ids_b[at_b]).astype("<i8").tobytes())
 
 
 _made: dict[tuple[str, str], Aligner] = {}
@@ -196,8 +245,7 @@ def align_batches(paths: tuple[str, str]):
         made = aligner(paths)
         for batch in batches:
             n_a, n_b, n_groups, digests, pairs, times = [], [], [], [], [], []
-            for text in batch.column("text"):
-                parts = made.parts(text.as_py())
+            for parts in made.each(batch.column("text")):
                 distinct, n = np.unique(np.frombuffer(b"".join([p.pairs for p in parts]), "<i8"), return_counts=True)
                 n_a.append(sum([p.n_a for p in parts]))
                 n_b.append(sum([p.n_b for p in parts]))
@@ -327,8 +375,8 @@ def aligned_groups(docs: DataFrame, paths: tuple[str, str] | None = None) -> Dat
         ids = lambda s: [int(x) for x in s.split(",")]
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                groups = [g.split("|") for p in made.parts(text) for g in p.groups.split(";")]
+            for parts in made.each(batch.column("text")):
+                groups = [g.split("|") for p in parts for g in p.groups.split(";")]
                 rows.append([{"a": ids(a), "b": ids(b)} for a, b in groups])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "groups"])
 
