@@ -1,7 +1,9 @@
 """Joins of genomic intervals, as equi-joins on (chromosome, bin).
 
 Intervals are half-open. Spark has no range join: a plain overlap predicate would compare all intervals of
-a chromosome. Cutting the axis into bins makes it an equi-join that partitions and spills like any other.
+a chromosome. Cutting the axis into bins makes it an equi-join that partitions and spills like any other. Where lengths
+differ, bins have levels: an interval lies in one or two bins of the level that is as wide as it is long, and each side
+looks its partners up in the levels that the other side has.
 """
 
 from __future__ import annotations
@@ -24,23 +26,67 @@ def with_bins(df: DataFrame, start: str, end: str, name: str, width: int = BIN)
     return df.where(F.col(end) > F.col(start)).withColumn(name, F.explode(F.sequence(bin_of(F.col(start), width), last)))
 
 
+#: A level's bins are so many times as wide as those of the level below; the widest hold any chromosome.
+FAN, LEVELS = 8, 8
+
+
+def level_of(start: Column, end: Column, width: int = BIN) -> Column:
+    """The lowest level whose bins are as wide as the interval is long."""
+    size = end - start
+    return F.coalesce(*[F.when(size <= width * FAN**k, F.lit(k)) for k in range(LEVELS - 1)], F.lit(LEVELS - 1))
+
+
+def level_width(level: Column, width: int = BIN) -> Column:
+    return F.element_at(F.array(*[F.lit(width * FAN**k).cast("long") for k in range(LEVELS)]), level.cast("int") + 1)
+
+
+def levels_of(df: DataFrame, start: str, end: str, name: str, width: int = BIN) -> DataFrame:
+    """One row: the levels that the intervals of ``df`` are in, ``LEVELS`` numbers at most."""
+    return df.where(F.col(end) > F.col(start)).agg(F.collect_set(level_of(F.col(start), F.col(end), width)).alias(name))
+
+
+def in_levels(df: DataFrame, start: str, end: str, other: DataFrame, asks: bool, width: int = BIN) -> DataFrame:
+    """``df`` with ``_level``, ``_bin`` and ``_kind``, a row for each bin in which an interval can meet the other side's.
+
+    ``other`` holds the other side's levels. Of two intervals the one of the higher level is in its own bins and the lower
+    one looks there, so that long intervals aren't cut into short bins. Kind 0 are meetings in a bin of the side that
+    doesn't ask (those of equal levels are too), kind 1 in one of the side that asks. Empty intervals meet nothing.
+    """
+    own = level_of(F.col(start), F.col(end), width)
+    known = df.where(F.col(end) > F.col(start)).join(F.broadcast(other.toDF("_levels"))).withColumn("_own", own)
+    at = lambda level, kind: F.struct(level.cast("int").alias("level"), F.lit(kind).alias("kind"))
+    mine = F.array(at(F.col("_own"), 1 if asks else 0))
+    if asks:
+        meets_lower = F.exists("_levels", lambda l: l < F.col("_own"))
+        places = F.concat(F.transform(F.filter("_levels", lambda l: l >= F.col("_own")), lambda l: at(l, 0)), F.when(meets_lower, mine).otherwise(F.slice(mine, 1, 0)))
+    else:
+        places = F.concat(mine, F.transform(F.filter("_levels", lambda l: l > F.col("_own")), lambda l: at(l, 1)))
+    each = known.withColumn("_at", F.explode(places)).drop("_levels", "_own")
+    size = level_width(F.col("_at.level"), width)
+    bins = F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))  # one or two
+    return each.withColumn("_bin", F.explode(bins)).withColumns({"_level": F.col("_at.level"), "_kind": F.col("_at.kind")}).drop("_at")
+
+
 def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), width: int = BIN) -> DataFrame:
     """Pairs of ``a`` (chrom, a_start, a_end) and ``b`` (chrom, b_start, b_end) that share a base.
 
     ``keys`` are further columns that have to be equal. Each pair comes once: in the bin where the later of both starts.
     """
-    left, right = with_bins(a, "a_start", "a_end", "_bin", width), with_bins(b, "b_start", "b_end", "_bin", width)
-    joined = left.join(right, ["chrom", *keys, "_bin"])
-    first = F.greatest(bin_of(F.col("a_start"), width), bin_of(F.col("b_start"), width))
-    return joined.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("_bin") == first)).drop("_bin")
+    left = in_levels(a, "a_start", "a_end", levels_of(b, "b_start", "b_end", "_of_b", width), True, width)
+    right = in_levels(b, "b_start", "b_end", levels_of(a, "a_start", "a_end", "_of_a", width), False, width)
+    joined = left.join(right, ["chrom", *keys, "_kind", "_level", "_bin"])
+    first = F.floor(F.greatest("a_start", "b_start") / level_width(F.col("_level"), width))
+    return joined.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("_bin") == first)).drop("_bin", "_level", "_kind")
 
 
 def overlapping(a: DataFrame, b: DataFrame, row_id: Sequence[str], keys: Sequence[str] = (), width: int = BIN) -> DataFrame:
     """Rows of ``a`` that share a base with any of ``b``, each once (``row_id`` names a row of ``a``)."""
-    left = with_bins(a, "a_start", "a_end", "_bin", width)
-    right = with_bins(b.select("chrom", *keys, "b_start", "b_end"), "b_start", "b_end", "_bin", width)
-    match = [left["_bin"] == right["_bin"], *[left[k] == right[k] for k in ("chrom", *keys)], left["a_start"] < right["b_end"], right["b_start"] < left["a_end"]]
-    return left.join(right, match, "left_semi").drop("_bin").dropDuplicates(list(row_id))
+    b = b.select("chrom", *keys, "b_start", "b_end")
+    left = in_levels(a, "a_start", "a_end", levels_of(b, "b_start", "b_end", "_of_b", width), True, width)
+    right = in_levels(b, "b_start", "b_end", levels_of(a, "a_start", "a_end", "_of_a", width), False, width)
+    same = [left[k] == right[k] for k in ("chrom", *keys, "_kind", "_level", "_bin")]
+    match = [*same, left["a_start"] < right["b_end"], right["b_start"] < left["a_end"]]
+    return left.join(right, match, "left_semi").drop("_bin", "_level", "_kind").dropDuplicates(list(row_id))
 
 
 def keep_last(df: DataFrame, key: str, order: str) -> DataFrame:

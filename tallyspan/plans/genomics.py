@@ -177,6 +177,34 @@ def interval_overlap_pairs(spark, d):
     return found.select("a", "b", "chrom", (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("bases"))
 
 
+@query(
+    """SELECT g.name, count(*) AS peaks, CAST(sum(least(g_end, p_end) - greatest(g_start, p_start)) AS BIGINT) AS bases
+FROM regions g JOIN called_peaks p ON p.chrom = g.chrom AND p_start < g_end AND g_start < p_end GROUP BY g.name""",
+    "regions",
+    "called_peaks",
+)
+def interval_overlap_mixed(spark, d):
+    """Peaks in regions of one base up to more than a chromosome: how many, and how many bases they share."""
+    a = view(spark, d, "regions").select("name", "chrom", F.col("g_start").alias("a_start"), F.col("g_end").alias("a_end"))
+    b = view(spark, d, "called_peaks").select("chrom", F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
+    shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    return intervals.overlap_pairs(a, b).groupBy("name").agg(F.count(F.lit(1)).alias("peaks"), F.sum(shared).alias("bases"))
+
+
+@query(
+    """SELECT sample, chrom, p_start, p_end, peak_id FROM called_peaks p WHERE EXISTS (
+  SELECT 1 FROM regions g WHERE g.g_end - g.g_start <> 3000000 AND g.chrom = p.chrom AND g_start < p_end AND p_start < g_end)""",
+    "regions",
+    "called_peaks",
+)
+def interval_overlap_mixed_semi(spark, d):
+    """Peaks of all samples that touch a region of one base up to 100,000."""
+    b = view(spark, d, "regions").where("g_end - g_start <> 3000000").select("chrom", F.col("g_start").alias("b_start"), F.col("g_end").alias("b_end"))
+    a = view(spark, d, "called_peaks").select("sample", "chrom", F.col("p_start").alias("a_start"), F.col("p_end").alias("a_end"), "peak_id")
+    hit = intervals.overlapping(a, b, ["sample", "chrom", "a_start", "a_end", "peak_id"])
+    return hit.select("sample", "chrom", F.col("a_start").alias("p_start"), F.col("a_end").alias("p_end"), "peak_id")
+
+
 # --- normalisation and profiles ----------------------------------------------------------------
 
 

@@ -34,6 +34,10 @@ SELECT l_linenumber AS sample, {chromosome("l_suppkey")} AS chrom, {START} AS p_
        {START} + 200 + CAST(l_quantity AS BIGINT) AS p_end,
        CAST(round(l_extendedprice*100) AS BIGINT) AS q, l_orderkey AS peak_id
 FROM lineitem""",
+    "regions": f"""
+SELECT concat('region_', CAST(p_partkey AS VARCHAR(12))) AS name, {chromosome("p_partkey")} AS chrom, (p_partkey*7919) % 1000000 AS g_start,
+       (p_partkey*7919) % 1000000 + CASE p_size % 10 WHEN 0 THEN 1 WHEN 1 THEN 50 WHEN 2 THEN 3000000 WHEN 3 THEN 100000 WHEN 4 THEN 17000 ELSE 2000 END AS g_end
+FROM part""",
     "window_coverage": """
 SELECT l_linenumber AS sample, l_partkey AS win, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n
 FROM lineitem GROUP BY l_linenumber, l_partkey""",

@@ -310,3 +310,36 @@ def test_footprint_percentiles(spark):
     together = footprint.by_assay(spark.createDataFrame(rows, "sample int, name string, posterior double"), sheet)
     got = {r["ip"]: r for r in footprint.posterior_percentiles(together, ["ip", "technique"]).collect()}
     assert (got["CTCF"]["n"], got["CTCF"]["p25"], got["CTCF"]["p50"], got["PU1"]["p75"]) == (101, 0.25, 0.5, 0.5) and len(got) == 2
+
+
+def mixed_intervals(rng, n, axis=3_000_000_000):
+    """From one base to a whole axis, ends near bounds of bins of every level among them."""
+    rows = []
+    for k in range(n):
+        size = rng.choice([1, 2, 150, 1999, 2000, 2001, 16_000, 16_001, 128_000, 1_000_000, 8_000_000, 66_000_000, 300_000_000, axis])
+        near = rng.choice([0, 2000, 16_000, 128_000, 1_024_000, 8_192_000, 65_536_000]) * rng.randrange(1, 4)
+        start = max(0, min(axis - size, rng.choice([near - size // 2, near - 1, near, near - size, rng.randrange(axis), rng.randrange(20_000)])))
+        rows.append((k, rng.choice(["chr1", "chr2"]), start, start + rng.choice([size, size, size, 0])))
+    return rows
+
+
+def test_overlaps_of_all_lengths(spark):
+    """From one base to a whole chromosome: every pair once, and few rows after binning."""
+    rng = random.Random(8)
+    x, y = mixed_intervals(rng, 250), mixed_intervals(rng, 250)
+    a = spark.createDataFrame(x, "i int, chrom string, a_start long, a_end long")
+    b = spark.createDataFrame(y, "j int, chrom string, b_start long, b_end long")
+    want = sorted((i, j) for i, c, s, e in x for j, d, t, f in y if c == d and s < f and t < e and s < e and t < f)
+    assert sorted((r["i"], r["j"]) for r in intervals.overlap_pairs(a, b).collect()) == want
+    assert sorted(r["i"] for r in intervals.overlapping(a, b, ["i"]).collect()) == sorted({i for i, _ in want})
+    for asks, df, s, e, other in ((True, a, "a_start", "a_end", intervals.levels_of(b, "b_start", "b_end", "l")), (False, b, "b_start", "b_end", intervals.levels_of(a, "a_start", "a_end", "l"))):
+        assert intervals.in_levels(df, s, e, other, asks).count() <= 2 * intervals.LEVELS * 250
+    short = b.where("b_end - b_start <= 2000")
+    assert intervals.in_levels(short, "b_start", "b_end", intervals.levels_of(short, "b_start", "b_end", "l"), True).count() <= 2 * short.count()
+
+
+def test_a_long_interval_is_few_rows(spark):
+    a = spark.createDataFrame([(1, "chr1", 0, 30_000_000)], "i int, chrom string, a_start long, a_end long")
+    b = spark.createDataFrame([(k, "chr1", 1000 * k, 1000 * k + 200) for k in range(100)], "j int, chrom string, b_start long, b_end long")
+    assert intervals.in_levels(a, "a_start", "a_end", intervals.levels_of(b, "b_start", "b_end", "l"), True).count() <= 2
+    assert intervals.overlap_pairs(a, b).count() == 100
