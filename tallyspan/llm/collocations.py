@@ -34,8 +34,8 @@ FEWEST, MOST = 16, 27
 BLOCK = 1 << 14
 #: Suffixes that a task gathers before it adds them up and hands them on.
 GATHERED = 1 << 19
-#: Leading words are routed on by another word where more than this share of all suffixes has them, and so many at least.
-HOT_SHARE, HOT_LEAST = 1e-5, 2_000
+#: Leading words are routed on by another word where more than this share of all suffixes has them; the least and the most that it comes to.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 2e-4, 200, 5_000_000
 UNDETERMINED = "und"
 
 ENDS_PIECE = np.zeros(256, bool)
@@ -341,10 +341,10 @@ def sorted_phrases(table: pa.Table, support: int):
 def count_phrases(suffixes: DataFrame, support: int, hot_least: int) -> DataFrame:
     """(w1..w5, n): all phrases of two words or more and ``support`` occurrences or more, of staged suffixes."""
     spark, total = suffixes.sparkSession, suffixes.count()
-    hot_rows = max(hot_least, int(total * HOT_SHARE))
+    hot_rows = min(max(hot_least, int(total * HOT_SHARE)), HOT_MOST)
     routed = suffixes.withColumn("routed", F.lit(2))
     counted = []
-    for depth in range(2, LONGEST):  # leading words that more than hot_rows suffixes share: 1 / HOT_SHARE at most
+    for depth in range(2, LONGEST):  # leading words that more than hot_rows suffixes share: total / hot_rows at most
         lead = NAMES[:depth]
         of_depth = routed.where((F.col("routed") == depth) & (F.col(NAMES[depth - 1]) != 0))
         hot = of_depth.groupBy(*lead).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).where(F.col("rows") > hot_rows)
