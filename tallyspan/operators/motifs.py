@@ -32,32 +32,127 @@ def interval_sequences(intervals: DataFrame, reference: DataFrame, chunk: int) -
     return parts.select("name", F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole).alias("seq"))
 
 
-def score_batches(motif: dict):
-    """For batches (name, seq): the score of every offset, by one table look-up for each place of the motif over all sequences at once."""
+def with_halo(reference: DataFrame, chunk: int, halo: int) -> DataFrame:
+    """(chrom, chunk_start, seq): chunks and the first ``halo`` bases of the next one, so that no motif is cut at a seam."""
+    if halo > chunk:
+        raise ValueError("a chunk has to be as long as what it takes of the next one")
+    chunks = reference.select("chrom", "chunk_start", "seq")
+    heads = chunks.select("chrom", (F.col("chunk_start") - chunk).alias("chunk_start"), F.substring("seq", 1, halo).alias("_head"))
+    joined = chunks.join(heads, ["chrom", "chunk_start"], "left")
+    # what a short chunk lacks isn't made up for by the next one
+    return joined.select("chrom", "chunk_start", F.concat(F.rpad("seq", chunk, "N"), F.coalesce("_head", F.lit(""))).alias("seq"))
+
+
+def reversed_motif(motif: dict) -> dict:
+    """The motif as it reads on the other strand."""
+    return {b: list(motif[c])[::-1] for b, c in zip("ACGT", "TGCA")}
+
+
+def interval_scores(intervals: DataFrame, reference: DataFrame, chunk: int, motif: dict = MOTIF) -> DataFrame:
+    """(name, x, score): the motif's score at every offset of each interval (name, chrom, start, end, strand).
+
+    ``reference`` is (chrom, chunk_start, seq) in chunks of ``chunk`` bases. It is scored where it lies: an interval takes its
+    part of each chunk, with the motif's overhang from the next one, and a part is scored by itself, so that an interval as
+    long as a chromosome is many tasks. Offsets are numbered along the interval, 0 in the middle (2,000 bases are -990 to
+    989 for a motif of 21); minus intervals are read backwards, on the other strand. Each row is an interval, whatever
+    its name. Scores are null where a base is missing or none of A, C, G, T; shorter intervals have no rows.
+    """
     length = len(motif["A"])
-    weights = np.full((length, 256), np.nan)
+    halo = length - 1
+    # places g of motifs: from start on, up to end - length
+    spans = intervals.where(F.col("end") - F.col("start") >= length).select("name", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand")
+    touched = F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - length) / chunk))
+    wanted = spans.withColumn("_c", F.explode(touched)).withColumn("chunk_start", F.col("_c") * chunk).drop("_c")
+    met = wanted.join(with_halo(reference, chunk, halo), ["chrom", "chunk_start"], "left")
+    lo = F.greatest("start", "chunk_start")
+    n = (F.least(F.col("end") - halo, F.col("chunk_start") + chunk) - lo).cast("int")
+    part = F.rpad(F.substring(F.coalesce("seq", F.lit("")), (lo - F.col("chunk_start") + 1).cast("int"), n + halo), n + halo, "N")
+    minus = F.col("strand") == "-"
+    offset = F.when(minus, F.col("end") - length - lo).otherwise(lo - F.col("start"))
+    middle = F.floor((F.col("end") - F.col("start") - halo) / 2)
+    parts = met.select("name", (offset - middle).alias("first"), F.when(minus, -1).otherwise(1).alias("step"), part.alias("seq"))
+    kind = intervals.schema["name"].dataType.simpleString()
+    return parts.mapInArrow(part_batches(motif), f"name {kind}, x long, score double")
+
+
+#: Offsets that are scored at a time.
+OFFSETS = 1 << 20
+
+
+def weight_table(motif: dict) -> np.ndarray:
+    weights = np.full((len(motif["A"]), 256), np.nan)
     for base, ws in motif.items():
         weights[:, ord(base)] = ws
+    return weights
+
+
+def scores_of(seqs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, score) of every offset of all sequences, by one table look-up for each place of the motif."""
+    length = len(weights)
+    data = [s.encode("ascii", "replace") for s in seqs]
+    size = np.array([len(x) for x in data], np.int64)
+    n = np.maximum(size - length + 1, 0)
+    letters = np.frombuffer(b"".join(data), np.uint8)
+    row = np.repeat(np.arange(len(data)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = place + (np.cumsum(size) - size)[row]
+    score = np.zeros(len(row))
+    for k in range(length):
+        score += weights[k][letters[at + k]]
+    return row, place, score
+
+
+def few_at_a_time(batch: pa.RecordBatch, most: int):
+    """Slices of a batch whose sequences have so many bases together at most; a longer one goes alone."""
+    sizes = np.cumsum([0, *[len(s or "") for s in batch.column("seq").to_pylist()]])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def part_batches(motif: dict):
+    """Scores of parts (name, first, step, seq), labelled from ``first`` on by ``step``; a step backwards is the other strand."""
+    ahead, back = weight_table(motif), weight_table(reversed_motif(motif))
 
     def of(batches):
-        for batch in batches:
-            data = [(s or "").encode("ascii", "replace") for s in batch.column("seq").to_pylist()]
-            size = np.array([len(x) for x in data], np.int64)
-            n = np.maximum(size - length + 1, 0)
-            letters = np.frombuffer(b"".join(data), np.uint8)
-            row = np.repeat(np.arange(len(data)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            at = place + (np.cumsum(size) - size)[row]
-            score = np.zeros(len(row))
-            for k in range(length):
-                score += weights[k][letters[at + k]]
-            columns = [batch.column("name").take(pa.array(row)), pa.array(place, pa.int32()), pa.array(score, mask=np.isnan(score))]
-            yield pa.RecordBatch.from_arrays(columns, ["name", "place", "score"])
+        for whole in batches:
+            for batch in few_at_a_time(whole, OFFSETS):
+                first, step = (batch.column(c).to_numpy() for c in ("first", "step"))
+                seqs = batch.column("seq").to_pylist()
+                for weights, way in ((ahead, 1), (back, -1)):
+                    own = np.flatnonzero(step == way)
+                    row, place, score = scores_of([seqs[k] for k in own], weights)
+                    if len(row):
+                        columns = [batch.column("name").take(pa.array(own[row])), pa.array(first[own[row]] + way * place, pa.int64()), pa.array(score, mask=np.isnan(score))]
+                        yield pa.RecordBatch.from_arrays(columns, ["name", "x", "score"])
 
     return of
 
 
-def pwm_scores(sequences: DataFrame, motif: dict = MOTIF) -> DataFrame:
-    """(name, place, score): sum of weights at every offset; null where a base has none, no rows for short or null sequences."""
-    kind = sequences.schema["name"].dataType.simpleString()
-    return sequences.select("name", "seq").mapInArrow(score_batches(motif), f"name {kind}, place int, score double")
+def score_batches(motif: dict):
+    """For batches (name, shift, seq): the score of every offset, ``shift`` added to its place."""
+    weights = weight_table(motif)
+
+    def of(batches):
+        for whole in batches:
+            for batch in few_at_a_time(whole, OFFSETS):
+                row, place, score = scores_of(batch.column("seq").to_pylist(), weights)
+                columns = [batch.column("name").take(pa.array(row)), pa.array(place + batch.column("shift").to_numpy()[row], pa.int32()), pa.array(score, mask=np.isnan(score))]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "place", "score"])
+
+    return of
+
+
+def pwm_scores(sequences: DataFrame, motif: dict = MOTIF, chunk: int = 1 << 16) -> DataFrame:
+    """(name, place, score): sum of weights at every offset; null where a base has none, no rows for short or null sequences.
+
+    A sequence is scored by chunks that overlap by the motif's length less one. One that is long in itself belongs into a
+    chunked reference, which ``interval_scores`` reads.
+    """
+    kind, length = sequences.schema["name"].dataType.simpleString(), len(motif["A"])
+    long_enough = sequences.where(F.length("seq") >= length)
+    starts = long_enough.select("name", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length, F.lit(chunk))).alias("shift"))
+    parts = starts.select("name", "shift", F.substring("seq", F.col("shift") + 1, F.lit(chunk + length - 1)).alias("seq"))
+    return parts.mapInArrow(score_batches(motif), f"name {kind}, place int, score double")

@@ -616,18 +616,52 @@ def revcomp_sequence(spark, d):
     return s.select("name", F.md5(X.reverse_complement(F.col("seq")).cast("binary")).alias("digest"), F.length("seq").cast("long").alias("size"))
 
 
-@query(
-    """w AS (SELECT name, n, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand, a AS pos, least(a + 60, n) AS z FROM (SELECT name, seq, len(seq) AS n, (name * 7) % len(seq) AS a FROM dna WHERE len(seq) > 0))
-SELECT w.name, CASE strand WHEN '-' THEN reverse(translate(substring(seq, pos + 1, z - pos), 'ACGT', 'TGCA')) ELSE substring(seq, pos + 1, z - pos) END AS seq FROM w JOIN dna USING (name)""",
-    "dna",
-)
-def sequence_by_interval(spark, d):
+def dna_reference(spark, d, chunk: int):
+    """The texts' bases as a reference in chunks, each text a chromosome, and intervals of so many bases on both strands."""
     s = sequences(spark, d).where(F.length("seq") > 0)
-    reference = s.select(F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 32).cast("int"))).alias("c"))
-    reference = reference.select("chrom", (F.col("c").cast("long") * 32).alias("chunk_start"), F.substring("seq", F.col("c") * 32 + 1, F.lit(32)).alias("seq"))
-    start = (F.col("name") * 7) % F.length("seq")
-    wanted = s.select("name", F.col("name").alias("chrom"), start.alias("start"), F.least(start + 60, F.length("seq").cast("long")).alias("end"), F.when(F.col("name") % 2 == 0, "+").otherwise("-").alias("strand"))
-    return motifs.interval_sequences(wanted, reference, 32)
+    reference = s.select(F.col("name").alias("chrom"), "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / chunk).cast("int"))).alias("c"))
+    reference = reference.select("chrom", (F.col("c").cast("long") * chunk).alias("chunk_start"), F.substring("seq", F.col("c") * chunk + 1, F.lit(chunk)).alias("seq"))
+
+    def intervals_of(size: int):
+        start = (F.col("name") * 7) % F.length("seq")
+        end, strand = F.least(start + size, F.length("seq").cast("long")), F.when(F.col("name") % 2 == 0, "+").otherwise("-")
+        return s.select("name", F.col("name").alias("chrom"), start.alias("start"), end.alias("end"), strand.alias("strand"))
+
+    return reference, intervals_of
+
+
+def dna_intervals_sql(size: int) -> str:
+    return f"""w AS (SELECT name, n, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand, a AS pos, least(a + {size}, n) AS z FROM (SELECT name, seq, len(seq) AS n, (name * 7) % len(seq) AS a FROM dna WHERE len(seq) > 0)),
+cut AS (SELECT w.name, CASE strand WHEN '-' THEN reverse(translate(substring(seq, pos + 1, z - pos), 'ACGT', 'TGCA')) ELSE substring(seq, pos + 1, z - pos) END AS seq FROM w JOIN dna USING (name))"""
+
+
+@query(f"{dna_intervals_sql(60)} SELECT * FROM cut", "dna")
+def sequence_by_interval(spark, d):
+    reference, intervals_of = dna_reference(spark, d, 32)
+    return motifs.interval_sequences(intervals_of(60), reference, 32)
+
+
+INTERVAL_SCORES_SQL = f"""{dna_intervals_sql(2000)},
+o AS (SELECT name, seq, len(seq) - 20 AS m, unnest(generate_series(0, len(seq) - 21)) AS place FROM cut WHERE len(seq) >= 21),
+s AS (SELECT name, place - m // 2 AS x, round(list_sum(list_transform(generate_series(1, 21), lambda k: {WEIGHTS_SQL}[substring(seq, place + k, 1)][k])), 6) AS score FROM o)"""
+
+
+def scored_intervals(spark, d):
+    reference, intervals_of = dna_reference(spark, d, 256)
+    return motifs.interval_scores(intervals_of(2000), reference, 256)
+
+
+@query(f"{INTERVAL_SCORES_SQL} SELECT name, x, score FROM s", "dna")
+def pwm_by_interval(spark, d):
+    """Motif scores of intervals on both strands, labelled from their middle."""
+    return rounded(scored_intervals(spark, d), "score")
+
+
+@query(f"{INTERVAL_SCORES_SQL} SELECT x, count(*) AS n, round(sum(score), 6) AS total, max(score) AS best FROM s GROUP BY x", "dna")
+def pwm_profile(spark, d):
+    """The sum and the best of the scores at each label over all intervals."""
+    scores = rounded(scored_intervals(spark, d), "score")
+    return rounded(scores.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("best")), "total")
 
 
 @query(f"{BOTH} SELECT sample, name, x, CAST(n AS BIGINT) AS n, CAST(sum(n) OVER (PARTITION BY sample, name) AS BIGINT) AS total FROM both_strands WHERE x BETWEEN -400 AND 399", "reads", "windows")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -15,6 +16,18 @@ READS = "sample int, chrom string, r_start long, r_end long, strand string, is_a
 WINDOWS = "name string, chrom string, w_start long, w_end long, w_strand string"
 
 
+@contextmanager
+def settings(spark, **wanted):
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut_read(d, strand="+", w_start=5000, size=40, chrom="chr1"):
     at = w_start + d
     return (1, chrom, at, at + size, strand, True, False, size) if strand == "+" else (1, chrom, at + 1 - size, at + 1, strand, True, False, -size)
@@ -343,3 +356,48 @@ def test_a_long_interval_is_few_rows(spark):
     b = spark.createDataFrame([(k, "chr1", 1000 * k, 1000 * k + 200) for k in range(100)], "j int, chrom string, b_start long, b_end long")
     assert intervals.in_levels(a, "a_start", "a_end", intervals.levels_of(b, "b_start", "b_end", "l"), True).count() <= 2
     assert intervals.overlap_pairs(a, b).count() == 100
+
+
+@pytest.mark.parametrize("chunk", [20, 33, 64, 5000])
+def test_interval_scores_equal_the_whole_scan(spark, chunk):
+    """At every seam, on both strands, with gaps in the reference and intervals from 20 bases to all of it."""
+    rng = random.Random(6)
+    genome = {c: "".join(rng.choice("ACGTACGTACGTN") for _ in range(n)) for c, n in (("c1", 400), ("c2", 97))}
+    rows = [(c, at, g[at : at + chunk]) for c, g in genome.items() for at in range(0, len(g), chunk)]
+    gap = next((r for r in rows[1:-1] if r[0] == "c1"), None)
+    rows = [r for r in rows if r is not gap]
+    if gap:
+        genome["c1"] = genome["c1"][: gap[1]] + "N" * len(gap[2]) + genome["c1"][gap[1] + chunk :]
+    spans = [("all", "c1", 0, 400, "+"), ("back", "c1", 0, 400, "-"), ("none", "c1", 5, 25, "+"), ("one", "c1", 5, 26, "-"), ("over", "c2", 60, 130, "-"), ("twice", "c2", 3, 44, "+"), ("twice", "c2", 4, 60, "-"), ("gone", "c9", 0, 40, "+")]
+    intervals_df = spark.createDataFrame(spans, "name string, chrom string, start long, end long, strand string")
+    got = sorted((r["name"], r["x"], r["score"]) for r in motifs.interval_scores(intervals_df, spark.createDataFrame(rows, "chrom string, chunk_start long, seq string"), chunk).collect() if r["score"] is not None)
+    want, labels = [], 0
+    for name, c, s, e, strand in spans:
+        seq = (genome.get(c, "") + "N" * 500)[s:e]
+        if strand == "-":
+            seq = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        for o in range(len(seq) - 20):
+            labels += 1
+            part = seq[o : o + 21]
+            if "N" not in part:
+                want.append((name, o - (len(seq) - 20) // 2, sum(motifs.MOTIF[b][k] for k, b in enumerate(part))))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)])
+    assert motifs.interval_scores(intervals_df, spark.createDataFrame(rows, "chrom string, chunk_start long, seq string"), chunk).count() == labels
+
+
+def test_a_long_interval_is_many_tasks(spark):
+    reference = spark.range(200).select(F.lit("c").alias("chrom"), (F.col("id") * 1000).alias("chunk_start"), F.repeat(F.lit("ACGTT"), 200).alias("seq"))
+    whole = spark.createDataFrame([("all", "c", 0, 200_000, "+")], "name string, chrom string, start long, end long, strand string")
+    scores = motifs.interval_scores(whole, reference, 1000)
+    tasks = scores.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("score").alias("k")).collect()
+    assert sum(r["n"] for r in tasks) == sum(r["k"] for r in tasks) == 199_980 and min(r["lo"] for r in tasks) == -99_990 and max(r["hi"] for r in tasks) == 99_989
+    with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}):  # as if it were large
+        assert motifs.interval_scores(whole, reference, 1000).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_long_sequences_are_scored_by_chunks(spark):
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choice("ACGTN") for _ in range(n))) for k, n in enumerate((0, 20, 21, 60, 61, 200))]
+    df = spark.createDataFrame(rows, "name int, seq string")
+    plain = sorted(map(tuple, motifs.pwm_scores(df).collect()), key=str)
+    assert sorted(map(tuple, motifs.pwm_scores(df, chunk=7).collect()), key=str) == plain and len(plain) == 1 + 40 + 41 + 180
