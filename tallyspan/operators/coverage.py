@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import kept_chromosome
+from .checkpoints import durable
 from .intervals import BIN, bin_of, long_enough, overlap_pairs, with_bins
 
 WIDTH = 2000
@@ -28,14 +29,36 @@ def cuts(reads: DataFrame) -> DataFrame:
     return reads.select("sample", "chrom", "strand", cut.alias("cut"))
 
 
-def cut_counts(reads: DataFrame, windows: DataFrame, width: int = WIDTH, mode: str = "exact", oriented: bool = True, bin_width: int = BIN) -> DataFrame:
+#: Heavy bins are this share of all counted cuts' rows at least, so that they are few.
+HEAVY_SHARE = 1e-4
+
+
+def split_bins(points: DataFrame, spans: DataFrame, heaviest: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by (chrom, _bin) with a third key, ``_part``: bins of more than ``heaviest`` points come apart.
+
+    ``points`` are counted cuts. Their histogram by bin is measured; a heavy bin's points are dealt over parts by hash, and
+    its spans are repeated for each. Heavy bins are 1 / HEAVY_SHARE at most, so they are sent to all tasks.
+    """
+    points = durable(points)
+    bound = max(heaviest, int(points.count() * HEAVY_SHARE))
+    measured = points.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound)
+    heavy = durable(measured.select("chrom", "_bin", F.ceil(F.col("_n") / bound).alias("_parts")))
+    known = lambda df: df.join(F.broadcast(heavy), ["chrom", "_bin"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = known(points).withColumn("_part", F.pmod(F.xxhash64("sample", "strand", "cut"), F.col("_parts"))).drop("_parts")
+    repeated = known(spans).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return dealt, repeated
+
+
+def cut_counts(reads: DataFrame, windows: DataFrame, width: int = WIDTH, mode: str = "exact", oriented: bool = True, bin_width: int = BIN, heaviest: int | None = None) -> DataFrame:
     """(sample, name, strand, x, n): cuts per window, read strand and position, 0 at the window's middle.
 
     ``exact`` counts every cut at its true offset. ``reference`` shifts labels by one and loses the edges as the
     published analysis does. Positions of minus windows run backwards unless ``oriented`` is off.
-    Reads have one bin each and are never multiplied; windows touch two or three.
+    Reads are counted by sample, strand and base before the join, have one bin each and are never multiplied; windows touch two
+    or three. With ``heaviest``, bins of more than so many counted bases are split, by a measured histogram (``split_bins``).
     """
-    points = cuts(usable_reads(reads)).withColumn("_bin", bin_of(F.col("cut"), bin_width))
+    points = cuts(usable_reads(reads)).groupBy("sample", "chrom", "strand", "cut").agg(F.count(F.lit(1)).alias("_k"))
+    points = points.withColumn("_bin", bin_of(F.col("cut"), bin_width))
     spans = usable_windows(windows, width)
     reach = 1 if mode == "reference" else 0  # a minus read can end one base behind the window
     spans = with_bins(spans.withColumn("_reach", F.col("w_end") + reach), "w_start", "_reach", "_bin", bin_width)
@@ -50,8 +73,12 @@ def cut_counts(reads: DataFrame, windows: DataFrame, width: int = WIDTH, mode: s
         place = F.when(turned, size - 2 - d).otherwise(d - 1)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    hits = points.join(spans, ["chrom", "_bin"]).where(inside)
-    return hits.groupBy("sample", "name", "strand", (place - width // 2).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    keys = ["chrom", "_bin"]
+    if heaviest is not None:
+        points, spans = split_bins(points, spans, heaviest)
+        keys.append("_part")
+    hits = points.join(spans, keys).where(inside)
+    return hits.groupBy("sample", "name", "strand", (place - width // 2).alias("x")).agg(F.sum("_k").alias("n"))
 
 
 def fragment_overlaps(reads: DataFrame, windows: DataFrame, size: int, width: int = WIDTH) -> DataFrame:

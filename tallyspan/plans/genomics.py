@@ -83,6 +83,12 @@ def coverage_counts(spark, d):
     return C.cut_counts(*reads_and_windows(spark, d))
 
 
+@query(f"reads AS (SELECT * FROM piled_reads), {HITS} SELECT * FROM counts", "piled_reads", "windows")
+def coverage_counts_piled(spark, d):
+    """Half of all reads lie in one bin: bins of more than 1,000 counted bases are split."""
+    return C.cut_counts(view(spark, d, "piled_reads"), view(spark, d, "windows"), heaviest=1000)
+
+
 @query(
     f"""{USABLE},
 p AS (SELECT sample, name, strand, CASE WHEN w_strand = '-' THEN size - abs(w_start - (cut + 1)) - 1 ELSE cut - w_start - 1 END AS p0,

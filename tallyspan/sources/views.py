@@ -23,6 +23,11 @@ SELECT l_linenumber AS sample, {chromosome("l_suppkey")} AS chrom, {START} AS r_
        CAST(round(l_tax*100) AS INT) <> 8 AS is_aligned,
        (CASE WHEN l_returnflag='R' THEN -1 ELSE 1 END) * (CAST(floor(l_extendedprice) AS BIGINT) % 600) AS tlen
 FROM lineitem""",
+    "piled_reads": f"""
+SELECT sample, CASE WHEN piled THEN 'chr3' ELSE chrom END AS chrom, CASE WHEN piled THEN 100000 + r_start % 2000 ELSE r_start END AS r_start,
+       CASE WHEN piled THEN 100000 + r_start % 2000 ELSE r_start END + size AS r_end, strand, false AS is_duplicate, true AS is_aligned
+FROM (SELECT l_linenumber AS sample, {chromosome("l_suppkey")} AS chrom, {START} AS r_start, 25 + CAST(l_quantity AS BIGINT) AS size,
+             CASE WHEN l_returnflag='R' THEN '-' ELSE '+' END AS strand, l_orderkey % 2 = 0 AS piled FROM lineitem)""",
     "windows": f"""
 SELECT concat('peak_', CAST(p_partkey AS VARCHAR(12))) AS name, {chromosome("p_partkey")} AS chrom,
        (p_partkey*7919) % 1000000 AS w_start,

@@ -401,3 +401,23 @@ def test_long_sequences_are_scored_by_chunks(spark):
     df = spark.createDataFrame(rows, "name int, seq string")
     plain = sorted(map(tuple, motifs.pwm_scores(df).collect()), key=str)
     assert sorted(map(tuple, motifs.pwm_scores(df, chunk=7).collect()), key=str) == plain and len(plain) == 1 + 40 + 41 + 180
+
+
+def test_pile_ups_are_counted_and_split(spark):
+    """Half of all reads in one bin: the same counts, and no task with three times the median's rows."""
+    rng = random.Random(9)
+    rows = [cut_read(rng.randrange(2000), rng.choice("+-")) for _ in range(6000)] + [cut_read(rng.randrange(0, 400_000), rng.choice("+-")) for _ in range(6000)]
+    reads = spark.createDataFrame([(rng.randrange(5), *r[1:]) for r in rows], READS)
+    windows = spark.createDataFrame([(f"w{k}", "chr1", 4000 + 900 * k, 6000 + 900 * k, rng.choice("+-.")) for k in range(50)], WINDOWS)
+    want = sorted(map(tuple, coverage.cut_counts(reads, windows).collect()))
+    assert sorted(map(tuple, coverage.cut_counts(reads, windows, heaviest=100).collect())) == want and want
+    points = coverage.cuts(reads).groupBy("sample", "chrom", "strand", "cut").agg(F.count(F.lit(1)).alias("_k")).withColumn("_bin", intervals.bin_of(F.col("cut")))
+    spans = intervals.with_bins(windows, "w_start", "w_end", "_bin")
+    dealt, repeated = coverage.split_bins(points, spans, 100)
+    groups = {tuple(r)[:3]: r["count"] for r in dealt.groupBy("chrom", "_bin", "_part").count().collect()}
+    whole = max(r["count"] for r in points.groupBy("chrom", "_bin").count().collect())
+    assert whole > 2000 and max(groups.values()) < 150
+    tasks = sorted(r["count"] for r in dealt.repartition(16, "chrom", "_bin", "_part").groupBy(F.spark_partition_id()).count().collect())
+    assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
+    heavy = {(c, b) for c, b, p in groups if p}
+    assert all((c, b, p) in {tuple(r) for r in repeated.select("chrom", "_bin", "_part").collect()} for c, b, p in groups if (c, b) in heavy)
