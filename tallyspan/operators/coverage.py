@@ -57,11 +57,28 @@ def cut_counts(reads: DataFrame, windows: DataFrame, width: int = WIDTH, mode: s
     Reads are counted by sample, strand and base before the join, have one bin each and are never multiplied; windows touch two
     or three. With ``heaviest``, bins of more than so many counted bases are split, by a measured histogram (``split_bins``).
     """
+    points, spans, keys = counted_cuts(reads, bin_width), binned_windows(windows, width, mode, bin_width), ["chrom", "_bin"]
+    if heaviest is not None:
+        points, spans = split_bins(points, spans, heaviest)
+        keys.append("_part")
+    return counts_of(points, spans, keys, width, mode, oriented)
+
+
+def counted_cuts(reads: DataFrame, bin_width: int = BIN) -> DataFrame:
+    """(sample, chrom, strand, cut, _k, _bin): how many usable reads are cut at a base."""
     points = cuts(usable_reads(reads)).groupBy("sample", "chrom", "strand", "cut").agg(F.count(F.lit(1)).alias("_k"))
-    points = points.withColumn("_bin", bin_of(F.col("cut"), bin_width))
-    spans = usable_windows(windows, width)
+    return points.withColumn("_bin", bin_of(F.col("cut"), bin_width))
+
+
+def binned_windows(windows: DataFrame, width: int = WIDTH, mode: str = "exact", bin_width: int = BIN) -> DataFrame:
+    """Usable windows with a row for each ``_bin`` in which a cut can lie in them."""
     reach = 1 if mode == "reference" else 0  # a minus read can end one base behind the window
-    spans = with_bins(spans.withColumn("_reach", F.col("w_end") + reach), "w_start", "_reach", "_bin", bin_width)
+    spans = usable_windows(windows, width).withColumn("_reach", F.col("w_end") + reach)
+    return with_bins(spans, "w_start", "_reach", "_bin", bin_width)
+
+
+def counts_of(points: DataFrame, spans: DataFrame, keys: list[str], width: int = WIDTH, mode: str = "exact", oriented: bool = True) -> DataFrame:
+    """``cut_counts`` of counted cuts and binned windows, joined by ``keys``: without exchange where tables are bucketed by them."""
     d, size = F.col("cut") - F.col("w_start"), F.col("w_end") - F.col("w_start")
     turned = (F.col("w_strand") == "-") & F.lit(oriented)
     if mode == "exact":
@@ -73,10 +90,6 @@ def cut_counts(reads: DataFrame, windows: DataFrame, width: int = WIDTH, mode: s
         place = F.when(turned, size - 2 - d).otherwise(d - 1)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    keys = ["chrom", "_bin"]
-    if heaviest is not None:
-        points, spans = split_bins(points, spans, heaviest)
-        keys.append("_part")
     hits = points.join(spans, keys).where(inside)
     return hits.groupBy("sample", "name", "strand", (place - width // 2).alias("x")).agg(F.sum("_k").alias("n"))
 

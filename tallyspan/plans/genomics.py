@@ -12,7 +12,7 @@ from ..functions import expressions as X
 from ..functions.fixed import CHROMOSOMES, FACTOR_COLOURS, FALLBACK_COLOUR, MOTIF
 from ..operators import coverage as C
 from ..operators import checkpoints, footprint, intervals, motifs, peaks, profiles, samples, stats
-from ..sources import readers
+from ..sources import layout
 from ..sources.sinks import wide_matrix
 from ..sources.views import sequences, view, with_views
 
@@ -689,11 +689,22 @@ def cdt_matrices(spark, d):
 
 @query("SELECT sample, chrom, r_start, r_end, strand FROM reads WHERE chrom = 'chr3' AND r_start < 600000 AND r_end > 250000", "reads")
 def region_scan(spark, d):
-    """A region from a table that is laid out by chromosome and start: only its partition and row groups are read."""
-    path = checkpoints.fresh_folder(spark, "reads-by-chromosome")
-    reads = view(spark, d, "reads")
-    reads.repartition("chrom").sortWithinPartitions("chrom", "r_start").write.partitionBy("chrom").parquet(path)
-    return readers.read_region(spark, path, "chr3", 250_000, 600_000).select("sample", "chrom", "r_start", "r_end", "strand")
+    """A region from a table in order of chromosome and start: only files and row groups that hold it are read."""
+    path = checkpoints.fresh_folder(spark, "reads-in-order")
+    layout.write_ordered(view(spark, d, "reads"), path, "chrom", "r_start")
+    return layout.read_region(spark.read.parquet(path), "chr3", 250_000, 600_000).select("sample", "chrom", "r_start", "r_end", "strand")
+
+
+#: Buckets of the tables that a coverage join reads again and again.
+BUCKETS = 16
+
+
+@query(f"{HITS} SELECT * FROM counts", "reads", "windows")
+def coverage_counts_bucketed(spark, d):
+    """Counts from tables that are bucketed by chromosome and bin: the join needs no exchange."""
+    reads, windows = reads_and_windows(spark, d)
+    stored = lambda df, name: layout.bucketed(df, checkpoints.fresh_folder(spark, name), ["chrom", "_bin"], BUCKETS)
+    return C.counts_of(stored(C.counted_cuts(reads), "cuts"), stored(C.binned_windows(windows), "windows"), ["chrom", "_bin"])
 
 
 # --- footprints --------------------------------------------------------------------------------

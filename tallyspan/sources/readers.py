@@ -66,9 +66,3 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 def track_attribute(line, key: str):
     found = F.coalesce(F.nullif(F.regexp_extract(line, rf" {key}='([^']*)'", 1), F.lit("")), F.nullif(F.regexp_extract(line, rf" {key}=([^' ]\S*)", 1), F.lit("")))
     return found.cast("int") if key == "height" else found
-
-
-def read_region(spark: SparkSession, path: str, chrom: str, start: int, end: int) -> DataFrame:
-    """Reads of a region from a table partitioned by chrom and sorted by start: partitions and row groups are pruned."""
-    reads = spark.read.parquet(path)
-    return reads.where((F.col("chrom") == chrom) & (F.col("r_start") < end) & (F.col("r_end") > start))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import expressions as X
 from tallyspan.operators import coverage, footprint, intervals, motifs, peaks, profiles, samples, stats
-from tallyspan.sources import readers, sinks
+from tallyspan.sources import layout, readers, sinks
 
 READS = "sample int, chrom string, r_start long, r_end long, strand string, is_aligned boolean, is_duplicate boolean, tlen long"
 WINDOWS = "name string, chrom string, w_start long, w_end long, w_strand string"
@@ -287,14 +287,39 @@ def test_peaks_of_several_kinds_and_strands(spark, tmp_path):
     assert {n: (r["strand"], r["summit"], r["q_value"]) for n, r in got.items()} == {"n": ("-", 4, 3.0), "b": (".", None, 3.0), "c": ("+", None, None)}
 
 
-def test_region_scan_prunes(spark, tmp_path):
-    rows = [(1, f"chr{1 + k % 3}", 100 * k, 100 * k + 150, "+", True, False, 5) for k in range(60)]
-    reads = spark.createDataFrame(rows, READS)
-    reads.write.partitionBy("chrom").parquet(str(tmp_path / "reads"))
-    found = readers.read_region(spark, str(tmp_path / "reads"), "chr2", 1000, 2050)
-    assert sorted(r["r_start"] for r in found.collect()) == [r[2] for r in rows if r[1] == "chr2" and r[2] < 2050 and r[3] > 1000]
-    plan = found._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(chrom" in plan and "LessThan(r_start,2050)" in plan
+def rows_read(df):
+    """What the one scan of a collected plan has read, by its metrics."""
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_region_scan_reads_few_files_and_rows(spark, tmp_path):
+    """One chromosome holds nearly all reads: files are cut by place all the same, and metrics tell what a region costs."""
+    rng = random.Random(3)
+    rows = [(1, "chr1" if k % 20 else rng.choice(["chr2", "chr3"]), at := rng.randrange(1_000_000), at + 50, "+", True, False, 5) for k in range(20_000)]
+    path = str(tmp_path / "reads")
+    with settings(spark, **{"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        layout.write_ordered(spark.createDataFrame(rows, READS), path, "chrom", "r_start", rows_per_group=200)
+    files = [p for p in (tmp_path / "reads").iterdir() if p.suffix == ".parquet"]
+    assert len(files) == 16
+    found = layout.read_region(spark.read.parquet(path), "chr1", 500_000, 505_000)
+    assert sorted(r["r_start"] for r in found.collect()) == sorted(r[2] for r in rows if r[1] == "chr1" and r[2] < 505_000 and r[3] > 500_000)
+    assert 0 < rows_read(found) <= 3 * 200  # of 20,000: statistics of files and row groups decide
+    sizes = [spark.read.parquet(str(p)).count() for p in files]
+    assert max(sizes) < 3 * sorted(sizes)[8]
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    rng = random.Random(5)
+    reads = spark.createDataFrame([cut_read(rng.randrange(-3000, 60_000), rng.choice("+-")) for _ in range(500)], READS)
+    windows = spark.createDataFrame([(f"w{k}", "chr1", 4000 + 700 * k, 6000 + 700 * k, rng.choice("+-.")) for k in range(40)], WINDOWS)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        points = layout.bucketed(coverage.counted_cuts(reads), f"file://{tmp_path}/cuts", ["chrom", "_bin"], 4)
+        spans = layout.bucketed(coverage.binned_windows(windows), f"file://{tmp_path}/windows", ["chrom", "_bin"], 4)
+        joined = points.join(spans, ["chrom", "_bin"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Exchange" not in plan
+        counts = coverage.counts_of(points, spans, ["chrom", "_bin"])
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, coverage.cut_counts(reads, windows).collect()))
 
 
 def test_csv_sink(spark, tmp_path):
