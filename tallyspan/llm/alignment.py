@@ -15,6 +15,7 @@ import hashlib
 import os
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from .common import discard, load, staged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-#: Chunks that a worker remembers at most; then it starts anew. A longer chunk isn't remembered.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: A worker remembers so many chunks, then as many newer ones beside them, then lets go of those that it hasn't met since.
+#: A longer chunk isn't remembered.
+REMEMBERED, LONGEST = 400_000, 64
 #: Characters of new chunks that go through the tokenizers at a time.
 TOGETHER = 1 << 15
 #: Characters of texts whose chunks are looked up at a time; a longer text goes alone.
@@ -111,6 +113,7 @@ class Aligner:
         tokens = [x.decode("utf-8", "replace") for x in (*self.bytes_a, *self.bytes_b)]
         self.by_chunks = not any(across.search(t) for t in tokens)
         self.known: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}
 
     def tokens_a(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and byte ends of the first tokenizer; None if the bytes aren't the text's."""
@@ -118,7 +121,7 @@ class Aligner:
         ids = np.array(made.ids, np.int64)
         if b"".join([self.bytes_a[i] for i in made.ids]) != text.encode():
             return None
-        cuts = byte_places(text)[np.array(made.offsets, np.int64).reshape(-1, 2)]
+        cuts = byte_places(text)[np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)]
         return ids, refined(cuts[:, 0], cuts[:, 1], self.sizes_a[ids])
 
     def tokens_b(self, text: str, whole: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
@@ -126,20 +129,17 @@ class Aligner:
         space (not ``whole``) has that space as a token of its own, which goes."""
         spaced = text.startswith(" ")
         proto = self.b.encode(text[1:] if spaced else text, return_type="proto")
-        pieces = [(p.id, p.begin, p.end) for p in proto.pieces]
-        ids = [p[0] for p in pieces]
-        shift = 1
+        pieces, shift = list(proto.pieces), 1
         if not spaced:
-            if whole or not ids or self.bytes_b[ids[0]] != b" ":
+            if whole or not pieces or self.bytes_b[pieces[0].id] != b" ":
                 return None
-            pieces, ids, shift = pieces[1:], ids[1:], 0
+            pieces, shift = pieces[1:], 0
+        ids, starts, ends = [p.id for p in pieces], [p.begin for p in pieces], [p.end for p in pieces]
         if b"".join([self.bytes_b[i] for i in ids]) != text.encode():
             return None
-        number = np.array(pieces, np.int64).reshape(-1, 3)
-        starts, ends = number[:, 1] + shift, number[:, 2] + shift
-        if len(starts):
-            starts[0] = 0
-        return number[:, 0], refined(starts, ends, self.sizes_b[number[:, 0]])
+        numbers, starts, ends = np.array(ids, np.int64), np.array(starts, np.int64) + shift, np.array(ends, np.int64) + shift
+        starts[:1] = 0
+        return numbers, refined(starts, ends, self.sizes_b[numbers])
 
     def align(self, text: str, whole: bool = True) -> Aligned | None:
         a, b = self.tokens_a(text), self.tokens_b(text, whole)
@@ -147,8 +147,6 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Remember chunks. Most go through the tokenizers in a row, which is cut at their bounds; the others each alone."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
         plain = [c for c in chunks if c[0] in SPACES and c[0] != "\r" and c[-1] not in SPACES and "▁" not in c]
         while plain:
             sizes = np.cumsum([len(c) for c in plain[:8192]])
@@ -182,15 +180,19 @@ class Aligner:
 
     def parts(self, texts: list[str | None]) -> list[list[Aligned]]:
         """Each text's chunks, or the text as one; none if it has no tokens. New chunks of all are learnt at once."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         known, split = self.known, [CHUNK.findall(" " + t) if t and self.by_chunks else [] for t in texts]
         new = {c for chunks in split for c in chunks if c not in known and len(c) <= LONGEST}
-        if new:
-            self.learn(list(new))
+        met = [c for c in new if c in self.older]
+        known.update(zip(met, map(self.older.__getitem__, met)))
+        if len(new) > len(met):
+            self.learn([c for c in new if c not in known])
         out = []
         for text, chunks in zip(texts, split):
             try:
                 found = [known[c] for c in chunks]
-            except KeyError:  # long ones, and what a fresh start has lost
+            except KeyError:  # long ones
                 found = [known[c] if c in known else self.align(c, whole=False) for c in chunks]
             if text and (not chunks or None in found):
                 found = [x] if (x := self.align(" " + text)) else []
@@ -214,7 +216,9 @@ def group_names(ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np
     names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
     groups, i, j = [], 0, 0
     for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-        groups.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
+        a = names_a[i] if x == i + 1 else ",".join(names_a[i:x])
+        b = names_b[j] if y == j + 1 else ",".join(names_b[j:y])
+        groups.append(f"{a}|{b}")
         i, j = x, y
     return groups
 
