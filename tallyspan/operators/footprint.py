@@ -3,8 +3,9 @@
 A site is bound with prior logistic(b0 + b1 score). Its total of cuts is negative binomial with parameters of its
 state; given the total, positions are multinomial, with a profile of their own when bound and uniform when not.
 Expectation-maximisation runs as Spark jobs over sites and their cuts: a site's cuts are gathered once, as an array of
-at most ``width`` entries, and a round is one job that scores every site and sums what the next parameters need. The
-driver sees parameters and those sums only.
+at most ``width`` entries, sites are packed into blocks of arrays, and a round is one job that scores every block and sums
+what the next parameters need. The driver sees parameters and those sums only. Rounds are accelerated by squared
+extrapolation, and each sample stops by itself once its parameters stand still, whatever the number of its sites.
 """
 
 from __future__ import annotations
@@ -12,13 +13,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from math import log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import durable
 
-#: The likelihood has to rise by this share for another round.
-RISE = 1e-4
+#: A sample is done when all rounds to come would change its log likelihood by less than this, twice running, by the rate at which rounds get shorter.
+LEFT = 1e-3
+#: Rounds after which a sample that isn't done is an error.
+ROUNDS = 5000
+#: Lengths of extrapolations that are tried together, besides the one that the two rounds ask for.
+LENGTHS = (2.0, 6.0, 18.0, 54.0)
+#: Sites of a block.
+BLOCK = 4096
 
 
 @dataclass
@@ -67,11 +76,12 @@ def site_table(counts: DataFrame, sites: DataFrame) -> DataFrame:
     return base.select("sample", "name", t.alias("t"), z.alias("z"), F.coalesce("cuts", F.array().cast("array<struct<x:bigint,n:double>>")).alias("cuts"), first.alias("p"))
 
 
-def footprint_posteriors(counts: DataFrame, sites: DataFrame, width: int, rounds: int = 30) -> DataFrame:
+def footprint_posteriors(counts: DataFrame, sites: DataFrame, width: int, rounds: int | None = None) -> DataFrame:
     """(name, posterior) for sites (name, score) from counts (name, x, n); sites without cuts have total 0.
 
     Counts with a column ``sample`` give (sample, name, posterior): each sample has a model of its own, and every
-    sample all sites; a round is one job for all. Rounds end when the likelihood stops rising, ``rounds`` at most.
+    sample all sites; a round is one job for all that aren't done. Positions are ``width`` from the lowest one with a cut.
+    ``rounds`` ends the search early, with the likeliest parameters so far.
     Names are unique; without counts or sites there are no rows, or none but the sites' if there is no sample.
     """
     by_sample = "sample" in counts.columns
@@ -80,19 +90,193 @@ def footprint_posteriors(counts: DataFrame, sites: DataFrame, width: int, rounds
         if counts.isEmpty():
             return sites.select("name", F.lit(0.1).alias("posterior"))
     table = durable(site_table(counts.select("sample", "name", F.col("x").cast("long").alias("x"), "n"), sites))
-    sums = round_sums(table, "p")
-    at = maximised({s: Parameters() for s in sums}, sums, width)
-    likelihood = float("-inf")
-    for _ in range(rounds - 1):
-        sums = round_sums(expected(at, table), "p")
-        now = sum(g["likelihood"] for g, _ in sums.values())
-        if not now > likelihood + RISE * abs(now):
-            break
-        likelihood, at = now, maximised(at, sums, width)
+    at = fitted(table, width, rounds)
     scored = expected(at, table) if at else table
     return scored.select(*["sample"] * by_sample, "name", F.col("p").alias("posterior"))
 
 
+def fitted(table: DataFrame, width: int, rounds: int | None = None) -> dict[object, Parameters]:
+    """The likeliest parameters of each sample's rounds, of a site table."""
+    blocks = Blocks(table, width)
+    fits = {s: Fit(stepped(Parameters(), *first[0], width)) for s, first in blocks.sums(None).items()}
+    for _ in range(ROUNDS if rounds is None else rounds):
+        going = {s: f.points for s, f in fits.items() if f.points}
+        if not going:
+            break
+        for s, found in blocks.sums(going).items():
+            fits[s].take([(objective(g["likelihood"], at), stepped(at, g, shape, width)) for at, (g, shape) in zip(going[s], found)])
+    if rounds is None and any(f.points for f in fits.values()):
+        raise RuntimeError(f"a footprint model still moves after {ROUNDS} rounds")
+    return {s: f.best for s, f in fits.items()}
+
+
+class Fit:
+    """One sample's way: two rounds, squared extrapolations of several lengths from them, a round from the likeliest, and again.
+
+    Where no extrapolated point is as likely as the rounds that it came from, the second of them goes on. The likeliest
+    parameters of all rounds are kept; without points to be tried a sample is done.
+    """
+
+    def __init__(self, start: Parameters) -> None:
+        self.points, self.best, self.highest = [start], start, float("-inf")
+        self.first: tuple[np.ndarray, float] | None = None  # where two rounds began, and the likelihood there
+        self.second: Parameters | None = None  # where they led, while extrapolated points are tried
+        self.least, self.still = float("-inf"), 0
+
+    def take(self, found: list[tuple[float, Parameters]]) -> None:
+        """For each of the points its likelihood, and where a round leads from there."""
+        k = max(range(len(found)), key=lambda i: found[i][0])
+        at, (likelihood, after) = self.points[k], found[k]
+        if likelihood > self.highest:
+            self.highest, self.best = likelihood, at
+        if self.second is not None:
+            self.points, self.second, self.first = [after if likelihood >= self.least else self.second], None, None
+        elif self.first is None:
+            self.first, self.points = (vector(at), likelihood), [after]
+        else:
+            start, before = self.first
+            here, there = vector(at), vector(after)
+            r, v = here - start, (there - here) - (here - start)
+            rate = min(float(np.sqrt(((there - here) @ (there - here)) / max(r @ r, 1e-300))), 0.9999) ** 2
+            self.still = self.still + 1 if abs(likelihood - before) * rate / (1 - rate) < LEFT else 0
+            if self.still == 2:
+                self.points = []
+                return
+            whole = max(1.0, float(np.sqrt((r @ r) / max(v @ v, 1e-300))))
+            self.least, self.second = likelihood, after
+            self.points = [from_vector(start + 2 * a * r + a * a * v, after) for a in sorted({whole, *(min(x, whole) for x in LENGTHS)})]
+
+
+def vector(p: Parameters) -> np.ndarray:
+    """Parameters on scales on which they can be extrapolated: logs of means and sizes, log gains of the profile by position."""
+    return np.array([p.b0, p.b1, *np.log([*p.bound, *p.unbound]), *(p.profile[x] for x in sorted(p.profile))])
+
+
+def from_vector(values: np.ndarray, like: Parameters) -> Parameters:
+    """Parameters of a vector, within the bounds that a round keeps."""
+    b0, b1 = np.clip(values[:2], -20.0, 20.0).tolist()
+    m1, r1, m0, r0 = np.exp(np.clip(values[2:6], log(1e-6), log(1e12))).tolist()
+    size = lambda r: min(max(r, 1e-2), 1e3)
+    gains = np.clip(values[6:], -50.0, 50.0).tolist()
+    return Parameters(b0, b1, (m1, size(r1)), (m0, size(r0)), dict(zip(sorted(like.profile), gains)))
+
+
+# --- rounds over blocks of sites ---------------------------------------------------------------
+
+PACKED = "sample {kind}, t binary, z binary, p binary, row binary, place binary, n binary"
+
+
+def pack_batches(first: int):
+    """Sites of a sample in blocks: totals, scores and first guesses as doubles; each cut's site, place and number."""
+
+    def of(batches):
+        for batch in batches:
+            keys = batch.column("sample").to_pylist()
+            t, z, p = (batch.column(c).to_numpy() for c in ("t", "z", "p"))
+            cuts = batch.column("cuts")
+            sizes = cuts.value_lengths().to_numpy(zero_copy_only=False)
+            begin = np.cumsum(sizes) - sizes
+            values = cuts.flatten()
+            x, n = values.field("x").to_numpy(zero_copy_only=False), values.field("n").to_numpy(zero_copy_only=False)
+            out = []
+            for key in dict.fromkeys(keys):
+                mine = np.flatnonzero([k == key for k in keys])
+                for some in np.array_split(mine, -(-len(mine) // BLOCK)):
+                    row = np.repeat(np.arange(len(some)), sizes[some])
+                    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some]) + begin[some][row]
+                    parts = (t[some], z[some], p[some], row.astype(np.int32), (x[at] - first).astype(np.int32), n[at])
+                    out.append((key, *(a.tobytes() for a in parts)))
+            columns = [pa.array([o[0] for o in out], batch.column("sample").type), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 7))]
+            yield pa.RecordBatch.from_arrays(columns, ["sample", "t", "z", "p", "row", "place", "n"])
+
+    return of
+
+
+def log_gammas(x: np.ndarray) -> np.ndarray:
+    """``log_gamma`` of an array."""
+    y = x + 8
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) - shift
+
+
+def nb_logs(total: np.ndarray, mean: float, size: float) -> np.ndarray:
+    m, r = max(mean, 1e-6), size
+    return log_gammas(total + r) - log_gammas(np.array([r])) + r * log(r / (r + m)) + total * log(m / (r + m))
+
+
+def digammas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of ``log_gamma`` of an array, by the series at x + 8."""
+    y = x + 8
+    first, second = np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4), 1 / y + 1 / (2 * y**2) + 1 / (6 * y**3) - 1 / (30 * y**5)
+    for k in range(8):
+        first, second = first - 1 / (x + k), second + 1 / (x + k) ** 2
+    return first, second
+
+
+def block_sums(block: dict, at: Parameters | None, first: int, width: int) -> np.ndarray:
+    """A block's part of the round's sums, then its posterior-weighted cuts by place."""
+    t, z, p = (np.frombuffer(block[c]) for c in ("t", "z", "p"))
+    row, place, n = np.frombuffer(block["row"], np.int32), np.frombuffer(block["place"], np.int32), np.frombuffer(block["n"])
+    likelihood, prior = np.zeros(len(t)), np.full(len(t), 0.5)
+    slopes = [np.zeros(len(t))] * 4
+    if at is not None:
+        gain = np.array([at.profile.get(x, 0.0) for x in range(first, first + width)])
+        totals, where = np.unique(t, return_inverse=True)  # few distinct ones
+        bound, unbound = (nb_logs(totals, *of)[where] for of in (at.bound, at.unbound))
+        line = at.b0 + at.b1 * z
+        odds = line + bound - unbound + np.bincount(row, n * gain[place], len(t))
+        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        softplus = lambda y: np.maximum(y, 0) + np.log1p(np.exp(-np.abs(y)))
+        likelihood, prior = unbound - softplus(line) + softplus(odds), 1 / (1 + np.exp(-line))
+        slopes = [x[where] * w for r, w in ((at.bound[1], p), (at.unbound[1], 1 - p)) for x in digammas(totals + r)]
+    q, v = 1 - p, prior * (1 - prior)
+    terms = (p, q, p * t, q * t, p * t * t, q * t * t, p - prior, (p - prior) * z, v, v * z, v * z * z, likelihood, *slopes)
+    return np.concatenate([[x.sum() for x in terms], np.bincount(place, n * p[row], width)])
+
+
+class Blocks:
+    """The packed sites of all samples, and rounds over them."""
+
+    def __init__(self, table: DataFrame, width: int) -> None:
+        lowest = table.select(F.min(F.array_min("cuts.x"))).first()[0]
+        self.first, self.width = lowest or 0, width
+        self.kind = table.schema["sample"].dataType.simpleString()
+        packed = table.select("sample", "t", "z", "p", "cuts").mapInArrow(pack_batches(self.first), PACKED.format(kind=self.kind))
+        self.packed = durable(packed)
+
+    def sums(self, points: dict[object, list[Parameters]] | None) -> dict:
+        """For each sample and each of its points the sums by name, and the posterior-weighted cuts by position; of first guesses without."""
+        first, width, kind = self.first, self.width, self.kind
+
+        def of(batches):
+            found: dict = {}
+            for batch in batches:
+                for block in batch.to_pylist():
+                    s = block["sample"]
+                    for k, at in enumerate([None] if points is None else points.get(s, ())):
+                        found[s, k] = found.get((s, k), 0) + block_sums(block, at, first, width)
+            samples, which = [s for s, _ in found], pa.array([k for _, k in found], pa.int32())
+            values = pa.array([x.tolist() for x in found.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(samples, None if samples else pa.null()).cast(PA_KINDS.get(kind, pa.string())), which, values], ["sample", "which", "sums"])
+
+        parts = self.packed.mapInArrow(of, f"sample {kind}, which int, sums array<double>")
+        each = parts.select("sample", "which", F.posexplode("sums").alias("k", "v")).groupBy("sample", "which", "k").agg(F.sum("v").alias("v"))
+        out: dict = {}
+        for r in sorted(each.collect(), key=lambda r: r["which"]):  # width and a few rows per sample and point
+            found = out.setdefault(r["sample"], [])
+            if len(found) <= r["which"]:
+                found.append(({}, {}))
+            own, shape = found[r["which"]]
+            if r["k"] < len(ROUND):
+                own[ROUND[r["k"]]] = r["v"]
+            else:
+                shape[first + r["k"] - len(ROUND)] = r["v"]
+        return out
+
+
+PA_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}
+
+
 def parameters(at: dict, like: DataFrame) -> DataFrame:
     """One row of parameters per sample, to be broadcast: the log gains of the profile from position ``x0`` on are ``width`` numbers."""
     kind = like.schema["sample"].dataType.simpleString()
@@ -116,7 +300,9 @@ def expected(at: dict, table: DataFrame) -> DataFrame:
     return joined.select("sample", "name", "t", "z", "cuts", "b0", "b1", (1 / (1 + F.exp(-cut))).alias("p"), (unbound - softplus(prior) + softplus(odds)).alias("likelihood"))
 
 
+#: What a round sums over a sample's sites, and what it sums besides for the sizes: slopes of log gamma at t + size, by state.
 SUMS = ("p", "q", "pt", "qt", "ptt", "qtt", "slope0", "slope1", "v", "vz", "vzz", "likelihood")
+ROUND = (*SUMS, "bound1", "bound2", "unbound1", "unbound2")
 
 
 def round_sums(scored: DataFrame, posterior: str) -> dict:
@@ -144,24 +330,37 @@ def round_sums(scored: DataFrame, posterior: str) -> dict:
     return out
 
 
-def maximised(at: dict, sums: dict, width: int) -> dict:
-    return {s: stepped(at[s], g, shape, width) for s, (g, shape) in sums.items()}
+def likelier_size(size: float, mean: float, weight: float, first: float, second: float) -> float:
+    """A damped Newton step for the size of a negative binomial, on its logarithm; ``first`` and ``second`` are the round's slopes."""
+    at, change = (float(x[0]) for x in digammas(np.array([size])))
+    slope = first + weight * (log(size / (size + mean)) - at)
+    bend = second + weight * (1 / size - 1 / (size + mean) - change)
+    up, curve = size * slope, size * size * bend + size * slope
+    step = -up / curve if curve < 0 else 0.5 * ((up > 0) - (up < 0))
+    return min(max(size * float(np.exp(min(max(step, -1.0), 1.0))), 1e-2), 1e3)
 
 
 def stepped(at: Parameters, g: dict[str, float], shape: dict, width: int) -> Parameters:
-    """The next parameters of one sample: a ridged Newton step for the prior, moments for totals, smoothed shares for the profile."""
+    """The next parameters of one sample, each step likelier than the last: ridged Newton steps for the prior and for the sizes
+    of totals, weighted means, smoothed shares for the profile. A first round, without slopes, takes sizes from moments."""
     h00, h01, h11 = g["v"] + 1e-3, g["vz"], g["vzz"] + 1e-3
     det = h00 * h11 - h01 * h01
     b0, b1 = at.b0 + (h11 * g["slope0"] - h01 * g["slope1"]) / det, at.b1 + (h00 * g["slope1"] - h01 * g["slope0"]) / det
     total = sum(shape.values()) + width * 0.5
     weight = lambda a, b: a / b if b > 0 else 0.0
-    return Parameters(
-        max(min(b0, 20.0), -20.0),
-        max(min(b1, 20.0), -20.0),
-        moments(weight(g["pt"], g["p"]), weight(g["ptt"], g["p"])),
-        moments(weight(g["qt"], g["q"]), weight(g["qtt"], g["q"])),
-        {x: log((w + 0.5) / total) + log(width) for x, w in shape.items()},
-    )
+    states = []
+    for state, w, t, tt in (("bound", "p", "pt", "ptt"), ("unbound", "q", "qt", "qtt")):
+        mean, size = moments(weight(g[t], g[w]), weight(g[tt], g[w]))
+        if g.get(f"{state}2"):
+            size = likelier_size(getattr(at, state)[1], mean, g[w], g[f"{state}1"], g[f"{state}2"])
+        states.append((mean, size))
+    gains = {x: log((w + 0.5) / total) + log(width) for x, w in shape.items()}
+    return Parameters(max(min(b0, 20.0), -20.0), max(min(b1, 20.0), -20.0), *states, gains)
+
+
+def objective(likelihood: float, at: Parameters) -> float:
+    """What rounds raise: the likelihood, and the half count that smooths each share of the profile."""
+    return likelihood + 0.5 * sum(at.profile.values())
 
 
 def posterior_summary(posteriors: DataFrame, bins: int = 10) -> DataFrame:

@@ -762,6 +762,28 @@ def footprint_expectation(spark, d):
     return rounded(given_step(spark, d), "z", "p", digits=5).select("sample", "name", "z", F.col("t").cast("long").alias("total"), F.col("p").alias("posterior"))
 
 
+@query(
+    f"""{SITES_SQL}, given AS (SELECT ip, technique, round(p, 4) AS v FROM e_step JOIN small_sheet USING (sample))
+SELECT ip, technique, count(*) AS n, round(avg(v), 5) AS mean, round(quantile_cont(v, 0.25), 5) AS p25, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.75), 5) AS p75
+FROM given GROUP BY ip, technique""",
+    "reads",
+    "windows",
+    "sites",
+    "small_sheet",
+)
+def expectation_percentiles(spark, d):
+    """Percentiles per factor and assay of one expectation step's posteriors, all samples together."""
+    given = given_step(spark, d).select("sample", "name", F.col("p").alias("posterior"))
+    together = footprint.by_assay(given, view(spark, d, "small_sheet"))
+    return rounded(footprint.posterior_percentiles(together, ["ip", "technique"]), "mean", "p25", "p50", "p75", digits=5)
+
+
+@query(f"{SITES_SQL} SELECT sample, CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n FROM e_step GROUP BY ALL", "reads", "windows", "sites")
+def expectation_summary(spark, d):
+    """Sites of each sample by tenths of one expectation step's posteriors."""
+    return footprint.posterior_summary(given_step(spark, d).select("sample", "name", F.col("p").alias("posterior")))
+
+
 @query(
     f"""{SITES_SQL}, bound AS (SELECT c.sample, x, sum(n * p) AS w FROM cuts c JOIN e_step e ON e.sample = c.sample AND e.name = c.name GROUP BY ALL)
 SELECT e.sample, round(sum(p), 4) AS bound, round(sum(p * t), 3) AS bound_cuts, round(sum(p * t * t), 2) AS bound_squares, round(sum(p - prior), 4) AS slope0, round(sum((p - prior) * z), 4) AS slope1,

@@ -446,3 +446,70 @@ def test_pile_ups_are_counted_and_split(spark):
     assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
     heavy = {(c, b) for c, b, p in groups if p}
     assert all((c, b, p) in {tuple(r) for r in repeated.select("chrom", "_bin", "_part").collect()} for c, b, p in groups if (c, b) in heavy)
+
+
+def planted_sites(rng, samples=3, sites=240):
+    """Cuts and scores of sites of which a third are bound: more cuts, and a dip in the middle."""
+    counts, scores = [], []
+    for k in range(sites):
+        bound = k % 3 == 0
+        scores.append((f"p{k}", (1.5 if bound else 0.0) + rng.gauss(0, 1)))
+        for s in range(samples):
+            for _ in range(rng.randrange(10, 40) if bound else rng.randrange(0, 12)):
+                x = rng.randrange(-50, 50)
+                if bound and abs(x) < 8:
+                    continue
+                counts.append((s, f"p{k}", x))
+    return counts, scores
+
+
+def test_accelerated_fit_is_as_likely_as_plain_rounds(spark):
+    """Each sample as likely as after 300 plain rounds, planted sites told apart, and no sample bound to another's fit."""
+    counts, scores = planted_sites(random.Random(2))
+    cuts = spark.createDataFrame(counts, "sample int, name string, x long").groupBy("sample", "name", "x").agg(F.count(F.lit(1)).alias("n"))
+    sites = spark.createDataFrame(scores, "name string, score double")
+    table = footprint.site_table(cuts, sites).cache()
+    fits = footprint.fitted(table, 100)
+    blocks = footprint.Blocks(table, 100)
+    at = {s: footprint.stepped(footprint.Parameters(), *first[0], 100) for s, first in blocks.sums(None).items()}
+    packed = [r.asDict() for r in blocks.packed.collect()]
+    for _ in range(300):
+        sums = {}
+        for block in packed:
+            s = block["sample"]
+            sums[s] = sums.get(s, 0) + footprint.block_sums(block, at[s], blocks.first, 100)
+        named = {s: (dict(zip(footprint.ROUND, v)), {blocks.first + k: w for k, w in enumerate(v[len(footprint.ROUND) :])}) for s, v in sums.items()}
+        plain = {s: footprint.objective(g["likelihood"], at[s]) for s, (g, _) in named.items()}
+        at = {s: footprint.stepped(at[s], g, shape, 100) for s, (g, shape) in named.items()}
+    ours = {s: footprint.objective(found[0][0]["likelihood"], fits[s]) for s, found in blocks.sums({s: [f] for s, f in fits.items()}).items()}
+    assert ours.keys() == plain.keys() and all(ours[s] >= plain[s] - 0.01 for s in plain)
+    posterior = {(r["sample"], r["name"]): r["p"] for r in footprint.expected(fits, table).collect()}
+    right = [(p > 0.5) == (int(name[1:]) % 3 == 0) for (_, name), p in posterior.items()]
+    assert np.mean(right) > 0.95
+    alone = footprint.fitted(footprint.site_table(cuts.where("sample = 1"), sites).cache(), 100)[1]
+    assert footprint.vector(alone) == pytest.approx(footprint.vector(fits[1]), abs=1e-6)
+
+
+def test_block_sums_equal_the_column_ones(spark):
+    """A round over packed blocks sums what the expressions of one expectation step do."""
+    counts, scores = planted_sites(random.Random(4), 2, 60)
+    cuts = spark.createDataFrame(counts, "sample int, name string, x long").groupBy("sample", "name", "x").agg(F.count(F.lit(1)).alias("n"))
+    table = footprint.site_table(cuts, spark.createDataFrame(scores, "name string, score double")).cache()
+    given = footprint.Parameters(-0.4, 0.7, (9.0, 3.0), (4.0, 1.2), {x: math.log(0.5 if abs(x) < 8 else 1.1) for x in range(-50, 50)})
+    plain = footprint.round_sums(footprint.expected({0: given, 1: given}, table), "p")
+    for s, found in footprint.Blocks(table, 100).sums({0: [given], 1: [given]}).items():
+        g, shape = found[0]
+        assert all(g[k] == pytest.approx(plain[s][0][k], rel=1e-7, abs=1e-7) for k in footprint.SUMS)
+        assert all(shape[x] == pytest.approx(w) for x, w in plain[s][1].items())
+
+
+def test_sizes_are_the_likeliest():
+    """Newton steps by weighted slopes end at the size that a search finds."""
+    rng = np.random.default_rng(5)
+    t, w = rng.negative_binomial(2.5, 0.3, 4000).astype(float), rng.random(4000)
+    mean, size = float((t * w).sum() / w.sum()), 1.0
+    for _ in range(60):
+        first, second = footprint.digammas(t + size)
+        size = footprint.likelier_size(size, mean, w.sum(), (first * w).sum(), (second * w).sum())
+    grid = np.linspace(size * 0.8, size * 1.25, 400)
+    assert size == pytest.approx(grid[np.argmax([(footprint.nb_logs(t, mean, r) * w).sum() for r in grid])], rel=5e-3)
