@@ -12,11 +12,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column_name, delete, discard, exists, fresh_path, load, quoted, release, staged
+from .common import ascii_lower, column_name, delete, discard, exists, file_system, fresh_path, load, quoted, release, staged
 
 #: State on disk; a partition's store is closed when its task has committed, as no other batch waits for it.
 #: All stores of an executor share one bounded cache, and their write buffers are small, however many there are.
@@ -54,23 +55,58 @@ def disk_backed_state(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def published(spark: SparkSession, folder: str, kind: str) -> list[str]:
+    """Names of the folders ``kind=...`` in a folder that were published; leftovers of writes that weren't are deleted."""
+    path, system = file_system(spark, folder)
+    if not system.exists(path):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(path)]
+    whole = [n for n in names if n.startswith(f"{kind}=") and exists(spark, f"{folder}/{n}/_SUCCESS")]
+    for n in names:
+        if n not in whole and n.startswith((f"{kind}=", f"_draft-{kind}=")):
+            delete(spark, f"{folder}/{n}")
+    return whole
+
+
+def publish(df: DataFrame, folder: str, name: str) -> str:
+    """Write a table aside and give it its name in one step: what dies half-way has no name, and no reader meets it.
+
+    The step is a rename of the file system's: whole or not at all on HDFS and local disks. A store without such a rename
+    has ``_SUCCESS`` last, and ``published`` asks for that.
+    """
+    spark, draft, path = df.sparkSession, f"{folder}/_draft-{name}", f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(draft, compression="zstd")
+    delete(spark, path)  # of that name only a leftover can be there
+    source, system = file_system(spark, draft)
+    if not system.rename(source, file_system(spark, path)[0]):
+        raise OSError(f"{draft} can't be renamed")
+    return path
+
+
 def land(docs: DataFrame, folder: str, digest: Callable[[Column], Column], batch: str) -> DataFrame:
     """Land the arrivals as a batch, unless it has landed before; all that has landed so far.
 
-    A row's locator is its batch and its number there. What a failed call has left of a batch is replaced.
+    A row's locator is its batch and its number there. A batch is published whole: of a call that died while landing nothing is read,
+    and the call can be repeated.
     """
-    spark, path = docs.sparkSession, f"{folder}/batch={batch}"
-    if not exists(spark, f"{path}/_SUCCESS"):
+    spark, name = docs.sparkSession, f"batch={batch}"
+    if name not in (landed := published(spark, folder, "batch")):
         rows = docs.select("doc_id", body(F.col("text")).alias("body")).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
         located = rows.select("*", digest(F.col("sha")).alias("digest"), F.concat(F.lit(f"{batch}/"), F.monotonically_increasing_id().cast("string")).alias("locator"))
-        located.write.mode("overwrite").parquet(path, compression="zstd")
-    return spark.read.schema(LANDED).parquet(folder).drop("batch")
+        publish(located, folder, name)
+        landed.append(name)
+    return spark.read.schema(LANDED).parquet(*[f"{folder}/{n}" for n in sorted(landed)])
+
+
+GROUPS = "digest string, stays struct<doc_id:bigint,locator:string>, group_size long"
 
 
 def run_stream(spark: SparkSession, landing: str, state: str, out: str) -> DataFrame:
     """Digest groups (digest, keep_id, locator, group_size) once the stream has taken all that has landed.
 
-    ``state`` holds the stream's checkpoint: a later call with the same folders goes on from there.
+    ``state`` holds the stream's checkpoint: a later call with the same folders goes on from there. ``out`` holds what micro-batches
+    have changed, and snapshots of all groups: a call reads the last snapshot and what changed since, publishes the next one and
+    deletes what came before the last, so that it never rereads all calls' changes.
     """
     arrivals = spark.readStream.schema(ARRIVED).parquet(f"{landing}/batch=*")
     groups = arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
@@ -81,9 +117,20 @@ def run_stream(spark: SparkSession, landing: str, state: str, out: str) -> DataF
     with disk_backed_state(spark):
         query = groups.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
-    updates = spark.read.schema("digest string, stays struct<doc_id:bigint,locator:string>, group_size long, update int").parquet(out)
-    newest = updates.groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "update").alias("g"))
-    return newest.select("digest", F.col("g.stays.doc_id").alias("keep_id"), F.col("g.stays.locator").alias("keep_locator"), F.col("g.group_size").alias("group_size"))
+    number = lambda n: int(n.split("=")[1])
+    snapshots = sorted(map(number, published(spark, out, "upto")))
+    updates = sorted(map(number, published(spark, out, "update")))
+    before, newest = (snapshots or [-1])[-1], max([*updates, *snapshots, -1])
+    if newest > before:
+        parts = [spark.read.schema(GROUPS).parquet(f"{out}/update={n}").withColumn("update", F.lit(n)) for n in updates if n > before]
+        if snapshots:
+            parts.append(spark.read.schema(GROUPS).parquet(f"{out}/upto={before}").withColumn("update", F.lit(before)))
+        last = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.max_by(F.struct("stays", "group_size"), "update").alias("g"))
+        publish(last.select("digest", "g.*"), out, f"upto={newest}")
+        for gone in (*(f"update={n}" for n in updates), *(f"upto={n}" for n in snapshots[:-1])):  # results of the call before may still be read
+            delete(spark, f"{out}/{gone}")
+    every = spark.read.schema(GROUPS).parquet(f"{out}/upto={newest}") if newest >= 0 else spark.createDataFrame([], GROUPS)
+    return every.select("digest", F.col("stays.doc_id").alias("keep_id"), F.col("stays.locator").alias("keep_locator"), "group_size")
 
 
 def collisions(landed: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +161,7 @@ def decide(docs: DataFrame, digest: Callable[[Column], Column] = lambda sha: sha
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     work = work or fresh_path(spark, "exact-dedup")
     landed = land(docs, f"{work}/landed", digest, batch or uuid.uuid4().hex)
-    groups = staged(run_stream(spark, f"{work}/landed", f"{work}/state", f"{work}/updates"), "exact-groups")
+    groups = run_stream(spark, f"{work}/landed", f"{work}/state", f"{work}/updates")
     release(spark)
     members, differ = collisions(landed, groups)
 

@@ -80,3 +80,40 @@ def test_dotted_and_clashing_names(spark):
     d = docs(spark, [*ROWS, (7, "É")]).withColumn("a.b", F.lit(1)).withColumn("GONE_ID", F.lit(2)).withColumn("r", F.lit("x"))
     left = exact_dedup.drop_copies(d)
     assert left.columns == d.columns and left.count() == 7
+
+
+def sizes(rows):
+    return {r["text_sha256"]: r["group_size"] for r in rows}
+
+
+def test_a_call_that_died_while_landing_is_not_read(spark, tmp_path):
+    """Batch a without its mark, batch b, then a again: a's rows count once, and only once they have landed whole."""
+    work = f"file://{tmp_path}/work"
+    a, b = [(1, "same"), (2, "same"), (3, "other")], [(4, "same")]
+    digest = lambda sha: sha
+    exact_dedup.land(docs(spark, a), f"{work}/landed", digest, "a")
+    (tmp_path / "work/landed/batch=a/_SUCCESS").unlink()
+    got = exact_dedup.decide(docs(spark, b), work=work, batch="b").collect()
+    check(b, got)
+    check(a + b, exact_dedup.decide(docs(spark, a), work=work, batch="a").collect())
+    assert sizes(exact_dedup.decide(docs(spark, a), work=work, batch="a").collect()) == {hashlib.sha256(t.encode()).hexdigest(): n for t, n in (("same", 3), ("other", 1))}
+
+
+def test_a_draft_is_no_batch(spark, tmp_path):
+    """A write that died before its name was given leaves nothing that a later call reads."""
+    work = f"file://{tmp_path}/work"
+    exact_dedup.land(docs(spark, [(1, "same")]), f"{work}/landed", lambda sha: sha, "a")
+    (tmp_path / "work/landed/batch=a").rename(tmp_path / "work/landed/_draft-batch=a")
+    check([(4, "same")], exact_dedup.decide(docs(spark, [(4, "same")]), work=work, batch="b").collect())
+    check([(4, "same"), (1, "same")], exact_dedup.decide(docs(spark, [(1, "same")]), work=work, batch="a").collect())
+
+
+def test_changes_are_compacted(spark, tmp_path):
+    """However many calls there were: one snapshot is read, and of the ones before the last stays for results still in use."""
+    work, every = f"file://{tmp_path}/work", []
+    for k in range(4):
+        every += [(k, "same"), (10 + k, f"text {k}")]
+        got = exact_dedup.decide(docs(spark, every[-2:]), work=work, batch=f"b{k}")
+        check(every, got.collect())
+    left = sorted(p.name for p in (tmp_path / "work/updates").iterdir())
+    assert len(left) == 2 and all(n.startswith("upto=") for n in left)
