@@ -221,14 +221,15 @@ def train(background: list[str], steps: int = 400) -> Model:
     return Model(classes, vocabulary, w, b, temperature, level, template_shingles)
 
 
+def run_hash(ws: list[str]) -> np.ndarray:
+    data = np.frombuffer(" ".join(ws).encode(), np.uint8)
+    starts, ends, _ = words(data, np.array([0, len(data)]), APART)
+    return sequence_hash(hashes(data, starts, ends), len(ws))[:1]
+
+
 def run_hashes(strings: list[list[str]]) -> np.ndarray:
     """Hashes of word runs, as the scan computes them."""
-    out = []
-    for ws in strings:
-        data = np.frombuffer(" ".join(ws).encode(), np.uint8)
-        starts, ends, _ = words(data, np.array([0, len(data)]), APART)
-        out.append(sequence_hash(hashes(data, starts, ends), len(ws))[0])
-    return np.unique(np.array(out, np.uint64))
+    return np.unique(np.concatenate([run_hash(ws) for ws in strings]))
 
 
 def judged(model: Model, said: str) -> tuple[str, float, str, float] | None:
@@ -262,13 +263,56 @@ def best_run(model: Model, lines: list[str]) -> tuple[int, int, tuple] | None:
     return first, last, verdict
 
 
+#: A notice can stand anywhere in a paragraph of running words: a window is where a template would lie by this share of its
+#: three-word runs or more, whose places agree but for so many words, with a margin of words on both sides.
+VOTES, DRIFT, MARGIN = 0.3, 4, 4
+#: A line of more words is judged by its windows where they hold notices.
+LONG = 40
+
+
+class Windows:
+    """Where templates would lie in a text, by the three-word runs that both have."""
+
+    def __init__(self) -> None:
+        every = [tokens(t) for ts in TEMPLATES.values() for t in ts]
+        places = [(k, i) for k, ws in enumerate(every) for i in range(len(ws) - 2)]
+        h = np.concatenate([run_hash(every[k][i : i + 3]) for k, i in places])
+        order = np.argsort(h, kind="stable")
+        self.run, self.template, self.offset = h[order], *(np.array(x)[order] for x in zip(*places))
+        self.size = np.array([len(ws) for ws in every])
+
+    def found(self, runs: np.ndarray, block: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(first word, end, first matching word, last): windows of words; ``block`` numbers what a window stays within."""
+        lo, hi = np.searchsorted(self.run, runs, "left"), np.searchsorted(self.run, runs, "right")
+        hit = np.flatnonzero((hi > lo) & (block[: len(runs)] == block[2 : len(runs) + 2]))
+        n = (hi - lo)[hit]
+        word = np.repeat(hit, n)
+        entry = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n) + lo[word]
+        template, start = self.template[entry], word - self.offset[entry]
+        order = np.lexsort((word, start, template, block[word]))
+        word, template, start = word[order], template[order], start[order]
+        of = block[word]
+        new = np.ones(len(word), bool)
+        new[1:] = (of[1:] != of[:-1]) | (template[1:] != template[:-1]) | (start[1:] - start[:-1] > DRIFT)
+        at = np.flatnonzero(new)
+        out = []
+        for a, z in zip(at, np.append(at[1:], len(word))):
+            size = self.size[template[a]]
+            if len(np.unique(word[a:z])) >= VOTES * (size - 2):
+                first, end = np.searchsorted(block, of[a], "left"), np.searchsorted(block, of[a], "right")
+                out.append((int(max(first, start[a] - MARGIN)), int(min(end, start[z - 1] + size + MARGIN)), int(word[a:z].min()), int(word[a:z].max()) + 2))
+        return out
+
+
 def scan_batches(model: Model):
-    """Lines with a run of three template words, and runs of adjacent lines from these on, classified and confirmed.
+    """Lines with a run of three template words, and runs of adjacent lines from these on, classified and confirmed; then
+    windows of what is left, for notices that stand in longer paragraphs.
 
     No other paragraph could be confirmed: a template's shingles are runs of three words and more. A run is as
     long as a template that starts in its first line can reach, and ends at a line without words or one that holds
-    a whole template by itself.
+    a whole template by itself. Windows don't reach over lines without words.
     """
+    windows = Windows()
     every = [tokens(t) for ts in TEMPLATES.values() for t in ts]
     triples = run_hashes([ws[i : i + 3] for ws in every for i in range(len(ws) - 2)])
     most = max(map(len, every))
@@ -279,7 +323,7 @@ def scan_batches(model: Model):
         for batch in batches:
             rows, ids = [], batch.column("doc_id").to_pylist()
             for first, _, data, bounds in texts(batch.column("text")):
-                starts, ends, _ = words(FOLD[data], bounds, APART)
+                starts, ends, at = words(FOLD[data], bounds, APART)
                 if len(starts) < 3:
                     continue
                 runs = sequence_hash(hashes(FOLD[data], starts, ends), 3)
@@ -298,8 +342,24 @@ def scan_batches(model: Model):
                 def text_of(e):
                     return int(np.searchsorted(bounds, edges[e - 1], "right")) - 1
 
-                def report(e, last, verdict):
-                    a, z = line(e)[0], line(last)[1]
+                lines_before = np.searchsorted(breaks, starts)  # a word's line, over all texts of the slice
+                block = np.repeat(np.arange(len(at) - 1), np.diff(at)) * 2
+                block[1:] += np.cumsum(lines_before[1:] - lines_before[:-1] >= 2) * 2
+                inside, used = [], []
+                for a, z, i, j in windows.found(runs, block):
+                    if verdict := judged(model, data[starts[a] : ends[z - 1]].tobytes().decode("utf-8", "replace")):
+                        inside.append((-verdict[3], i, j, verdict))
+                inside.sort(key=lambda w: (w[0], w[1] - w[2], w[1]))  # of equal ones the longest
+
+                def long(e):
+                    """Whether a line is to be judged by windows: it has many words, and a notice among them."""
+                    a, z = line(e)
+                    own = slice(np.searchsorted(starts, a), np.searchsorted(starts, z))
+                    return own.stop - own.start > LONG and any(own.start <= i and j < own.stop for _, i, j, _ in inside)
+
+                def report(e, last, verdict, a=None, z=None):
+                    a, z = (line(e)[0], line(last)[1]) if a is None else (a, z)
+                    used.append((a, z))
                     text = text_of(e)
                     begin = int(bounds[text])
                     start = len(data[begin:a].tobytes().decode("utf-8", "replace"))
@@ -310,7 +370,7 @@ def scan_batches(model: Model):
                 alone = {e: v for e in hits if (v := judged(model, said(e)))}
                 taken = 0
                 for e in hits:
-                    if e <= taken:
+                    if e <= taken or long(e):
                         continue
                     own = alone.get(e)
                     found = None
@@ -326,6 +386,11 @@ def scan_batches(model: Model):
                         taken = e + found[1]
                     elif own:
                         report(e, e, own)
+                for _, i, j, verdict in inside:  
+                    a, z = int(starts[i]), int(ends[j])
+                    if all(z <= x or y <= a for x, y in used):
+                        e = int(np.searchsorted(edges, a, "right"))
+                        report(e, e, verdict, a, z)
             columns = zip(*rows) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema)
 
@@ -349,8 +414,8 @@ def find_licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Texts are read whole, however long; columns of any other name, clashing or not, are left out of the result.
 
-    Paragraphs are lines, or runs of adjacent lines that hold a notice together; ``paragraph`` is the first line,
-    counted from 0; start and end are code points, end exclusive. A null or empty
+    Paragraphs are lines, runs of adjacent lines that hold a notice together, or windows around the three-word runs of a
+    template, in lines of any length; ``paragraph`` is the first line, counted from 0; start and end are code points, end exclusive. A null or empty
     text has none; a null doc_id is carried along; rows that repeat are scanned each on its own; no rows, no
     paragraphs. Of equal scores the first family in the list wins.
     """

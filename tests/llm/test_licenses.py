@@ -133,3 +133,61 @@ def test_precision_and_recall_on_held_out_notices(spark, model):
     right = sum(family in found[k] for k, family in want.items())
     wrong = sum(len(fs - {want.get(k)}) for k, fs in found.items())
     assert right / len(want) >= 0.9 and right / (right + wrong) >= 0.95, (right, len(want), wrong)
+
+
+FUNCTION_WORDS = (
+    "the of and to in a is that it for was on are as with his they at be this have from or had by but not what all were we when your can said there use an each which she do how their if will up other about out "
+    "many then them these so some her would make like him into time has look two more write go see number no way could people my than first been call who its now find long down day did get come made may part"
+).split()
+
+
+@pytest.mark.parametrize("around", [0, 50, 100, 200, 1000])
+def test_notices_in_running_words(spark, model, around):
+    """Each template anywhere in a line of the templates' own language, of up to 1,000 words on either side."""
+    fresh, rows, want = random.Random(around), [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            if len(licenses.tokens(t)) < 3:
+                continue
+            k = len(rows)
+            before, after = (" ".join(fresh.choice(FUNCTION_WORDS) for _ in range(around)) for _ in range(2))
+            rows.append((k, f"é {before} {t} {after}\n" + " ".join(fresh.choice(FUNCTION_WORDS) for _ in range(300))))
+            want[k] = (family, t)
+    found = defaultdict(list)
+    for r in licenses.find_licences(docs(spark, rows), model).collect():
+        found[r["doc_id"]].append(r)
+    right = [k for k, (family, _) in want.items() if family in {r["family"] for r in found[k]}]
+    wrong = sum(r["family"] != want[k][0] for k, rs in found.items() for r in rs)
+    assert len(right) >= 0.9 * len(want) and wrong <= 0.05 * len(right), (len(right), len(want), wrong)
+    text = dict(rows)
+    if around:
+        near = [k for k in right if any(" ".join(licenses.tokens(want[k][1])) in " ".join(licenses.tokens(text[k][r["start"] : r["end"]])) and r["end"] - r["start"] <= len(want[k][1]) + 60 for r in found[k])]
+        assert len(near) >= 0.9 * len(right)
+
+
+def test_windows_equal_a_plain_search(spark, model):
+    """Windows are where a template's three-word runs say, by other code: every start that enough runs vote for."""
+    fresh = random.Random(4)
+    every = [licenses.tokens(t) for ts in licenses.TEMPLATES.values() for t in ts]
+    windows = licenses.Windows()
+    for _ in range(20):
+        ws = []
+        for _ in range(4):
+            own = list(fresh.choice(every))
+            if len(own) > 8:
+                own[fresh.randrange(len(own))] = "zzz"
+            ws += [fresh.choice(FUNCTION_WORDS) for _ in range(fresh.randrange(12))] + own
+        data = licenses.np.frombuffer(" ".join(ws).encode(), "u1")
+        starts, ends, _ = licenses.words(data, licenses.np.array([0, len(data)]), licenses.APART)
+        runs = licenses.sequence_hash(licenses.hashes(data, starts, ends), 3)
+        got = {(a, z) for a, z, *_ in windows.found(runs, licenses.np.zeros(len(ws), int))}
+        for t in every:
+            votes = defaultdict(set)
+            for i in range(len(ws) - 2):
+                for o in range(len(t) - 2):
+                    if ws[i : i + 3] == t[o : o + 3]:
+                        votes[i - o].add(i)
+            for s in votes:
+                joined = set().union(*(v for x, v in votes.items() if x == s))
+                if len(joined) >= licenses.VOTES * (len(t) - 2):
+                    assert any(a <= max(0, s) and z >= min(len(ws), s + len(t)) for a, z in got)
