@@ -199,3 +199,35 @@ def ranked_matrix(counts: DataFrame, first: int = -400, last: int = 399) -> Data
     """(sample, name, x, n, total): positions of a range with each window's total, for a matrix ranked by it."""
     part = collapse_strands(counts).where(F.col("x").between(first, last))
     return part.withColumn("total", F.sum("n").over(Window.partitionBy("sample", "name")))
+
+
+def ranked_windows(matrix: DataFrame) -> DataFrame:
+    """(sample, name, total, rank): each sample's windows by total, largest first, then by name; ranks from 1.
+
+    Windows are dealt by ranges of their order, numbered within a range, and the sizes of the ranges before are added: no
+    sample's windows have to be in one task.
+    """
+    order = ["sample", F.desc("total"), "name"]
+    totals = matrix.select("sample", "name", "total").distinct()
+    # each range keeps its number in the durable copy
+    sorted_ = durable(totals.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = sorted_.groupBy("sample", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("sample").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = parts.select("sample", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = sorted_.join(starts, ["sample", "_part"])
+    return numbered.select("sample", "name", "total", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("rank"))
+
+
+def background_of_own(counts: DataFrame, controls: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(sample, name, x, norm): ``background_normalised`` where each sample has a control of its own.
+
+    ``controls`` are (sample, control); samples without a control, or whose control is flat in a window, are dropped there.
+    A control may be another's sample. The join is by control and window, and a window has few positions.
+    """
+    both = collapse_strands(counts)
+    own = both.select(F.col("sample").alias("control"), "name", "x", F.col("n").alias("_c"))
+    moments = row_moments(counts, width).where("std > 0").select(F.col("sample").alias("control"), "name", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+    wanted = both.join(F.broadcast(controls.select("sample", "control")), "sample")  # a row per sample
+    seen = wanted.join(moments, ["control", "name"]).join(own, ["control", "name", "x"], "left")
+    z = (F.coalesce(F.col("_c"), F.lit(0)) - F.col("_mean")) / F.col("_std")
+    return seen.select("sample", "name", "x", (F.col("n") / F.exp(z)).alias("norm"))

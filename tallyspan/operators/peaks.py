@@ -65,18 +65,21 @@ def sample_pairs(sheet: DataFrame) -> DataFrame:
     Controls (IGG, INPUT) and unmerged technical replicates take no part.
     """
     s = sheet.where(~F.col("ip").isin("IGG", "INPUT") & (F.col("tech_rep") == 0))
-    side = lambda n: s.select("ip", *[F.col(c).alias(f"{k}{n}") for c, k in (("sample", "s"), ("number_cells", "c"), ("technique", "t"), ("bio_rep", "r"))])
-    pairs = side(1).join(side(2), "ip")
-    both_cm = (F.col("t1") == "CM") & (F.col("t2") == "CM")
-    merged = (F.col("r1") == 0) & (F.col("r2") == 0)
+    # an equi-join for each kind on all that it holds fixed, so that a factor with many samples isn't paired with itself
+    merged, cm = F.col("bio_rep") == 0, F.col("technique") == "CM"
     kinds = (
-        ("techniques", (F.col("c1") == F.col("c2")) & (F.col("t1") < F.col("t2")) & merged),
-        ("cells", both_cm & (F.col("c1") < F.col("c2")) & merged),
-        ("replicates", both_cm & (F.col("c1") == F.col("c2")) & (F.col("r1") == 1) & (F.col("r2") == 2)),
+        ("techniques", merged, merged, ["ip", "number_cells"], F.col("x.technique") < F.col("y.technique")),
+        ("cells", merged & cm, merged & cm, ["ip", "technique"], F.col("x.number_cells") < F.col("y.number_cells")),
+        ("replicates", cm & (F.col("bio_rep") == 1), cm & (F.col("bio_rep") == 2), ["ip", "technique", "number_cells"], F.lit(True)),
     )
-    kind = F.when(kinds[0][1], kinds[0][0]).when(kinds[1][1], kinds[1][0]).when(kinds[2][1], kinds[2][0])
-    typed = pairs.withColumn("type", kind).where(F.col("type").isNotNull())
-    return typed.select("type", "ip", F.col("s1").alias("a"), F.col("s2").alias("b"), "c1", "c2", "t1", "t2", "r1", "r2")
+    pick = lambda n: [F.col(f"{side}.{c}").alias(f"{k}{i}") for c, k in n for side, i in (("x", 1), ("y", 2))]
+    out = None
+    for kind, one, two, keys, order in kinds:
+        met = F.expr(" AND ".join(f"x.{k} = y.{k}" for k in keys)) & order
+        pairs = s.where(one).alias("x").join(s.where(two).alias("y"), met)
+        found = pairs.select(F.lit(kind).alias("type"), F.col("x.ip").alias("ip"), F.col("x.sample").alias("a"), F.col("y.sample").alias("b"), *pick((("number_cells", "c"), ("technique", "t"), ("bio_rep", "r"))))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def overlap_hits(peaks: DataFrame, pairs: DataFrame, percents: Sequence[int]) -> DataFrame:

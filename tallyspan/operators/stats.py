@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,20 +20,94 @@ def counts_per_million(windows: DataFrame) -> DataFrame:
     return share_of_total(windows, ["sample"], "n", "cpm", 1e6)
 
 
-def pearson_pairs(windows: DataFrame) -> DataFrame:
+#: Samples of a tile of the matrix, and windows that are multiplied at a time.
+TILE, WINDOWS = 512, 2048
+GRAM = "i long, j long, sa double, sb double, saa double, sbb double, sab double, n long"
+
+
+def pearson_pairs(windows: DataFrame, tile: int = TILE) -> DataFrame:
     """(sample1, sample2, r, n): correlation of each two samples over the windows both have; null if one is constant.
 
-    Values are centred on their sample's mean before squares are summed, so that large counts lose no digits.
+    Values are centred on their sample's mean before squares are summed, so that large counts lose no digits. A task has
+    windows whole, multiplies blocks of them into sums for each pair of samples (a Gram matrix), and hands on sums only: no row
+    is made for a pair of a window's values. Beyond ``tile`` samples the matrix comes in tiles, each with its own tasks.
     """
-    means = windows.groupBy("sample").agg(F.avg("n").alias("_m"))
-    centred = windows.join(means, "sample").select("sample", "win", (F.col("n") - F.col("_m")).alias("v"))
-    left = centred.select("win", F.col("sample").alias("sample1"), F.col("v").alias("a"))
-    right = centred.select("win", F.col("sample").alias("sample2"), F.col("v").alias("b"))
-    both = left.join(right, "win").where("sample1 <= sample2")
-    sums = both.groupBy("sample1", "sample2").agg(*[F.sum(e).alias(k) for k, e in (("sa", F.col("a")), ("sb", F.col("b")), ("saa", F.col("a") * F.col("a")), ("sbb", F.col("b") * F.col("b")), ("sab", F.col("a") * F.col("b")))], F.count(F.lit(1)).alias("n"))
+    spark = windows.sparkSession
+    names = sorted(r["sample"] for r in windows.select("sample").distinct().collect())  # a row per sample, of whose pairs the result has one each
+    kind = windows.schema["sample"].dataType.simpleString()
+    known = spark.createDataFrame(list(enumerate(names)), f"i long, sample {kind}")
+    means = windows.groupBy("sample").agg(F.avg("n").alias("_m")).join(known, "sample")
+    centred = windows.join(F.broadcast(means), "sample").select("i", "win", (F.col("n") - F.col("_m")).cast("double").alias("v"))
+    tiles = max(1, -(-len(names) // tile))
+    own = F.floor(F.col("i") / tile)
+    each = centred.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))) if tiles > 1 else centred.withColumn("_o", F.lit(0).cast("long"))
+    dealt = each.select(F.least(own, "_o").alias("ti"), F.greatest(own, "_o").alias("tj"), "win", "i", "v").repartition("ti", "tj", "win").sortWithinPartitions("ti", "tj", "win")
+    partial = dealt.select("ti", "tj", F.xxhash64("win").alias("win"), "i", "v").mapInArrow(gram_batches(tile), GRAM)
+    sums = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("sa", "sb", "saa", "sbb", "sab", "n")]).where("n > 0")
     n = F.col("n")
     spread = F.sqrt((n * F.col("saa") - F.col("sa") * F.col("sa")) * (n * F.col("sbb") - F.col("sb") * F.col("sb")))
-    return sums.select("sample1", "sample2", F.try_divide(n * F.col("sab") - F.col("sa") * F.col("sb"), spread).alias("r"), "n")
+    named = sums.join(F.broadcast(known.select("i", F.col("sample").alias("sample1"))), "i").join(F.broadcast(known.select(F.col("i").alias("j"), F.col("sample").alias("sample2"))), "j")
+    return named.select("sample1", "sample2", F.try_divide(n * F.col("sab") - F.col("sa") * F.col("sb"), spread).alias("r"), "n")
+
+
+def gram_batches(tile: int):
+    """Sums over the pairs of samples of each tile, from rows that are ordered by tile and window."""
+
+    def sums_of(ti: int, tj: int, win: np.ndarray, i: np.ndarray, v: np.ndarray) -> np.ndarray:
+        row = np.cumsum(np.concatenate([[0], win[1:] != win[:-1]]))
+        sides = []
+        for t in (ti, tj):
+            mine = i // tile == t
+            value, there = np.zeros((row[-1] + 1, tile)), np.zeros((row[-1] + 1, tile))
+            value[row[mine], i[mine] - t * tile] = v[mine]
+            there[row[mine], i[mine] - t * tile] = 1
+            sides.append((value, there))
+        (x, m), (y, k) = sides
+        return np.stack([x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y, m.T @ k])
+
+    def rows(ti: int, tj: int, total: np.ndarray) -> pa.RecordBatch:
+        a, b = np.nonzero(total[5])
+        upper = ti * tile + a <= tj * tile + b
+        a, b = a[upper], b[upper]
+        columns = [ti * tile + a, tj * tile + b, *(total[k][a, b] for k in range(5)), total[5][a, b].astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in GRAM.split(", ")])
+
+    def of(batches):
+        at, total, waiting = None, None, []
+
+        def worked_off(rest: bool):
+            """Adds whole windows of what waits to the tile's sums; the last window may go on."""
+            nonlocal total, waiting
+            win, i, v = (np.concatenate(c) for c in zip(*waiting))
+            bounds = np.concatenate([[0], np.flatnonzero(win[1:] != win[:-1]) + 1])
+            end = len(win) if rest else bounds[-1]
+            for k in range(0, len(bounds), WINDOWS):
+                lo, hi = bounds[k], min(bounds[k + WINDOWS] if k + WINDOWS < len(bounds) else len(win), end)
+                if lo < hi:
+                    total = total + sums_of(*at, win[lo:hi], i[lo:hi], v[lo:hi])
+            waiting = [(win[end:], i[end:], v[end:])] if end < len(win) else []
+
+        for batch in batches:
+            ti, tj, win, i, v = (batch.column(c).to_numpy() for c in ("ti", "tj", "win", "i", "v"))
+            cuts = np.concatenate([[0], np.flatnonzero((ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])) + 1, [len(ti)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if at != (ti[lo], tj[lo]):
+                    if at is not None:
+                        if waiting:
+                            worked_off(True)
+                        yield rows(*at, total)
+                    at, total, waiting = (int(ti[lo]), int(tj[lo])), np.zeros((6, tile, tile)), []
+                waiting.append((win[lo:hi], i[lo:hi], v[lo:hi]))
+                if sum(len(w[0]) for w in waiting) > WINDOWS * 64:
+                    worked_off(False)
+        if at is not None:
+            if waiting:
+                worked_off(True)
+            yield rows(*at, total)
+
+    return of
 
 
 def melted(pairs: DataFrame) -> DataFrame:
@@ -78,11 +153,43 @@ def t_tests(histogram: DataFrame, first: int = 1, last: int = 300) -> DataFrame:
     pooled = F.try_divide(F.col("ss1") + F.col("ss2"), df)
     t = F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(pooled * (1 / F.col("k1") + 1 / F.col("k2"))))
     tested = pairs.select("sample1", "sample2", t.alias("t"), df.alias("df"))
-    return tested.withColumn("p", F.pandas_udf(p_values, "double")("t", "df"))  # a row per pair of samples
-
-
-def p_values(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or k <= 0 else two_sided_p(x, k) for x, k in zip(t, df)], dtype="float64")
+    return with_p(tested)
+
+
+#: Terms of the continued fraction; it settles after some multiple of the square root of the degrees of freedom.
+TERMS = 2000
+
+
+def log_gamma(x: Column) -> Column:
+    """Stirling's series, shifted up by eight, to ten digits and more."""
+    y = x + 8
+    shift = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - shift
+
+
+def with_p(tested: DataFrame) -> DataFrame:
+    """``tested`` (t, df) with ``p``: what ``two_sided_p`` computes, as an expression; null where t is or df isn't positive."""
+    c, real = F.col, F.lit
+    df, t = c("df").cast("double"), c("t")
+    x = df / (df + t * t)
+    turned = x > (df / 2 + 1) / (df / 2 + 2.5)
+    parts = {"_a": F.when(turned, 0.5).otherwise(df / 2), "_b": F.when(turned, df / 2).otherwise(0.5), "_x": F.when(turned, t * t / (df + t * t)).otherwise(x), "_turned": turned}
+    ready = tested.withColumns(parts)
+    a, b, x = c("_a"), c("_b"), c("_x")
+    apart = lambda v: F.when(v == 0, 1e-300).otherwise(v)
+
+    def term(state: Column, i: Column) -> Column:
+        m = F.floor(i / 2).cast("double")
+        d = F.when(i % 2 == 1, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))).otherwise(m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        down, up = 1 / apart(1 + d * state["down"]), apart(1 + d / state["up"])
+        return F.struct(up.alias("up"), down.alias("down"), (state["value"] * up * down).alias("value"))
+
+    start = F.struct(real(1.0).alias("up"), real(0.0).alias("down"), real(1.0).alias("value"))
+    fraction = F.aggregate(F.sequence(real(1), real(TERMS)), start, term, lambda s: s["value"])
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x)) / a
+    beta = F.when(x <= 0, 0.0).otherwise(front / fraction)
+    p = F.when(c("t").isNull() | (c("df") <= 0), None).when(c("t") == 0, 1.0).otherwise(F.when(c("_turned"), 1 - beta).otherwise(beta))
+    return ready.withColumn("p", p).drop(*parts)
 
 
 def two_sided_p(t: float, df: float) -> float:

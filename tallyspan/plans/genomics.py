@@ -225,6 +225,25 @@ def background_normalised_sum(spark, d):
     return rounded(norm.groupBy("sample", "x").agg(F.sum("norm").alias("total")), "total", digits=5)
 
 
+OWN_CONTROLS = "(VALUES (1, 2), (3, 2), (4, 6), (5, 6), (7, 6))"
+
+
+@query(
+    f"""{BOTH}, pairs AS (SELECT * FROM {OWN_CONTROLS} AS c(sample, control)),
+m AS (SELECT sample AS control, name, sum(n) / 2000.0 AS mean, sqrt(sum(n * n) / 2000.0 - (sum(n) / 2000.0) * (sum(n) / 2000.0)) AS std FROM both_strands GROUP BY ALL),
+norm AS (SELECT t.sample, t.x, t.n / exp((coalesce(c.n, 0) - mean) / std) AS norm FROM both_strands t JOIN pairs p ON p.sample = t.sample JOIN m ON m.control = p.control AND m.name = t.name AND std > 0
+         LEFT JOIN both_strands c ON c.sample = p.control AND c.name = t.name AND c.x = t.x)
+SELECT sample, x, round(sum(norm), 5) AS total FROM norm GROUP BY ALL""",
+    "reads",
+    "windows",
+)
+def own_background_sum(spark, d):
+    """Two controls, each for samples of its own; sample 2 and sample 6 are controls only."""
+    controls = spark.createDataFrame([(1, 2), (3, 2), (4, 6), (5, 6), (7, 6)], "sample int, control int")
+    norm = C.background_of_own(C.cut_counts(*reads_and_windows(spark, d)), controls)
+    return rounded(norm.groupBy("sample", "x").agg(F.sum("norm").alias("total")), "total", digits=5)
+
+
 @query(
     f"""{BOTH}, g AS (SELECT sample, name, unnest(generate_series(-1000, 999)) AS x FROM (SELECT DISTINCT sample, name FROM both_strands)),
 dense AS (SELECT sample, name, coalesce(n, 0) AS n FROM g LEFT JOIN both_strands USING (sample, name, x))
@@ -675,6 +694,16 @@ def heatmap_ranked(spark, d):
     return C.ranked_matrix(C.cut_counts(*reads_and_windows(spark, d)))
 
 
+@query(
+    f"{BOTH}, t AS (SELECT sample, name, CAST(sum(n) AS BIGINT) AS total FROM both_strands WHERE x BETWEEN -400 AND 399 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY sample ORDER BY total DESC, name) AS rank FROM t",
+    "reads",
+    "windows",
+)
+def windows_ranked(spark, d):
+    """The order of each sample's matrix as a column."""
+    return C.ranked_windows(C.ranked_matrix(C.cut_counts(*reads_and_windows(spark, d))))
+
+
 @query(f"{BOTH} SELECT name AS X, name AS NAME, 1 AS GWEIGHT, CAST(sum(n) AS BIGINT) AS total, " + ", ".join(f'CAST(coalesce(sum(n) FILTER (x = {x}), 0) AS BIGINT) AS "X{x}"' for x in range(-10, 11)) + " FROM both_strands WHERE sample = 1 AND x BETWEEN -400 AND 399 GROUP BY name", "reads", "windows")
 def cdt_matrix(spark, d):
     ranked = C.ranked_matrix(C.cut_counts(*reads_and_windows(spark, d))).where("sample = 1")

@@ -513,3 +513,51 @@ def test_sizes_are_the_likeliest():
         size = footprint.likelier_size(size, mean, w.sum(), (first * w).sum(), (second * w).sum())
     grid = np.linspace(size * 0.8, size * 1.25, 400)
     assert size == pytest.approx(grid[np.argmax([(footprint.nb_logs(t, mean, r) * w).sum() for r in grid])], rel=5e-3)
+
+
+@pytest.mark.parametrize("tile", [512, 3])
+def test_gram_matrix_equals_pairwise_correlations(spark, tile):
+    """Windows missing from some samples, one constant sample, and a matrix of several tiles."""
+    rng = np.random.default_rng(7)
+    data = {(s, w): int(rng.poisson(5 + 3 * s)) if s != 4 else 6 for s in range(8) for w in range(300) if rng.random() < 0.8}
+    rows = spark.createDataFrame([(s, w, n) for (s, w), n in data.items()], "sample int, win long, n long")
+    got = {(r["sample1"], r["sample2"]): (r["r"], r["n"]) for r in stats.pearson_pairs(rows, tile).collect()}
+    assert len(got) == 36
+    for (a, b), (r, n) in got.items():
+        both = [w for w in range(300) if (a, w) in data and (b, w) in data]
+        assert n == len(both)
+        if 4 in (a, b):
+            assert r is None or abs(r) < 1e-6 or a == b
+        else:
+            assert r == pytest.approx(np.corrcoef([data[a, w] for w in both], [data[b, w] for w in both])[0, 1])
+
+
+def test_gram_matrix_of_500_samples(spark):
+    rng = np.random.default_rng(8)
+    x = rng.poisson(9, (40, 500))
+    rows = spark.createDataFrame([(s, w, int(x[w, s])) for w in range(40) for s in range(500)], "sample int, win long, n long")
+    got = stats.pearson_pairs(rows, 200)
+    want = np.corrcoef(x.T)
+    found = {(r["sample1"], r["sample2"]): r["r"] for r in got.collect()}
+    assert len(found) == 500 * 501 // 2 and all(found[a, b] == pytest.approx(want[a, b], abs=1e-9) for a, b in found)
+
+
+def test_p_values_as_an_expression(spark):
+    rows = [(t, df) for df in (1, 2, 3, 10, 57, 1000, 160_000) for t in (0.0, 0.01, 0.5, 1.0, -1.96, 2.5, 12.0, -60.0)] + [(None, 5), (1.0, 0)]
+    got = stats.with_p(spark.createDataFrame(rows, "t double, df long").coalesce(1)).collect()
+    for r in got:
+        if r["t"] is None or r["df"] <= 0:
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(stats.two_sided_p(r["t"], r["df"]), rel=1e-7, abs=1e-12)
+
+
+def test_ranks_of_windows(spark):
+    rng = random.Random(1)
+    rows = [(s, f"w{k}", x, 1, rng.randrange(6)) for s in (1, 2) for k in range(300) for x in (0,)]
+    with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        got = coverage.ranked_windows(spark.createDataFrame(rows, "sample int, name string, x int, n long, total long")).collect()
+    for s in (1, 2):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (-r[4], r[1]))
+        assert [r["name"] for r in sorted(got, key=lambda r: r["rank"]) if r["sample"] == s] == [r[1] for r in own]
+        assert sorted(r["rank"] for r in got if r["sample"] == s) == list(range(1, 301))
