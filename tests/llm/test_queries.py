@@ -1,11 +1,15 @@
 """Registered queries against their SQL, and the pipeline's stages one after the other."""
 
+import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import lower, shingles
+from helpers import lower, shingles, split
 from oracle import compare
+from test_mixing import water_fill
+from test_quality import plain_selection
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -80,3 +84,61 @@ def test_stages_take_odd_rows(spark, tmp_path, number, rows):
         assert sorted(map(str, ids)) == sorted(map(str, [2, 4, 5, 6, 6] if rows else []))
     if name == "near_deduplication":
         assert set(ids) == ({1, 2, 3, None, 5, 6} if rows else set())
+
+
+def plain_pipeline(rows, labels):
+    """(doc_id, text) as often as the first four stages keep them, by other code: rows are (doc_id, text, source)."""
+    chosen, _ = plain_selection([(d, t) for d, t, _ in rows], labels)
+    rows = [r for r in rows if r[0] in chosen]
+    last = {}
+    for r in rows:
+        if lower(r[1]) not in last or last[lower(r[1])][0] < r[0]:
+            last[lower(r[1])] = r
+    rows = sorted(last.values(), key=lambda r: r[0])
+    sets, root = [shingles(t) for _, t, _ in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    rows = [r for i, r in enumerate(rows) if find(i) == i]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(split(t))
+    target, out = water_fill(sizes), []
+    for d, t, s in rows:
+        rate = target[s] / sizes[s] if sizes[s] else 0.0
+        coin = int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        out += [(d, t)] * (int(rate) + (coin < rate - int(rate)))
+    return out
+
+
+def test_run_equals_plain_versions(spark):
+    """The whole pipeline: what each stage keeps, how often the mix takes it, and every token in one place of one sequence."""
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    want = plain_pipeline(docs, labels)
+    assert 0 < len({d for d, _ in want}) < len(docs)
+    tokenizer = Tokenizer.from_file(default_path())
+    tokens = {d: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for d, t in want}
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    taken = Counter(d for d, _ in want)
+    covered = {d: np.zeros(len(tokens[d]), int) for d in taken}
+    for p in pieces:
+        covered[p["doc_id"]][p["start"] : p["start"] + p["length"]] += 1
+        assert p["doc_tokens"] == len(tokens[p["doc_id"]])
+        assert p["ids_crc32"] == zlib.crc32(tokens[p["doc_id"]][p["start"] : p["start"] + p["length"]].tobytes())
+    assert all((covered[d] == n).all() for d, n in taken.items())
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for places in sequences.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(n for _, n in places) <= 2048
+    assert len(sequences) * 2048 <= 1.1 * sum(p["length"] for p in pieces) + 2048
