@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from math import exp, factorial, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +125,48 @@ def density2d(windows: DataFrame, a: int, b: int, step: float = 0.5) -> DataFram
     return one.join(two, "win").groupBy(cell("la").alias("x"), cell("lb").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def smoothed_density(cells: DataFrame, step: float = 0.5) -> DataFrame:
+    """(x, y, density): a Gaussian kernel density at every cell between the outermost ones of ``cells`` (x, y, n).
+
+    The kernel is separable, so the plane is smoothed along one axis and then along the other: each row meets the cells of
+    its own line only. Bandwidths are the axes' standard deviations times the count to the power -1/6, at least a cell. Cells are
+    as many as log counts differ, whatever the number of windows. Densities are per unit of both axes.
+    """
+    n, at = F.col("n").cast("double"), lambda c: F.col(c).cast("double")
+    spread = lambda c: F.sqrt(F.sum(n * at(c) * at(c)) / F.sum(n) - (F.sum(n * at(c)) / F.sum(n)) * (F.sum(n * at(c)) / F.sum(n)))
+    wide = lambda c: F.greatest(spread(c) * F.pow(F.sum(n), F.lit(-1 / 6)), F.lit(1.0)).alias(f"h{c}")
+    bounds = cells.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum(n).alias("total"), wide("x"), wide("y"))  # one row
+    known = cells.join(F.broadcast(bounds))
+    bell = lambda a, b, h: F.exp(-(at(a) - at(b)) * (at(a) - at(b)) / (2 * F.col(h) * F.col(h))) / (F.col(h) * F.lit(2.5066282746310002))
+    along_x = known.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("v", n * bell("gx", "x", "hx"))
+    lines = along_x.groupBy("gx", "y", "y0", "y1", "total", "hy").agg(F.sum("v").alias("v"))
+    along_y = lines.withColumn("gy", F.explode(F.sequence("y0", "y1"))).withColumn("v", F.col("v") * bell("gy", "y", "hy"))
+    return along_y.groupBy(F.col("gx").alias("x"), F.col("gy").alias("y")).agg((F.sum("v") / F.first("total") / F.lit(step * step)).alias("density"))
+
+
+#: Draws of a bootstrap.
+DRAWS = 200
+#: Chances that a Poisson number with mean 1 is at most 0, 1, 2 and so on, up to where the rest is below 1e-9.
+AT_MOST = [sum(exp(-1) / factorial(k) for k in range(m + 1)) for m in range(12)]
+
+
+def bootstrap_means(df: DataFrame, keys: list[str], value: str, row_id: list[str], shares=(0.025, 0.975), draws: int = DRAWS, seed: str = "boot-1") -> DataFrame:
+    """keys, n, mean, low, high: means of groups, and percentiles of their means over draws of a Poisson bootstrap.
+
+    In each draw a row counts as often as a Poisson number that its id, the draw and the seed hash to: reruns agree, and sums
+    over parts of the data can be added. Rows of equal ids count alike; null values take no part; a group is never gathered.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    each = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in row_id]).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", "_id", F.col("_draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    times = sum((F.when(chance >= c, 1).otherwise(0) for c in AT_MOST), F.lit(0))
+    drawn = each.withColumn("_k", times).groupBy(*keys, "_draw").agg(F.sum("_k").alias("_times"), F.sum(F.col("_k") * F.col("_v")).alias("_sum"))
+    bounds = drawn.groupBy(*keys).agg(F.percentile(F.try_divide(F.col("_sum"), F.col("_times")), list(shares)).alias("_p"))  # a row per draw
+    means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    same = [means[k].eqNullSafe(bounds[k]) for k in keys]
+    return means.join(bounds, same).select(*[means[k] for k in keys], "n", "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"))
+
+
 def fragment_histogram(reads: DataFrame) -> DataFrame:
     return reads.groupBy("sample", F.abs("tlen").alias("length")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -400,6 +400,21 @@ def overlap_facets(spark, d):
     return rounded(peaks.facet_summary(all_overlaps(spark, d)), "mean", "std")
 
 
+@query(
+    f"""draws AS (SELECT technique, ip, frip, CAST('0x' || substring(md5('boot-1:' || CAST(id AS VARCHAR) || ':' || CAST(draw AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u, draw
+  FROM (SELECT *, unnest(generate_series(1, 200)) AS draw FROM qc WHERE frip IS NOT NULL)),
+times AS (SELECT *, len(list_filter([{', '.join(map(repr, stats.AT_MOST))}], lambda c: u >= c)) AS k FROM draws),
+means AS (SELECT technique, ip, draw, sum(k * frip) / nullif(sum(k), 0) AS m FROM times GROUP BY ALL),
+bounds AS (SELECT technique, ip, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY ALL)
+SELECT q.technique, q.ip, count(*) AS n, round(avg(frip), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high
+FROM qc q JOIN bounds b ON b.technique = q.technique AND b.ip = q.ip WHERE frip IS NOT NULL GROUP BY q.technique, q.ip""",
+    "qc",
+)
+def qc_bounds(spark, d):
+    """Means of the share of reads in peaks for each technique and factor, with bootstrap bounds."""
+    return rounded(stats.bootstrap_means(view(spark, d, "qc"), ["technique", "ip"], "frip", ["id"]), "mean", "low", "high")
+
+
 @query(
     """single AS (SELECT id AS sample, ip, number_cells, technique, bio_rep, cell_line, CASE WHEN count(*) OVER (PARTITION BY cell_line, number_cells, technique, ip, treatment, bio_rep, genome) = 1 THEN 0 ELSE tech_rep END AS tech_rep FROM sheet),
 typed AS (SELECT CASE WHEN x.number_cells = y.number_cells AND x.technique < y.technique AND x.bio_rep = 0 AND y.bio_rep = 0 THEN 'techniques'
@@ -487,6 +502,21 @@ def density2d(spark, d):
     return stats.density2d(view(spark, d, "window_coverage"), 1, 2)
 
 
+@query(
+    """cells AS (SELECT CAST(floor(round(log2(a.n) / 0.5, 9)) AS BIGINT) AS x, CAST(floor(round(log2(b.n) / 0.5, 9)) AS BIGINT) AS y, CAST(count(*) AS DOUBLE) AS n
+  FROM window_coverage a JOIN window_coverage b ON a.win = b.win AND a.sample = 1 AND b.sample = 2 WHERE a.n > 0 AND b.n > 0 GROUP BY 1, 2),
+h AS (SELECT sum(n) AS total, greatest(sqrt(sum(n * x * x) / sum(n) - (sum(n * x) / sum(n)) ** 2) * sum(n) ** (-1 / 6.0), 1.0) AS hx,
+             greatest(sqrt(sum(n * y * y) / sum(n) - (sum(n * y) / sum(n)) ** 2) * sum(n) ** (-1 / 6.0), 1.0) AS hy FROM cells),
+gx AS (SELECT unnest(generate_series(min(x), max(x))) AS x FROM cells), gy AS (SELECT unnest(generate_series(min(y), max(y))) AS y FROM cells)
+SELECT gx.x, gy.y, round(sum(n * exp(0 - (gx.x - c.x) * (gx.x - c.x) / (2 * hx * hx) - (gy.y - c.y) * (gy.y - c.y) / (2 * hy * hy)) / (2 * pi() * hx * hy)) / any_value(total) / 0.25, 8) AS density
+FROM gx CROSS JOIN gy CROSS JOIN cells c CROSS JOIN h GROUP BY gx.x, gy.y""",
+    "window_coverage",
+)
+def density2d_smoothed(spark, d):
+    """The SQL sums the kernels of all cells at each; the query smooths one axis after the other."""
+    return rounded(stats.smoothed_density(stats.density2d(view(spark, d, "window_coverage"), 1, 2)), "density", digits=8)
+
+
 @query("SELECT sample, abs(tlen) AS length, count(*) AS n FROM reads GROUP BY ALL", "reads")
 def fragment_hist(spark, d):
     return stats.fragment_histogram(view(spark, d, "reads"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +37,51 @@ def memoised(spark: SparkSession, path: str, make, keys: list[str]) -> DataFrame
     if not existing(spark, [f"{path}/_SUCCESS"]):
         make().write.mode("overwrite").partitionBy(*keys).parquet(path)
     return spark.read.parquet(path)
+
+
+def fingerprint(spark: SparkSession, paths: Sequence[str], parameters: Mapping | None = None) -> str:
+    """What a table is made of: names, sizes and times of the files below ``paths``, and parameters."""
+    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in sorted(paths):
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        system = at.getFileSystem(conf)
+        if not system.exists(at):
+            seen.append([p, None])
+            continue
+        files = system.listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith((".", "_")):
+                seen.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return hashlib.sha256(json.dumps([sorted(map(str, seen)), dict(parameters or {})], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def memoised_parts(spark: SparkSession, path: str, keys: Sequence[str], wanted: Mapping[tuple, str], make: Callable[[list[tuple]], DataFrame]) -> DataFrame:
+    """The table at ``path``, partitioned by ``keys``, with the parts that ``wanted`` names and their fingerprints.
+
+    ``make`` gets the keys that are missing or whose fingerprint is another than the one they were made with, and returns their
+    rows; other parts are left as they are. The manifest beside the table is written last, so that parts of a call
+    that died are made again. Parts that aren't wanted stay in the table and aren't returned. Keys are text or numbers;
+    a key may have no rows.
+    """
+    manifest, names = f"{path}-manifest", list(keys)
+    held: dict[tuple, tuple[int, str]] = {}
+    if existing(spark, [manifest]):
+        for r in spark.read.schema("key string, number long, print string").parquet(manifest).collect():  # a row for each time that a part was made
+            key = tuple(json.loads(r["key"]))
+            held[key] = max(held.get(key, (-1, "")), (r["number"], r["print"]))
+    stale = [k for k, print_ in wanted.items() if held.get(k, (0, ""))[1] != print_]
+    if stale:
+        rows = make(stale)
+        for key in stale:  # a part that gets no rows now would keep its old ones
+            part = "/".join(f"{n}={v}" for n, v in zip(names, key))
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        rows.repartition(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
+        number = 1 + max((n for n, _ in held.values()), default=-1)
+        entries = [(json.dumps(list(k)), number, wanted[k]) for k in stale]
+        spark.createDataFrame(entries, "key string, number long, print string").coalesce(1).write.mode("append").parquet(manifest)
+    kinds = [type(v) for v in next(iter(wanted), ())]
+    known = spark.createDataFrame([tuple(map(str, k)) for k in wanted], ", ".join(f"{n} string" for n in names))
+    table = spark.read.parquet(path)
+    return table.join(F.broadcast(known.select(*[F.col(n).cast(table.schema[n].dataType) for n in names])), names, "left_semi") if kinds else table.limit(0)

@@ -561,3 +561,56 @@ def test_ranks_of_windows(spark):
         own = sorted((r for r in rows if r[0] == s), key=lambda r: (-r[4], r[1]))
         assert [r["name"] for r in sorted(got, key=lambda r: r["rank"]) if r["sample"] == s] == [r[1] for r in own]
         assert sorted(r["rank"] for r in got if r["sample"] == s) == list(range(1, 301))
+
+
+def test_memo_makes_only_what_is_missing_or_stale(spark, tmp_path):
+    """A new sample, a changed input, a call that died half-way, and a part that has lost its rows."""
+    path, inputs, asked = f"file://{tmp_path}/memo", tmp_path / "in", []
+    inputs.mkdir()
+    prints = lambda ks, **p: {k: sinks.fingerprint(spark, [f"file://{inputs}/{k[0]}.csv"], p) for k in ks}
+
+    def make(keys):
+        asked.append(sorted(keys))
+        rows = [(s, g, int(line)) for s, g in keys for line in (inputs / f"{s}.csv").read_text().split()]
+        return spark.createDataFrame(rows, "sample string, signal string, v int")
+
+    def table(ks, **p):
+        found = sinks.memoised_parts(spark, path, ["sample", "signal"], prints(ks, **p), make)
+        return sorted((r["sample"], r["signal"], r["v"]) for r in found.collect())
+
+    (inputs / "a.csv").write_text("1 2")
+    (inputs / "b.csv").write_text("3")
+    assert table([("a", "x")]) == [("a", "x", 1), ("a", "x", 2)] and asked == [[("a", "x")]]
+    assert table([("a", "x"), ("b", "x")]) == [("a", "x", 1), ("a", "x", 2), ("b", "x", 3)] and asked[1:] == [[("b", "x")]]
+    assert table([("a", "x"), ("b", "x")]) and len(asked) == 2
+    (inputs / "a.csv").write_text("7")
+    assert table([("a", "x"), ("b", "x")]) == [("a", "x", 7), ("b", "x", 3)] and asked[2:] == [[("a", "x")]]
+    assert table([("b", "x")], width=5) == [("b", "x", 3)] and asked[3:] == [[("b", "x")]]
+    good = make
+
+    def dies(keys):
+        good(keys)
+        raise RuntimeError("lost")
+
+    make = dies
+    (inputs / "b.csv").write_text("8 9")
+    with pytest.raises(RuntimeError):
+        table([("b", "x")], width=5)
+    make = good
+    assert table([("b", "x")], width=5) == [("b", "x", 8), ("b", "x", 9)]
+    (inputs / "b.csv").write_text("")
+    assert table([("a", "x"), ("b", "x")], width=5) == [("a", "x", 7)]
+
+
+def test_bootstrap_bounds_hold_the_mean(spark):
+    rng = random.Random(2)
+    rows = [(k, "g" if k % 3 else None, rng.gauss(5, 2)) for k in range(900)] + [(1000, "one", 1.5), (1001, "one", None)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    got = {r["k"]: r for r in stats.bootstrap_means(df, ["k"], "v", ["id"]).collect()}
+    for k in ("g", None):
+        v = [x for _, key, x in rows if key == k]
+        assert got[k]["mean"] == pytest.approx(np.mean(v)) and got[k]["low"] < got[k]["mean"] < got[k]["high"]
+        assert got[k]["high"] - got[k]["low"] == pytest.approx(3.92 * np.std(v) / len(v) ** 0.5, rel=0.25)
+    assert (got["one"]["n"], got["one"]["low"], got["one"]["high"]) == (1, 1.5, 1.5)
+    again = {r["k"]: (r["low"], r["high"]) for r in stats.bootstrap_means(df.repartition(5), ["k"], "v", ["id"]).collect()}
+    assert all(again[k] == pytest.approx((got[k]["low"], got[k]["high"])) for k in again)
