@@ -30,6 +30,8 @@ SAMPLE_QUERIES = 256
 RECALL = 0.97
 #: Bytes of the vectors in a block, and of a chunk of queries.
 BLOCK_BYTES, CHUNK_BYTES = 8 << 20, 16 << 20
+#: One of so many vectors is searched first, for bounds of the distances that matter.
+EARLY = 64
 K = 10
 POPCOUNT = np.array([bin(i).count("1") for i in range(1 << PART_BITS)], np.uint8)
 #: Substring keys by their Hamming distance from a key.
@@ -103,25 +105,26 @@ class Block:
 
 
 class Nearest:
-    """Running k nearest of each query, nearest first, ties to the smaller id."""
+    """Running k nearest of each query, nearest first, ties to the smaller id; none beyond the query's bound."""
 
-    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        self.codes, self.ids, self.vectors, self.k = codes, ids, vectors, k
+    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray, k: int) -> None:
+        self.codes, self.ids, self.vectors, self.bounds, self.k = codes, ids, vectors, bounds, k
         self.probes = codes.parts(vectors)
         self.found = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
 
     def search(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Take in a block: where the radius holds fewer than k of it, the radius grows until it holds k or all."""
+        """Take in a block: where a query has no bound and fewer than k found with it, the radius grows until it has k or all."""
         block = Block(self.codes.parts(x))
-        for q, (qid, v, code) in enumerate(zip(self.ids, self.vectors, self.probes)):
-            radius = self.codes.radius
+        for q, (qid, v, code, bound) in enumerate(zip(self.ids, self.vectors, self.probes, self.bounds)):
+            radius, so_many = self.codes.radius, len(self.found[q][0])
             while True:
                 at = block.within(code, radius)
                 at = at[ids[at] != qid]
-                if len(at) >= self.k or radius >= BITS:
+                if np.isfinite(bound) or so_many + len(at) >= self.k or radius >= BITS:
                     break
                 radius = min(BITS, radius + PARTS)
             d = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+            at, d = at[d <= bound], d[d <= bound]
             near, so_far = self.found[q]
             near, so_far = np.concatenate([near, ids[at]]), np.concatenate([so_far, d])
             if len(near) > self.k:
@@ -136,12 +139,11 @@ class Nearest:
 
 
 def searcher(asked, codes: Codes, k: int, size: int):
-    """Over a partition's vectors, block by block: the k nearest of each query in it. ``asked`` is a broadcast (ids, vectors)."""
+    """Over a partition's vectors, block by block: the k nearest of each query in it. ``asked`` is a broadcast (ids, vectors, bounds)."""
     most = max(1, BLOCK_BYTES // (8 * size))
 
     def of(frames):
-        ids, vectors = asked.value
-        nearest_of = Nearest(codes, ids, vectors, k)
+        nearest_of = Nearest(codes, *asked.value, k)
         held, rows = [], 0
         for f in frames:
             for at in range(0, len(f), most):
@@ -179,19 +181,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str, vector_colum
     taken = good.orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * size)))).select("vector").collect()
     codes = Codes(np.array([r["vector"] for r in taken]), k)
 
-    # vectors stay where they lie: a chunk of queries of bounded size is sent to all of them, and only the found come back
+    # vectors stay where they lie: a chunk of queries of bounded size is sent to all of them, and only the found come back.
+    # The k-th nearest of a share of the vectors bounds what of the others can be found, so that few come back from each task
     chunks = max(1, -(-asked.count() * 8 * size // CHUNK_BYTES))
-    parts = []
+    parts, kind = [], "query_id long, vec_id long, score double"
+    early = F.pmod(F.xxhash64(F.lit("early"), "id"), F.lit(EARLY)) == 0
+    nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     for chunk in range(chunks):
         rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).orderBy("id").collect()  # CHUNK_BYTES, about
         if rows:
-            sent = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows])))
-            parts.append(staged(good.mapInPandas(searcher(sent, codes, k, size), "query_id long, vec_id long, score double"), "ann-found"))
+            ids, x = np.array([r["id"] for r in rows]), np.array([r["vector"] for r in rows])
+            sent = spark.sparkContext.broadcast((ids, x, np.full(len(ids), np.inf)))
+            first = good.where(early).mapInPandas(searcher(sent, codes, k, size), kind)
+            first = staged(first.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k), "ann-early")
+            kth = {r["query_id"]: r["score"] for r in first.where(F.col("rank") == k).select("query_id", "score").collect()}  # a number for each query sent
+            bounded = spark.sparkContext.broadcast((ids, x, np.array([kth.get(i, np.inf) for i in ids.tolist()])))
+            parts += [first.drop("rank"), staged(good.where(~early).mapInPandas(searcher(bounded, codes, k, size), kind), "ann-found")]
             sent.destroy()
+            bounded.destroy()
     if not parts:
         return spark.createDataFrame([], schema)
     discard(asked)
-    nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
     found = reduce(DataFrame.unionByName, parts)
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
