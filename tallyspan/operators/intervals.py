@@ -67,23 +67,26 @@ def in_levels(df: DataFrame, start: str, end: str, other: DataFrame, asks: bool,
     return each.withColumn("_bin", F.explode(bins)).withColumns({"_level": F.col("_at.level"), "_kind": F.col("_at.kind")}).drop("_at")
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), width: int = BIN) -> DataFrame:
+def both_in_levels(a: DataFrame, b: DataFrame, levels: DataFrame | None, width: int) -> tuple[DataFrame, DataFrame]:
+    of_a, of_b = (levels, levels) if levels is not None else (levels_of(a, "a_start", "a_end", "_of_a", width), levels_of(b, "b_start", "b_end", "_of_b", width))
+    return in_levels(a, "a_start", "a_end", of_b, True, width), in_levels(b, "b_start", "b_end", of_a, False, width)
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), width: int = BIN, levels: DataFrame | None = None) -> DataFrame:
     """Pairs of ``a`` (chrom, a_start, a_end) and ``b`` (chrom, b_start, b_end) that share a base.
 
     ``keys`` are further columns that have to be equal. Each pair comes once: in the bin where the later of both starts.
+    ``levels`` are those of a table that holds both sides' intervals, where they are dear to work out twice.
     """
-    left = in_levels(a, "a_start", "a_end", levels_of(b, "b_start", "b_end", "_of_b", width), True, width)
-    right = in_levels(b, "b_start", "b_end", levels_of(a, "a_start", "a_end", "_of_a", width), False, width)
+    left, right = both_in_levels(a, b, levels, width)
     joined = left.join(right, ["chrom", *keys, "_kind", "_level", "_bin"])
     first = F.floor(F.greatest("a_start", "b_start") / level_width(F.col("_level"), width))
     return joined.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("_bin") == first)).drop("_bin", "_level", "_kind")
 
 
-def overlapping(a: DataFrame, b: DataFrame, row_id: Sequence[str], keys: Sequence[str] = (), width: int = BIN) -> DataFrame:
-    """Rows of ``a`` that share a base with any of ``b``, each once (``row_id`` names a row of ``a``)."""
-    b = b.select("chrom", *keys, "b_start", "b_end")
-    left = in_levels(a, "a_start", "a_end", levels_of(b, "b_start", "b_end", "_of_b", width), True, width)
-    right = in_levels(b, "b_start", "b_end", levels_of(a, "a_start", "a_end", "_of_a", width), False, width)
+def overlapping(a: DataFrame, b: DataFrame, row_id: Sequence[str], keys: Sequence[str] = (), width: int = BIN, levels: DataFrame | None = None) -> DataFrame:
+    """Rows of ``a`` that share a base with any of ``b``, each once (``row_id`` names a row of ``a``); ``levels`` as above."""
+    left, right = both_in_levels(a, b.select("chrom", *keys, "b_start", "b_end"), levels, width)
     same = [left[k] == right[k] for k in ("chrom", *keys, "_kind", "_level", "_bin")]
     match = [*same, left["a_start"] < right["b_end"], right["b_start"] < left["a_end"]]
     return left.join(right, match, "left_semi").drop("_bin", "_level", "_kind").dropDuplicates(list(row_id))

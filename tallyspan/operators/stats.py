@@ -38,6 +38,7 @@ def pearson_pairs(windows: DataFrame, tile: int = TILE) -> DataFrame:
     known = spark.createDataFrame(list(enumerate(names)), f"i long, sample {kind}")
     means = windows.groupBy("sample").agg(F.avg("n").alias("_m")).join(known, "sample")
     centred = windows.join(F.broadcast(means), "sample").select("i", "win", (F.col("n") - F.col("_m")).cast("double").alias("v"))
+    tile = max(1, min(tile, len(names)))
     tiles = max(1, -(-len(names) // tile))
     own = F.floor(F.col("i") / tile)
     each = centred.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))) if tiles > 1 else centred.withColumn("_o", F.lit(0).cast("long"))

@@ -166,7 +166,7 @@ def interval_overlap_semi(spark, d):
     p = view(spark, d, "called_peaks")
     a = p.where("sample = 1").select("sample", "chrom", F.col("p_start").alias("a_start"), F.col("p_end").alias("a_end"), "peak_id")
     b = p.where("sample = 2").select("chrom", F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
-    hit = intervals.overlapping(a, b, ["chrom", "a_start", "a_end", "peak_id"])
+    hit = intervals.overlapping(a, b, ["chrom", "a_start", "a_end", "peak_id"], levels=intervals.levels_of(p, "p_start", "p_end", "_of"))
     return hit.select("sample", "chrom", F.col("a_start").alias("p_start"), F.col("a_end").alias("p_end"), "peak_id")
 
 
@@ -179,7 +179,7 @@ def interval_overlap_pairs(spark, d):
     p = view(spark, d, "called_peaks")
     a = p.where("sample = 1").select("chrom", F.col("peak_id").alias("a"), F.col("p_start").alias("a_start"), F.col("p_end").alias("a_end"))
     b = p.where("sample = 2").select("chrom", F.col("peak_id").alias("b"), F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
-    found = intervals.overlap_pairs(a, b)
+    found = intervals.overlap_pairs(a, b, levels=intervals.levels_of(p, "p_start", "p_end", "_of"))
     return found.select("a", "b", "chrom", (F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).alias("bases"))
 
 
