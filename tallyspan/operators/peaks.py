@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import durable
 from .intervals import levels_of, overlapping
 
 #: Sketched percentiles are off by total / ACCURACY ranks at most; the bracket around a threshold is SLACK times as wide.
@@ -41,7 +42,8 @@ def top_fractions(peaks: DataFrame, percents: Sequence[int], score: str = "q") -
                 F.when(held, wanted - F.col(f"_ahead{i}")).otherwise(wanted).alias("need"),
             )
         )
-    limits = counts.select("sample", F.explode(F.array(*each)).alias("_t"))  # a row per sample and percent
+    # sketches differ with the order in which parts are merged: the bracket is worked out once for all that reads it
+    limits = durable(counts.select("sample", F.explode(F.array(*each)).alias("_t")))  # a row per sample and percent
     names = peaks.columns
     met = peaks.join(limits, "sample").where(value >= F.col("_t.lo"))
     sure = met.where(value > F.col("_t.hi")).select(*names, "_t.percent")
