@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, factorial, lgamma, log
+from math import ceil, exp, factorial, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -158,10 +158,13 @@ def bootstrap_means(df: DataFrame, keys: list[str], value: str, row_id: list[str
     over parts of the data can be added. Rows of equal ids count alike; null values take no part; a group is never gathered.
     """
     rows = df.where(F.col(value).isNotNull())
-    each = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in row_id]).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
-    chance = F.conv(F.substring(F.md5(F.concat_ws(":", "_id", F.col("_draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    times = sum((F.when(chance >= c, 1).otherwise(0) for c in AT_MOST), F.lit(0))
-    drawn = each.withColumn("_k", times).groupBy(*keys, "_draw").agg(F.sum("_k").alias("_times"), F.sum(F.col("_k") * F.col("_v")).alias("_sum"))
+    # draws are far more work than their rows are bytes, so rows are dealt anew, however few splits they were read in
+    dealt = rows.select(*dict.fromkeys([*keys, value, *row_id])).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *row_id)
+    each = dealt.select(*keys, F.col(value).cast("double").alias("_v"), F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in row_id]).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    # the hash's first 52 bits stay hexadecimal: digits of equal number compare as numbers do
+    hashed = each.withColumn("_h", F.substring(F.md5(F.concat_ws(":", "_id", F.col("_draw").cast("string")).cast("binary")), 1, 13))
+    times = F.coalesce(*[F.when(F.col("_h") < f"{ceil(c * (1 << 52)):013x}", F.lit(k)) for k, c in enumerate(AT_MOST)], F.lit(len(AT_MOST)))
+    drawn = hashed.withColumn("_k", times).groupBy(*keys, "_draw").agg(F.sum("_k").alias("_times"), F.sum(F.col("_k") * F.col("_v")).alias("_sum"))
     bounds = drawn.groupBy(*keys).agg(F.percentile(F.try_divide(F.col("_sum"), F.col("_times")), list(shares)).alias("_p"))  # a row per draw
     means = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
     same = [means[k].eqNullSafe(bounds[k]) for k in keys]
