@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import durable
-from .intervals import levels_of, overlapping
+from .intervals import overlapping
 
 #: Sketched percentiles are off by total / ACCURACY ranks at most; the bracket around a threshold is SLACK times as wide.
 ACCURACY, SLACK = 10_000, 4
@@ -91,7 +91,7 @@ def overlap_hits(peaks: DataFrame, pairs: DataFrame, percents: Sequence[int]) ->
     wanted = pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array(*map(F.lit, percents))).alias("threshold"))
     mine = top.join(wanted, ["a", "threshold"])
     theirs = peaks.select(F.col("sample").alias("b"), "chrom", F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
-    hit = overlapping(mine, theirs, ["a", "b", "threshold", "chrom", "a_start", "a_end", "peak_id"], keys=["b"], levels=levels_of(peaks, "p_start", "p_end", "_of"))
+    hit = overlapping(mine, theirs, keys=["b"])
     hits = hit.groupBy("a", "b", "threshold").agg(F.count(F.lit(1)).alias("hits"))
     joined = wanted.join(totals, ["a", "threshold"], "left").join(hits, ["a", "b", "threshold"], "left")
     return joined.select("a", "b", "threshold", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("top", F.lit(0)).alias("top"))
