@@ -90,7 +90,8 @@ def overlap_hits(peaks: DataFrame, pairs: DataFrame, percents: Sequence[int]) ->
     totals = top.groupBy("a", "threshold").agg(F.count(F.lit(1)).alias("top"))
     wanted = pairs.select("a", "b").distinct().select("a", "b", F.explode(F.array(*map(F.lit, percents))).alias("threshold"))
     mine = top.join(wanted, ["a", "threshold"])
-    theirs = peaks.select(F.col("sample").alias("b"), "chrom", F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
+    theirs = peaks.join(F.broadcast(pairs.select(F.col("b").alias("sample")).distinct()), "sample")  # those of compared samples
+    theirs = theirs.select(F.col("sample").alias("b"), "chrom", F.col("p_start").alias("b_start"), F.col("p_end").alias("b_end"))
     hit = overlapping(mine, theirs, keys=["b"])
     hits = hit.groupBy("a", "b", "threshold").agg(F.count(F.lit(1)).alias("hits"))
     joined = wanted.join(totals, ["a", "threshold"], "left").join(hits, ["a", "b", "threshold"], "left")
