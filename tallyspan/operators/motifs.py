@@ -57,7 +57,22 @@ def interval_scores(intervals: DataFrame, reference: DataFrame, chunk: int, moti
     989 for a motif of 21); minus intervals are read backwards, on the other strand. Each row is an interval, whatever
     its name. Scores are null where a base is missing or none of A, C, G, T; shorter intervals have no rows.
     """
-    length = len(motif["A"])
+    kind = intervals.schema["name"].dataType.simpleString()
+    return interval_parts(intervals, reference, chunk, len(motif["A"])).mapInArrow(part_batches(motif), f"name {kind}, x long, score double")
+
+
+def score_sums(intervals: DataFrame, reference: DataFrame, chunk: int, motif: dict = MOTIF) -> DataFrame:
+    """(x, n, total, best): offsets of ``interval_scores`` by their label, with the sum and the best of their scores at six digits.
+
+    Scores are added up where they are made, in millionths and so exactly: a task hands on a row per label and slice, not per offset.
+    """
+    parts = interval_parts(intervals, reference, chunk, len(motif["A"])).mapInArrow(sum_batches(motif), "x long, n long, total long, best long")
+    sums = parts.groupBy("x").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+    return sums.select("x", "n", (F.col("total") / 1_000_000).alias("total"), (F.col("best") / 1_000_000).alias("best"))
+
+
+def interval_parts(intervals: DataFrame, reference: DataFrame, chunk: int, length: int) -> DataFrame:
+    """(name, first, step, seq): what each chunk gives an interval, labelled from ``first`` on by ``step``, for a motif of ``length``."""
     halo = length - 1
     # places g of motifs: from start on, up to end - length
     spans = intervals.where(F.col("end") - F.col("start") >= length).select("name", "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "strand")
@@ -70,9 +85,7 @@ def interval_scores(intervals: DataFrame, reference: DataFrame, chunk: int, moti
     minus = F.col("strand") == "-"
     offset = F.when(minus, F.col("end") - length - lo).otherwise(lo - F.col("start"))
     middle = F.floor((F.col("end") - F.col("start") - halo) / 2)
-    parts = met.select("name", (offset - middle).alias("first"), F.when(minus, -1).otherwise(1).alias("step"), part.alias("seq"))
-    kind = intervals.schema["name"].dataType.simpleString()
-    return parts.mapInArrow(part_batches(motif), f"name {kind}, x long, score double")
+    return met.select("name", (offset - middle).alias("first"), F.when(minus, -1).otherwise(1).alias("step"), part.alias("seq"))
 
 
 #: Offsets that are scored at a time.
@@ -112,8 +125,8 @@ def few_at_a_time(batch: pa.RecordBatch, most: int):
         at = to
 
 
-def part_batches(motif: dict):
-    """Scores of parts (name, first, step, seq), labelled from ``first`` on by ``step``; a step backwards is the other strand."""
+def part_scores(motif: dict):
+    """For a batch of parts (name, first, step, seq), strand by strand and slice by slice: rows of the slice, labels, scores and the slice."""
     ahead, back = weight_table(motif), weight_table(reversed_motif(motif))
 
     def of(batches):
@@ -125,8 +138,36 @@ def part_batches(motif: dict):
                     own = np.flatnonzero(step == way)
                     row, place, score = scores_of([seqs[k] for k in own], weights)
                     if len(row):
-                        columns = [batch.column("name").take(pa.array(own[row])), pa.array(first[own[row]] + way * place, pa.int64()), pa.array(score, mask=np.isnan(score))]
-                        yield pa.RecordBatch.from_arrays(columns, ["name", "x", "score"])
+                        yield own[row], first[own[row]] + way * place, score, batch
+
+    return of
+
+
+def part_batches(motif: dict):
+    """Scores of parts: (name, x, score), null where a base is missing; a step backwards is the other strand."""
+
+    def of(batches):
+        for row, x, score, batch in part_scores(motif)(batches):
+            columns = [batch.column("name").take(pa.array(row)), pa.array(x, pa.int64()), pa.array(score, mask=np.isnan(score))]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "x", "score"])
+
+    return of
+
+
+def sum_batches(motif: dict):
+    """Scores of parts by label: (x, n, total, best), in millionths; where no score is known, total and best are null."""
+
+    def of(batches):
+        for _, x, score, _ in part_scores(motif)(batches):
+            labels, at = np.unique(x, return_inverse=True)
+            known = ~np.isnan(score)
+            whole = np.floor(score[known] * 1e6 + 0.5).astype(np.int64)
+            total, best = np.zeros(len(labels), np.int64), np.full(len(labels), np.iinfo(np.int64).min)
+            np.add.at(total, at[known], whole)
+            np.maximum.at(best, at[known], whole)
+            none = best == np.iinfo(np.int64).min
+            columns = [pa.array(labels, pa.int64()), pa.array(np.bincount(at), pa.int64()), pa.array(total, mask=none), pa.array(best, mask=none)]
+            yield pa.RecordBatch.from_arrays(columns, ["x", "n", "total", "best"])
 
     return of
 
